@@ -36,7 +36,7 @@ class SlotMap:
         return SlotMap(tuple(s % shards for s in range(slots)), shards, 0, ("even",))
 
     def rebalanced(self, loads: dict[int, int], shards: int | None = None) -> SlotMap:
-        """Shards above the mean give up slots, largest first while they stay above it; freed slots go, largest first, to the lightest shard."""
+        """A shard above the mean keeps its largest slots that fit below it and gives up the rest; freed slots go, largest first, to the lightest shard."""
         shards = shards or self.shards
         mean = sum(loads.values()) / shards
         held: dict[int, list[int]] = {}
@@ -44,11 +44,12 @@ class SlotMap:
             held.setdefault(shard, []).append(slot)
         total, freed, owners = [0] * shards, [], list(self.owners)
         for shard, slots in held.items():
-            load = sum(loads.get(s, 0) for s in slots)
+            over, load = sum(loads.get(s, 0) for s in slots) > mean, 0
             for s in sorted(slots, key=lambda s: (-loads.get(s, 0), s)):
-                if shard >= shards or (load > mean and loads.get(s, 0) > 0):
+                if shard >= shards or (over and load + loads.get(s, 0) > mean):
                     freed.append(s)
-                    load -= loads.get(s, 0)
+                else:
+                    load += loads.get(s, 0)
             if shard < shards:
                 total[shard] = load
         light = [(load, shard) for shard, load in enumerate(total)]
