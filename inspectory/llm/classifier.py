@@ -12,6 +12,7 @@ scored but never learnt from. Repeated rows have equal scores.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, arrow_map, utf8
 
 BITS, RANK, SAMPLE, EPOCHS, LEVELS, THRESHOLD = 15, 6, 6000, 6, 12, 0.3
-N_STATS = 12
+N_STATS = 14
 SIZE = (1 << BITS) + N_STATS * (LEVELS + 1)
 
 _KIND = np.full(256, 7, np.int64)  # 0 lower, 1 upper, 2 digit, 3 blank, 4 sentence marks, 5 symbols, 6 other ASCII, 7 beyond ASCII
@@ -39,12 +40,10 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, size = max(len(found), 1), max(len(text), 1)
     kinds = np.bincount(_KIND, weights=np.bincount(np.frombuffer(text, np.uint8), minlength=256), minlength=8) if text else np.zeros(8)
     lines = text.split(b"\n")
-    stats = (
-        kinds[1] / size * 2, kinds[2] / size * 4, kinds[4] / n / 2, kinds[5] / n / 2, kinds[7] / size * 3, kinds[3] / size * 2,
-        (size - kinds[3]) / n / 20, 1 - len(distinct) / n, 1 - len({*lines}) / len(lines), len(lines) / n * 4,
-        np.log2(n + 1) / 16, text.count(b"!!") / n,
-    )
-    level = np.minimum(np.asarray(stats) * LEVELS, LEVELS).astype(np.int64)
+    again = sum(map(operator.eq, found, found[1:]))
+    shares = (kinds[1] / size, kinds[2] / size, kinds[4] / n, kinds[5] / n, again / n, text.count(b"|") / n, text.count(b"!!") / n, 1 - len({*lines}) / len(lines))
+    sizes = (kinds[7] / size * 3, kinds[3] / size * 2, (size - kinds[3]) / n / 20, 1 - len(distinct) / n, len(lines) / n * 4, np.log2(n + 1) / 16)
+    level = np.concatenate([[0 if x <= 0 else min(max(int(np.log2(x * 2048)), 0), LEVELS - 1) + 1 for x in shares], np.minimum(np.asarray(sizes) * LEVELS, LEVELS)]).astype(np.int64)
     own = (1 << BITS) + np.arange(N_STATS) * (LEVELS + 1) + level
     return np.concatenate([ids, own]), np.concatenate([np.full(len(ids), 1 / np.sqrt(max(len(ids), 1))), np.full(N_STATS, 0.5)])
 
