@@ -4,7 +4,8 @@ Each document's signature is cut into several trees' keys. All keys of a tree ar
 partitions, no task sees a whole region); a document's candidates are the neighbours with the longest common prefix in
 each order. Depth so adapts to the region: where few documents are alike, a short common prefix makes neighbours; where
 many are, only the deepest ones are nearest. Rows at the ends of partitions meet in a small second step. Candidates are
-confirmed on their full shingle sets; connected components give the groups.
+confirmed on their full shingle sets; connected components give the groups. The nearest neighbours are confirmed first;
+of the farther ones, only pairs that the first groups do not join yet.
 
 Documents with equal shingle sets are one class and linked without candidates, so copies are never expanded into pairs.
 Null and empty texts have no shingles and stay alone; repeated rows and equal ids fall into one group if their texts do;
@@ -25,7 +26,7 @@ from pyspark.sql.types import StructType
 from .common import arrow_map, shingles, utf8, words, written
 from .components import components
 
-TREES, DEPTH, LEAST_DEPTH, NEAR, PERCENT = 16, 6, 3, 3, 80
+TREES, DEPTH, LEAST_DEPTH, NEAREST, NEAR, PERCENT = 20, 6, 3, 3, 12, 80
 
 _rng = np.random.default_rng(20240511)
 _MUL = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,19 +60,19 @@ def described(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     return arrow_map(docs.select(F.col(id_col), F.col(text_col)), f"doc_id {kind}, n_shingles long, set_key binary, sig binary", make)
 
 
-def neighbours(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sorted rows at most NEAR apart, of one tree, with a common prefix of LEAST_DEPTH values. No pair spans a gap (true: something is missing before this row)."""
-    a, b = [], []
+def neighbours(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, gap: np.ndarray | None = None) -> np.ndarray:
+    """Rows (less, greater, steps apart) for sorted rows at most NEAR apart, of one tree, with a common prefix of LEAST_DEPTH values. No pair spans a gap (true: something is missing before this row)."""
+    out = [np.empty((0, 3), np.int64)]
     run = np.cumsum(gap) if gap is not None else np.zeros(len(rep), np.int64)
     for step in range(1, NEAR + 1):
         ok = (tree[step:] == tree[:-step]) & (run[step:] == run[:-step]) & (key[step:, :LEAST_DEPTH] == key[:-step, :LEAST_DEPTH]).all(1)
-        a.append(rep[:-step][ok])
-        b.append(rep[step:][ok])
-    return np.concatenate(a), np.concatenate(b)
+        a, b = rep[:-step][ok], rep[step:][ok]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), step)], 1))
+    return np.concatenate(out)
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of rows (rep, sig)."""
+    """Distinct candidate pairs (a < b) of rows (rep, sig), and the least number of steps between them in any order."""
 
     def make_keys():
         def each(batch):
@@ -83,7 +84,7 @@ def candidates(reps: DataFrame) -> DataFrame:
 
     keys = arrow_map(reps.select("rep", "sig"), "tree int, key binary, rep long", make_keys)
     ordered = keys.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    schema = "a long, b long, part int, place long, n long, tree int, key binary"
+    schema = "a long, b long, steps int, part int, place long, n long, tree int, key binary"
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -96,26 +97,24 @@ def candidates(reps: DataFrame) -> DataFrame:
             if n < NEAR:
                 first = [(int(tree[i]), key[i].tobytes(), int(rep[i])) for i in range(min(NEAR, len(rep)))]
             n += new
-            a, b = neighbours(tree, key, rep)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            pairs = np.unique(neighbours(tree, key, rep), axis=0)
             k = len(pairs)
-            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]} | {c: [None] * k for c in ("part", "place", "n", "tree", "key")}, schema=fields)
+            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1], "steps": pairs[:, 2].astype(np.int32)} | {c: [None] * k for c in ("part", "place", "n", "tree", "key")}, schema=fields)
             held = tree[-NEAR:], key[-NEAR:], rep[-NEAR:]
         if n:
             last = [(int(t), k.tobytes(), int(r)) for t, k, r in zip(*held)]
             ends = {i: x for i, x in enumerate(first)} | {n - len(last) + i: x for i, x in enumerate(last)}
-            yield pa.RecordBatch.from_pydict({"a": [x[2] for x in ends.values()], "b": [None] * len(ends), "part": [part] * len(ends), "place": list(ends), "n": [n] * len(ends), "tree": [x[0] for x in ends.values()], "key": [x[1] for x in ends.values()]}, schema=fields)
+            yield pa.RecordBatch.from_pydict({"a": [x[2] for x in ends.values()], "b": [None] * len(ends), "steps": [None] * len(ends), "part": [part] * len(ends), "place": list(ends), "n": [n] * len(ends), "tree": [x[0] for x in ends.values()], "key": [x[1] for x in ends.values()]}, schema=fields)
 
     found = written(ordered.mapInArrow(run, schema), "neighbours")
     spark = reps.sparkSession
     ends = found.where("b is null").orderBy("part", "place").collect()  # at most 2 NEAR rows of each partition
-    across: list[tuple[int, int]] = []
+    across: list[list[int]] = []
     if ends:
         gap = [i > 0 and r.part == ends[i - 1].part and r.place != ends[i - 1].place + 1 for i, r in enumerate(ends)]
-        a, b = neighbours(np.array([r.tree for r in ends]), np.frombuffer(b"".join(bytes(r.key) for r in ends), ">u4").reshape(-1, DEPTH), np.array([r.a for r in ends]), np.array(gap))
-        across = [(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())]
-    inner = found.where("b is not null").select("a", "b")
-    return inner.unionAll(spark.createDataFrame(across, "a long, b long")).where("a <> b").distinct()
+        across = neighbours(np.array([r.tree for r in ends]), np.frombuffer(b"".join(bytes(r.key) for r in ends), ">u4").reshape(-1, DEPTH), np.array([r.a for r in ends]), np.array(gap)).tolist()
+    inner = found.where("b is not null").select("a", "b", "steps")
+    return inner.unionAll(spark.createDataFrame(across, "a long, b long, steps int")).where("a <> b").groupBy("a", "b").agg(F.min("steps").alias("steps"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
@@ -159,8 +158,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     classes = written(usable.groupBy("set_key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("sig").alias("sig")), "classes")
     pairs = written(candidates(classes), "candidates")
     # equal ids with unlike texts: the sets of a class come from a text of its representative
-    links = confirmed(pairs, docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null"), width)
-    groups = components(links).withColumnRenamed("node", "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
+    near = written(confirmed(pairs.where(F.col("steps") <= NEAREST).select("a", "b"), texts, width, percent), "near")
+    first = written(components(near), "first")
+    group_of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")).hint("merge")
+    apart = pairs.where(F.col("steps") > NEAREST).join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
+    apart = written(apart.where(~F.coalesce("of_a", "a").eqNullSafe(F.coalesce("of_b", "b"))).select("a", "b"), "apart")
+    far = confirmed(apart, texts, width, percent)
+    groups = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(far)).withColumnRenamed("node", "rep")
     named = written(classes.select("set_key", "rep").join(groups.hint("merge"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
     out = rows.drop("sig").join(named.hint("merge"), "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", F.col("doc_id").cast("long")))

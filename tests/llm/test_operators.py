@@ -188,11 +188,12 @@ def test_near_duplicates_odd(odd_docs, no_docs):
 
 
 def test_neighbours_meet_over_partitions():
-    key = np.array([[1, 1, 1, i, 0, 0] for i in range(6)])
-    tree, rep = np.zeros(6), np.arange(6)
-    pairs = lambda gap: set(zip(*(x.tolist() for x in near_duplicates.neighbours(tree, key, rep, gap))))
-    assert (0, 3) in pairs(None) and (0, 4) not in pairs(None)
-    assert (2, 3) not in pairs(np.array([0, 0, 0, 1, 0, 0]))
+    far = near_duplicates.NEAR + 1
+    key = np.array([[1, 1, 1, i, 0, 0] for i in range(far + 1)])
+    tree, rep = np.zeros(far + 1), np.arange(far + 1)
+    pairs = lambda gap: {(a, b): s for a, b, s in near_duplicates.neighbours(tree, key, rep, gap).tolist()}
+    assert pairs(None)[0, 3] == 3 and (0, far) not in pairs(None)
+    assert (2, 3) not in pairs(np.arange(far + 1) == 3)
 
 
 # -- decontamination
