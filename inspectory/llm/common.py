@@ -43,11 +43,27 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 
     def run(batches):
         each = make()
-        for batch in batches:
+        for batch in parts(batches):
             for out in each(batch):
                 yield pa.RecordBatch.from_pydict(out, schema=fields)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of a bounded number of rows, so what a slice becomes in Python stays small beside the batch; freed memory goes back between batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Whole texts are long: unless the session sets its own number, 1,000 rows make an Arrow batch."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_map, shingles, utf8, words, written
+from .common import arrow_map, shingles, small_batches, utf8, words, written
 from .components import components
 
 TREES, DEPTH, LEAST_DEPTH, NEAREST, NEAR, PERCENT = 20, 6, 3, 3, 12, 80
@@ -106,7 +106,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             ends = {i: x for i, x in enumerate(first)} | {n - len(last) + i: x for i, x in enumerate(last)}
             yield pa.RecordBatch.from_pydict({"a": [x[2] for x in ends.values()], "b": [None] * len(ends), "steps": [None] * len(ends), "part": [part] * len(ends), "place": list(ends), "n": [n] * len(ends), "tree": [x[0] for x in ends.values()], "key": [x[1] for x in ends.values()]}, schema=fields)
 
-    found = written(ordered.mapInArrow(run, schema), "neighbours")
+    found = written(small_batches(ordered).mapInArrow(run, schema), "neighbours")
     spark = reps.sparkSession
     ends = found.where("b is null").orderBy("part", "place").collect()  # at most 2 NEAR rows of each partition
     across: list[list[int]] = []

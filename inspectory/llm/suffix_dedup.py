@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_map, mix, utf8, written
+from .common import arrow_map, mix, parts, small_batches, utf8, written
 
 SPAN, GRAM, SEGMENT, BUCKET_ROWS, RUN_ROWS, MASK_BYTES = 200, 48, 1 << 18, 20_000, 150_000, 20
 GRAMS = SPAN - GRAM + 1
@@ -289,7 +289,7 @@ def runs_table(hit: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         number, held, n = TaskContext.get().partitionId() << 20, {}, 0
-        for batch in batches:
+        for batch in parts(batches):
             for k, t, hs in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2)):
                 place, first, last, h = anchors(t)
                 h = h.view(np.int64)
@@ -303,7 +303,7 @@ def runs_table(hit: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flushed(held, number)
 
-    return hit.mapInArrow(run, schema)
+    return small_batches(hit).mapInArrow(run, schema)
 
 
 def spans_of(flags: DataFrame) -> DataFrame:

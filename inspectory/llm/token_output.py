@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import parts, small_batches
 from .tokens import ByteEncoder
 
 CAPACITY, BLOCK = 2048, 4_000_000
@@ -84,7 +84,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
         encoder, end, task = ByteEncoder(vocabulary), ByteEncoder.END.to_bytes(2, "little"), TaskContext.get().partitionId()
         held, size, n = [], 0, 0
-        for batch in batches:
+        for batch in parts(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = encoder.ids(text.as_py() or "") + end
                 for at in range(0, len(raw) // 2, capacity):
@@ -101,7 +101,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     schema = f"block long, row long, doc_ids array<{kind}>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, n_tokens int, ids binary, ids_crc32 long"
     fields = to_arrow_schema(StructType.fromDDL(schema))
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return small_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, schema)
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

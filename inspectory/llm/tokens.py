@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 
-LIMIT = 400_000
+LIMIT = 250_000
 
 
 def byte_letters() -> list[str]:
