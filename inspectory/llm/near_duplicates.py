@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 from .common import arrow_map, shingles, small_batches, utf8, words, written
 from .components import components
 
-TREES, DEPTH, LEAST_DEPTH, NEAREST, NEAR, PERCENT = 20, 6, 3, 1, 12, 80
+TREES, DEPTH, LEAST_DEPTH, NEAREST, NEAR, PERCENT = 20, 6, 4, 1, 12, 80
 
 _rng = np.random.default_rng(20240511)
 _MUL = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -189,7 +189,7 @@ def test_near_duplicates_odd(odd_docs, no_docs):
 
 def test_neighbours_meet_over_partitions():
     far = near_duplicates.NEAR + 1
-    key = np.array([[1, 1, 1, i, 0, 0] for i in range(far + 1)])
+    key = np.array([[1, 1, 1, 1, i, 0] for i in range(far + 1)])
     tree, rep = np.zeros(far + 1), np.arange(far + 1)
     pairs = lambda gap: {(a, b): s for a, b, s in near_duplicates.neighbours(tree, key, rep, gap).tolist()}
     assert pairs(None)[0, 3] == 3 and (0, far) not in pairs(None)
