@@ -373,7 +373,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     masks = runs.select("bucket", "run", "entries").groupBy("bucket").applyInPandas(merge, "bucket long, run long, masks binary")
     spans = spans_of(runs.select("bucket", "run", "places").join(masks.hint("merge"), ["bucket", "run"]).select("places", "masks"))
-    spans = spans.groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = written(spans.groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 
     def make():
         def each(batch):
@@ -382,11 +382,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return each
 
-    changed = written(arrow_map(hit.select("k", "text").join(spans.hint("merge"), "k").select("k", "text", "spans"), "k long, removed long, runs long, left_sha string, left binary", make), "changed")
-    changed = changed.groupBy("k").agg(F.first("removed").alias("removed"), F.first("runs").alias("runs"), F.first("left_sha").alias("left_sha"), *([F.first("left").alias("left")] * keep_text))
-    copies = digest.groupBy("sha").agg(F.count("*").alias("copies"))
-    out = digest.join(copies.hint("merge"), "sha").join(changed.hint("merge"), "k", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= SPAN)
+    changed = arrow_map(hit.select("k", "text").join(spans.hint("merge"), "k").select("k", "text", "spans"), "k long, removed long, runs long, left_sha string, left binary", make)
+    # one row for each text, written: Spark then splits the other side where many copies share a key
+    changed = written(changed.groupBy("k").agg(F.first("removed").alias("removed"), F.first("runs").alias("runs"), F.first("left_sha").alias("left_sha"), *([F.first("left").alias("left")] * keep_text)), "changed")
+    copies = written(digest.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    out = digest.join(copies.hint("merge"), "sha", "left").join(changed.hint("merge"), "k", "left")
+    whole = F.col("copies").isNotNull() & (F.col("n_bytes") >= SPAN)
     pick = lambda all_gone, some, none: F.when(whole, all_gone).otherwise(F.coalesce(some, none))
     result = [
         "doc_id", "n_bytes", pick(F.col("n_bytes"), F.col("removed"), F.lit(0)).cast("long").alias("n_removed"),
