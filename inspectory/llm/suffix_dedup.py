@@ -12,6 +12,10 @@ are shared: a window that starts l bytes before the gram is shared by two places
 is at least l and their common prefix from it at least SPAN - l. Flags go back by run and place in the run; which
 documents stand behind a place never leaves the shared folder's table, so copies do not gather in one task.
 
+A bucket whose unlike entries are more than one task should hold (the edge of a passage that very many documents share)
+is not merged in one: its runs' windows are counted by their 128-bit hash over the cluster, each run's equal windows
+first made one row, and those found twice give the same flags.
+
 Equal texts are one text; those of SPAN bytes or more with a copy go whole. A null text is empty; texts shorter than SPAN
 are kept as they are; repeated rows are copies of each other; ids are carried only, so null or equal ids do no harm.
 """
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +39,7 @@ from pyspark.sql.types import StructType
 from .common import arrow_map, mix, parts, small_batches, utf8, written
 
 SPAN, GRAM, SEGMENT, BUCKET_ROWS, RUN_ROWS, MASK_BYTES = 200, 48, 1 << 18, 20_000, 150_000, 20
+RUN_ENTRIES, HOT_ENTRIES = 4096, 2 * BUCKET_ROWS
 GRAMS = SPAN - GRAM + 1
 _BASE = 0x2545F4914F6CDD1D
 
@@ -269,22 +275,25 @@ def gram_table(texts: DataFrame) -> DataFrame:
 
 
 def runs_table(hit: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, run, entries, places) from (k, text, hs): front-coded runs, and for each entry the texts and places behind it."""
-    schema = "bucket long, run long, entries binary, places binary"
+    """(bucket, run, n, entries, places) from (k, text, hs): front-coded runs of n entries, RUN_ENTRIES at most, and for each entry the texts and places behind it."""
+    schema = "bucket long, run long, n int, entries binary, places binary"
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def flushed(held: dict[int, dict], run: int):
-        cols = {"bucket": [], "run": [], "entries": [], "places": []}
+        cols = {"bucket": [], "run": [], "n": [], "entries": [], "places": []}
         for bucket, entries in held.items():
-            order = sorted(entries)
-            places, sizes = [], []
-            for e in order:
-                places += entries[e]
-                sizes.append(len(entries[e]))
-            cols["bucket"].append(bucket)
-            cols["run"].append(run)
-            cols["entries"].append(encoded([(*e, n > 1) for e, n in zip(order, sizes)]))
-            cols["places"].append(len(sizes).to_bytes(4, "little") + np.array(sizes, "<i4").tobytes() + np.array(places, "<i8").tobytes())
+            whole = sorted(entries)
+            for at in range(0, len(whole), RUN_ENTRIES):
+                order = whole[at : at + RUN_ENTRIES]
+                places, sizes = [], []
+                for e in order:
+                    places += entries[e]
+                    sizes.append(len(entries[e]))
+                cols["bucket"].append(bucket)
+                cols["run"].append((run << 8) + at // RUN_ENTRIES)
+                cols["n"].append(len(order))
+                cols["entries"].append(encoded([(*e, n > 1) for e, n in zip(order, sizes)]))
+                cols["places"].append(len(sizes).to_bytes(4, "little") + np.array(sizes, "<i4").tobytes() + np.array(places, "<i8").tobytes())
         return pa.RecordBatch.from_pydict(cols, schema=fields)
 
     def run(batches):
@@ -306,6 +315,43 @@ def runs_table(hit: DataFrame, buckets: int) -> DataFrame:
     return small_batches(hit).mapInArrow(run, schema)
 
 
+def window_masks(runs: DataFrame) -> DataFrame:
+    """(bucket, run, masks) from (bucket, run, n, entries), for runs too many for one task; runs without a repeated window give no row."""
+
+    def make_windows():
+        def each(batch):
+            for bucket, run, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                times: dict[bytes, int] = {}
+                places: dict[bytes, list[int]] = {}
+                for i, (_, suffix, before, more) in enumerate(decoded(entries)):
+                    text, edge = before + suffix, len(before)
+                    for el in range(max(0, SPAN - len(suffix)), edge + 1):
+                        w = xxhash.xxh3_128_digest(text[edge - el : edge - el + SPAN])
+                        times[w] = times.get(w, 0) + 1 + more
+                        places.setdefault(w, []).append(i << 8 | el)
+                yield {"bucket": [bucket] * len(times), "run": [run] * len(times), "w": list(times), "times": list(times.values()), "places": list(places.values())}
+
+        return each
+
+    windows = written(arrow_map(runs.select("bucket", "run", "entries"), "bucket long, run long, w binary, times long, places array<int>", make_windows), "windows")
+    twice = written(windows.groupBy("w").agg(F.sum("times").alias("times")).where("times > 1").select("w"), "twice")
+    flags = windows.join(twice.hint("merge"), "w", "left_semi").groupBy("bucket", "run").agg(F.flatten(F.collect_list("places")).alias("flags"))
+    flags = runs.select("bucket", "run", "n").join(flags.hint("merge"), ["bucket", "run"])
+
+    def make_masks():
+        def each(batch):
+            masks = []
+            for n, at in zip(batch.column(2).to_pylist(), batch.column(3)):
+                at, on = at.values.to_numpy(), np.zeros((n, 8 * MASK_BYTES), np.uint8)
+                on[at >> 8, at & 255] = 1
+                masks.append(np.packbits(on, 1, "little").tobytes())
+            yield {"bucket": batch.column(0), "run": batch.column(1), "masks": masks}
+
+        return each
+
+    return arrow_map(flags, "bucket long, run long, masks binary", make_masks)
+
+
 def spans_of(flags: DataFrame) -> DataFrame:
     """(k, start, end) of repeated strings from (places, masks)."""
 
@@ -355,7 +401,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join([*kept, text[at:]]), removed, runs
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_sha256 for each document; with ``keep_text`` also ``kept``, the bytes left."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
@@ -371,7 +417,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"bucket": pdf.bucket, "run": pdf.run, "masks": merge_bucket(pdf.entries.tolist())})
 
-    masks = runs.select("bucket", "run", "entries").groupBy("bucket").applyInPandas(merge, "bucket long, run long, masks binary")
+    sized = runs.groupBy("bucket").agg(F.sum("n").alias("size"))
+    hot = written(sized.where(F.col("size") > hot_entries).select("bucket"), "hot-buckets")
+    entries = runs.select("bucket", "run", "n", "entries")
+    masks = entries.join(hot.hint("merge"), "bucket", "left_anti").groupBy("bucket").applyInPandas(merge, "bucket long, run long, masks binary")
+    if not hot.isEmpty():
+        masks = masks.unionAll(window_masks(entries.join(hot.hint("merge"), "bucket", "left_semi")))
     spans = spans_of(runs.select("bucket", "run", "places").join(masks.hint("merge"), ["bucket", "run"]).select("places", "masks"))
     spans = written(spans.groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 

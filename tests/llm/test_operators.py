@@ -431,8 +431,17 @@ def test_suffix_dedup_hard(spark):
     rows = [(i, some(int(rng.integers(0, 90))) + shared[int(rng.integers(0, 40)) :] + some(int(rng.integers(0, 200)), 2)) for i in range(150)]
     rows += [(200, "ab" * 500), (201, "b" + "ab" * 130), (202, "x" * 700), (203, some(1000) * 2), (204, "é" * 150), (205, "é" * 120), (206, shared), (207, "ab" * 500), (208, some(600_000, 20))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [tuple(r) for r in suffix_dedup.deduplicated(df).collect()]
-    assert order(got) == order(brute_removed(rows))
+    want = order(brute_removed(rows))
+    for hot_entries in (suffix_dedup.HOT_ENTRIES, 60, 0):
+        assert order(tuple(r) for r in suffix_dedup.deduplicated(df, hot_entries=hot_entries).collect()) == want
+
+
+def test_suffix_dedup_hot(documents, texts, monkeypatch):
+    """All buckets by windows, and runs cut small: the same rows."""
+    monkeypatch.setattr(suffix_dedup, "RUN_ENTRIES", 1000)
+    want = order(brute_removed(texts))
+    for hot_entries in (suffix_dedup.HOT_ENTRIES, 0):
+        assert order(tuple(r) for r in suffix_dedup.deduplicated(documents, hot_entries=hot_entries).collect()) == want
 
 
 def test_suffix_dedup_odd(odd_docs, no_docs):
