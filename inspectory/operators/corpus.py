@@ -62,6 +62,7 @@ def perceptual_dedupe(df: DataFrame, distance: int, by: str | None = None) -> Da
     first = first_of_each(df, ["fp", *([by] if by else [])], ["place"])
     if distance == 0:
         return first
+    first = _written(first)  # read by the pairs and by the result
     open_pairs = _written(close_pairs(first, distance, by))
     dropped = open_pairs.select(F.col("later").alias("place")).limit(0)
     while not open_pairs.isEmpty():

@@ -96,9 +96,9 @@ def cu6_zero(spark, d):
 
 def fingerprints(spark, d):
     """64-bit simhash of three-word shingles, from digest bits: one sum of +1/-1 for each bit, by aggregation."""
-    w = F.split("text", r"\s+")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))
-    each = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).select("doc_id", F.xxhash64("g").alias("h"))
+    split = table(spark, d, "documents").select("doc_id", F.split("text", r"\s+").alias("w"))  # a column of its own: inside the lambda it would be split again for each word
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    each = split.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).select("doc_id", F.xxhash64("g").alias("h"))
     bit = lambda i: F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) * 2 - 1)
     sums = each.groupBy("doc_id").agg(*(bit(i).alias(f"b{i}") for i in range(64)))
     fp = F.lit(0).cast("long")
