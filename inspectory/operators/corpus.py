@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import scratch
 
 
 def interleave(df: DataFrame, by: str = "asset_class", kind: str = "defect") -> DataFrame:
@@ -26,18 +25,9 @@ def first_of_each(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "corpus")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def close_pairs(df: DataFrame, distance: int, by: str | None = None, bits: int = 64) -> DataFrame:

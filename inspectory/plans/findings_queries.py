@@ -232,6 +232,17 @@ def jn11(spark, d):
     return count("findings").unionAll(count("models")).unionAll(count("datasets"))
 
 
+@query("snk4_findings_append", sql(FINDINGS, "SELECT finding_id, verdict, severity, strftime(ts,'%Y-%m-%d') AS day FROM findings"))
+def snk4(spark, d):
+    from ..sources.tables import append_findings, scratch
+
+    rows, at = findings(spark, d), scratch(spark, "findings")
+    for new in (rows.where(~F.col("backfilled")), rows.where("backfilled")):
+        append_findings(new, at)
+    schema = rows.withColumn("day", C.utc_day("ts")).schema
+    return spark.read.schema(schema).parquet(at).select("finding_id", "verdict", "severity", "day")
+
+
 @query("snk6_embedding_backfill", "SELECT count(*) FILTER (l.vec_id IS NOT NULL) AS done, count(*) FILTER (l.vec_id IS NULL) AS failed FROM (SELECT event_id FROM events WHERE event_type='error') e LEFT JOIN embeddings l ON l.vec_id=e.event_id")
 def snk6(spark, d):
     from ..sources.tables import backfill_embeddings

@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import scratch
 from ..streaming import sessions as O
 from .adapters import FRAMES, STEPS, findings, frames, sql, steps, table
 from .registry import query
 
 
-def scratch(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def streamed(spark, df, build, mode: str):
     """Write rows, read them as a stream, and return what the stream wrote when all were there."""
-    at = scratch(spark)
+    at = scratch(spark, "stream")
     df.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{at}/in")
     out = build(stream)
@@ -91,7 +80,7 @@ def st8(spark, d):
 def st9(spark, d):
     from .registry_queries import registry
 
-    f, at = frames(spark, d).select("frame_id", "vec"), scratch(spark)
+    f, at = frames(spark, d).select("frame_id", "vec"), scratch(spark, "stream")
     f.write.parquet(f"{at}/in")
     registry(spark, d).write.parquet(f"{at}/models")
     stream = spark.readStream.schema(f.schema).parquet(f"{at}/in")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,9 +108,20 @@ def shifted(findings: DataFrame, days: int) -> DataFrame:
     return findings.withColumn("observed_at", F.col("ts")).withColumn("ts", F.when(F.col("backfilled"), F.col("ts") - F.make_dt_interval(days=back)).otherwise(F.col("ts")))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which driver and executors share; only a local session without it gets a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def append_findings(df: DataFrame, path: str) -> None:
-    """Append, one folder for each day."""
-    df.withColumn("day", C.utc_day("ts")).write.mode("append").partitionBy("day").parquet(path)
+    """Append, one folder for each day. A day's rows are gathered first, so tasks do not each write a file for every day; large days are split."""
+    df.withColumn("day", C.utc_day("ts")).hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(path)
 
 
 def write_version(df: DataFrame, root: str, version: int) -> str:
