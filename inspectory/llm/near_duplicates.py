@@ -1,11 +1,10 @@
 """MinHash near-duplicates with an LSH forest.
 
 Each document's signature is cut into several trees' keys. All keys of a tree are sorted over the cluster (range
-partitions, no task sees a whole region); a document's candidates are the neighbours with the longest common prefix in
-each order. Depth so adapts to the region: where few documents are alike, a short common prefix makes neighbours; where
-many are, only the deepest ones are nearest. Rows at the ends of partitions meet in a small second step. Candidates are
-confirmed on their full shingle sets; connected components give the groups. The nearest neighbours are confirmed first;
-of the farther ones, only pairs that the first groups do not join yet.
+partitions, no task sees a whole region). Rows at the ends of partitions meet in a small second step. Next neighbours
+are confirmed first on their full shingle sets, and connected components give the first groups. Then every region (the
+rows of a tree that share a prefix) that these groups do not join yet is compared whole: a small one pair by pair, a
+crowded one in blocks, each pair of blocks a task's bounded work. A pair is missed only if no tree gives it a common prefix.
 
 Documents with equal shingle sets are one class and linked without candidates, so copies are never expanded into pairs.
 Null and empty texts have no shingles and stay alone; repeated rows and equal ids fall into one group if their texts do;
@@ -24,9 +23,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import arrow_map, shingles, small_batches, utf8, words, written
-from .components import components
+from .components import components, forest
 
-TREES, DEPTH, LEAST_DEPTH, NEAREST, NEAR, PERCENT = 20, 6, 4, 1, 12, 80
+TREES, DEPTH, LEAST_DEPTH, NEAREST, NEAR, PERCENT = 20, 6, 3, 1, 12, 80
+#: A block of a crowded region: rows, and bytes of their sets.
+BLOCK_ROWS, BLOCK_BYTES, FEW_REGIONS = 1024, 4_000_000, 50_000
 
 _rng = np.random.default_rng(20240511)
 _MUL = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,19 +61,29 @@ def described(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     return arrow_map(docs.select(F.col(id_col), F.col(text_col)), f"doc_id {kind}, n_shingles long, set_key binary, sig binary", make)
 
 
-def neighbours(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, gap: np.ndarray | None = None) -> np.ndarray:
-    """Rows (less, greater, steps apart) for sorted rows at most NEAR apart, of one tree, with a common prefix of LEAST_DEPTH values. No pair spans a gap (true: something is missing before this row)."""
+def neighbours(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, gap: np.ndarray | None = None, most: int = NEAR) -> np.ndarray:
+    """Rows (less, greater, steps apart) for sorted rows at most ``most`` apart, of one tree, with a common prefix of LEAST_DEPTH values. No pair spans a gap (true: something is missing before this row)."""
     out = [np.empty((0, 3), np.int64)]
     run = np.cumsum(gap) if gap is not None else np.zeros(len(rep), np.int64)
-    for step in range(1, NEAR + 1):
+    for step in range(1, most + 1):
         ok = (tree[step:] == tree[:-step]) & (run[step:] == run[:-step]) & (key[step:, :LEAST_DEPTH] == key[:-step, :LEAST_DEPTH]).all(1)
         a, b = rep[:-step][ok], rep[step:][ok]
         out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), step)], 1))
     return np.concatenate(out)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of rows (rep, sig), and the least number of steps between them in any order."""
+def regions(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, gap: np.ndarray | None = None) -> np.ndarray:
+    """Rows (rep, region) for sorted rows next to one of their tree with the same prefix of LEAST_DEPTH values."""
+    same = (tree[1:] == tree[:-1]) & (key[1:, :LEAST_DEPTH] == key[:-1, :LEAST_DEPTH]).all(1)
+    if gap is not None:
+        same &= ~gap[1:]
+    at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    name = [xxhash.xxh3_64_intdigest(int(tree[i]).to_bytes(4) + key[i, :LEAST_DEPTH].astype(">u4").tobytes()) for i in at]
+    return np.stack([rep[at].astype(np.int64), np.array(name, np.uint64).view(np.int64)], 1)
+
+
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (rep, sig): distinct pairs (a < b) that are next to each other in any order; and (rep, region) of all regions with several rows."""
 
     def make_keys():
         def each(batch):
@@ -84,7 +95,7 @@ def candidates(reps: DataFrame) -> DataFrame:
 
     keys = arrow_map(reps.select("rep", "sig"), "tree int, key binary, rep long", make_keys)
     ordered = keys.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    schema = "a long, b long, steps int, part int, place long, n long, tree int, key binary"
+    schema = "a long, b long, region long, part int, place long, n long, tree int, key binary"
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -97,29 +108,31 @@ def candidates(reps: DataFrame) -> DataFrame:
             if n < NEAR:
                 first = [(int(tree[i]), key[i].tobytes(), int(rep[i])) for i in range(min(NEAR, len(rep)))]
             n += new
-            pairs = np.unique(neighbours(tree, key, rep), axis=0)
-            k = len(pairs)
-            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1], "steps": pairs[:, 2].astype(np.int32)} | {c: [None] * k for c in ("part", "place", "n", "tree", "key")}, schema=fields)
+            pairs, own = np.unique(neighbours(tree, key, rep, most=NEAREST), axis=0), regions(tree, key, rep)
+            for columns in ({"a": pairs[:, 0], "b": pairs[:, 1]}, {"a": own[:, 0], "region": own[:, 1]}):
+                yield pa.RecordBatch.from_pydict({f.name: columns.get(f.name, [None] * len(columns["a"])) for f in fields}, schema=fields)
             held = tree[-NEAR:], key[-NEAR:], rep[-NEAR:]
         if n:
             last = [(int(t), k.tobytes(), int(r)) for t, k, r in zip(*held)]
             ends = {i: x for i, x in enumerate(first)} | {n - len(last) + i: x for i, x in enumerate(last)}
-            yield pa.RecordBatch.from_pydict({"a": [x[2] for x in ends.values()], "b": [None] * len(ends), "steps": [None] * len(ends), "part": [part] * len(ends), "place": list(ends), "n": [n] * len(ends), "tree": [x[0] for x in ends.values()], "key": [x[1] for x in ends.values()]}, schema=fields)
+            yield pa.RecordBatch.from_pydict({"a": [x[2] for x in ends.values()], "b": [None] * len(ends), "region": [None] * len(ends), "part": [part] * len(ends), "place": list(ends), "n": [n] * len(ends), "tree": [x[0] for x in ends.values()], "key": [x[1] for x in ends.values()]}, schema=fields)
 
     found = written(small_batches(ordered).mapInArrow(run, schema), "neighbours")
     spark = reps.sparkSession
-    ends = found.where("b is null").orderBy("part", "place").collect()  # at most 2 NEAR rows of each partition
+    ends = found.where("part is not null").orderBy("part", "place").collect()  # at most 2 NEAR rows of each partition
     across: list[list[int]] = []
+    named: list[list[int]] = []
     if ends:
         gap = [i > 0 and r.part == ends[i - 1].part and r.place != ends[i - 1].place + 1 for i, r in enumerate(ends)]
-        across = neighbours(np.array([r.tree for r in ends]), np.frombuffer(b"".join(bytes(r.key) for r in ends), ">u4").reshape(-1, DEPTH), np.array([r.a for r in ends]), np.array(gap)).tolist()
-    inner = found.where("b is not null").select("a", "b", "steps")
-    return inner.unionAll(spark.createDataFrame(across, "a long, b long, steps int")).where("a <> b").groupBy("a", "b").agg(F.min("steps").alias("steps"))
+        at = np.array([r.tree for r in ends]), np.frombuffer(b"".join(bytes(r.key) for r in ends), ">u4").reshape(-1, DEPTH), np.array([r.a for r in ends]), np.array(gap)
+        across, named = neighbours(*at, most=NEAREST)[:, :2].tolist(), regions(*at).tolist()
+    pairs = found.where("b is not null").select("a", "b").unionAll(spark.createDataFrame(across, "a long, b long")).where("a <> b").distinct()
+    members = found.where("region is not null").select(F.col("a").alias("rep"), "region").unionAll(spark.createDataFrame(named, "rep long, region long"))
+    return pairs, members.distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have at least this Jaccard similarity; texts: (rep, text)."""
-    ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
+def full_sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(rep, set) for each text of these ids."""
 
     def make_sets():
         def each(batch):
@@ -127,7 +140,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PER
 
         return each
 
-    sets = written(arrow_map(texts.join(ids.hint("shuffle_hash"), "rep", "left_semi"), "rep long, set binary", make_sets), "sets")
+    return written(arrow_map(texts.join(ids.hint("shuffle_hash"), "rep", "left_semi"), "rep long, set binary", make_sets), "sets")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets have at least this Jaccard similarity; texts: (rep, text)."""
+    ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = full_sets(ids, texts, width)
     with_b = pairs.join(sets.withColumnsRenamed({"rep": "b", "set": "set_b"}).hint("merge"), "b")
     both = with_b.join(sets.withColumnsRenamed({"rep": "a", "set": "set_a"}).hint("merge"), "a").select("a", "b", "set_a", "set_b")
 
@@ -151,20 +170,93 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PER
     return arrow_map(both, "a long, b long", make)
 
 
+def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Number of common values of each set of x with each of y."""
+    nx, lengths = len(x), np.array([len(s) for s in (*x, *y)])
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    value, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    both = (np.bincount(at[row < nx], minlength=len(value)) > 0) & (np.bincount(at[row >= nx], minlength=len(value)) > 0)
+    column = np.cumsum(both) - 1
+    use = both[at]
+    row, at = row[use], column[at[use]]
+    out = np.zeros((nx, len(y)), np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for first in range(0, int(both.sum()), 4096):
+        part = slice(*np.searchsorted(at, (first, first + 4096)))
+        one = np.zeros((len(lengths), min(4096, int(both.sum()) - first)), np.float32)
+        one[row[part], at[part] - first] = 1
+        out += one[:nx] @ one[nx:].T
+    return np.rint(out).astype(np.int64)
+
+
+def linked(x: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Components to join in two blocks (columns of, set, side: 0, 1, or 2 in a block that meets itself)."""
+    of, side = x.column("of").to_numpy(), x.column("side").to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in x.column("set").to_pylist()]
+    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(a) or not len(b):
+        return []
+    size = np.array([len(s) for s in sets])
+    same = shared([sets[i] for i in a], [sets[i] for i in b])
+    ok = (100 * same >= percent * (size[a][:, None] + size[b][None, :] - same)) & (of[a][:, None] != of[b][None, :])
+    i, j = np.nonzero(ok)
+    return [(r, n) for n, r in forest(np.unique(np.stack([of[a[i]], of[b[j]]], 1), axis=0).tolist()).items() if n != r]
+
+
+def crowded(members: DataFrame, stats: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of components to join: all rows (rep, of, size) of a region meet, except those of one component.
+
+    A component that fills blocks has blocks of its own, which do not meet each other; the rest share blocks."""
+    few = F.broadcast if stats.count() <= FEW_REGIONS else lambda df: df.hint("merge")
+    rows = members.join(few(stats.select("region")), "region")
+    heavy = written(rows.groupBy("region", "of").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")), "heavy")
+    blocks = lambda n, b: F.ceil(F.greatest(n / BLOCK_ROWS, b / BLOCK_BYTES, F.lit(1))).cast("int")
+    large = (F.col("rows") > BLOCK_ROWS // 4) | (F.col("bytes") > BLOCK_BYTES // 4)
+    rest = heavy.where(~large).groupBy("region").agg(blocks(F.sum("rows"), F.sum("bytes")).alias("n_rest"))
+    own = heavy.where(large).select("region", "of", blocks(F.col("rows"), F.col("bytes")).alias("n_own"))
+    few_own = F.broadcast if own.count() <= FEW_REGIONS else lambda df: df.hint("merge")
+    rows = rows.join(few(rest), "region", "left").join(few_own(own), ["region", "of"], "left")
+    mine = F.when(F.col("n_own").isNotNull(), F.col("of"))
+    number = F.when(mine.isNotNull(), F.pmod(F.xxhash64("rep"), "n_own")).otherwise(F.pmod(F.xxhash64("rep"), "n_rest"))
+    rows = written(rows.select("region", "rep", "of", mine.alias("mine"), number.alias("block")), "blocks")
+    block = rows.select("region", "mine", "block").distinct().withColumn("name", F.xxhash64("mine", "block"))
+    x, y = (block.select("region", F.col("name").alias(f"{c}_name"), F.col("mine").alias(f"{c}_mine")) for c in "xy")
+    meet = x.join(y, "region").where((F.col("x_name") <= F.col("y_name")) & ((F.col("x_mine") == F.col("y_mine")).isNull() | (F.col("x_mine") != F.col("y_mine"))))
+    alone = F.col("x_name") == F.col("y_name")
+    sides = F.when(alone, F.array(F.struct(F.col("x_name").alias("name"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("x_name").alias("name"), F.lit(0).alias("side")), F.struct(F.col("y_name").alias("name"), F.lit(1).alias("side"))))
+    meet = meet.select("region", F.xxhash64("region", "x_name", "y_name").alias("pair"), F.explode(sides).alias("s")).select("region", "pair", "s.name", "s.side")
+    copies = rows.withColumn("name", F.xxhash64("mine", "block")).join(meet, ["region", "name"]).select("pair", "rep", "of", "side")
+    sets = full_sets(rows.select("rep").distinct(), texts, width)
+    own_rows = copies.join(sets.hint("merge"), "rep").select("pair", "of", "side", "set")
+
+    def compare(table):
+        found = linked(table, percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return own_rows.groupBy("pair").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document; ids are integers."""
     rows = written(described(docs, width), "described")
     usable = rows.where("set_key is not null and doc_id is not null")
-    classes = written(usable.groupBy("set_key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("sig").alias("sig")), "classes")
-    pairs = written(candidates(classes), "candidates")
+    classes = written(usable.groupBy("set_key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+    pairs, members = candidates(classes)
     # equal ids with unlike texts: the sets of a class come from a text of its representative
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
-    near = written(confirmed(pairs.where(F.col("steps") <= NEAREST).select("a", "b"), texts, width, percent), "near")
+    near = written(confirmed(pairs, texts, width, percent), "near")
     first = written(components(near), "first")
-    group_of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")).hint("merge")
-    apart = pairs.where(F.col("steps") > NEAREST).join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
-    apart = written(apart.where(~F.coalesce("of_a", "a").eqNullSafe(F.coalesce("of_b", "b"))).select("a", "b"), "apart")
-    far = confirmed(apart, texts, width, percent)
+    group_of = first.select(F.col("node").alias("rep"), F.col("component").alias("of")).hint("merge")
+    sizes = classes.groupBy("rep").agg((8 * F.max("n_shingles")).alias("size")).hint("merge")
+    members = written(members.join(group_of, "rep", "left").join(sizes, "rep").withColumn("of", F.coalesce("of", "rep")), "members")
+    total = lambda salt: F.sum(F.xxhash64("rep", F.lit(salt)).cast("decimal(38,0)"))
+    stats = members.groupBy("region").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y"), total(1).alias("h"), total(2).alias("g"))
+    stats = written(stats.where("x < y").dropDuplicates(["n", "h", "g"]).select("region", "n"), "regions")  # the same rows in several trees meet once
+    small = members.join(stats.where(F.col("n") <= NEAR + 1).select("region").hint("merge"), "region").select("region", "rep", "of")
+    side = lambda c: small.select("region", F.col("rep").alias(c), F.col("of").alias(f"of_{c}"))
+    apart = written(side("a").join(side("b").hint("merge"), "region").where("a < b and of_a <> of_b").select("a", "b").distinct(), "apart")
+    far = confirmed(apart, texts, width, percent).unionAll(crowded(members, stats.where(F.col("n") > NEAR + 1), texts, width, percent))
     groups = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(far)).withColumnRenamed("node", "rep")
     named = written(classes.select("set_key", "rep").join(groups.hint("merge"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
     out = rows.drop("sig").join(named.hint("merge"), "set_key", "left")
