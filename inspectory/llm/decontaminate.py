@@ -2,10 +2,14 @@
 
 A mask over consecutive words keeps some positions and ignores the others, so a seed still matches when ignored words were
 replaced. Seeds of every benchmark item are looked up in every document; around each hit, along its diagonal, the longest
-stretch with at least 80 % equal words is found, and reported if it spans 13 words or the whole shorter item.
+stretch with at least 80 % equal words is found, and reported if it spans 13 words from an equal word to an equal word. An
+item of any length is also reported if it stands whole with at least 80 % equal words, its ends included.
+
+The masks find every such case: of 13 words or more with 80 % equal, some 4 next to each other are, but for 15 words with
+every fourth changed, which hold 1110111. Shorter items have masks by their length.
 
 Words are runs of ASCII letters and digits and of bytes beyond ASCII, A-Z lower-cased, so case and punctuation are
-ignored. Items shorter than a mask are sought whole; items of fewer than 5 words are not sought. Benchmark items go to
+ignored. Items of fewer than 5 words are not sought. Benchmark items go to
 the tasks in blocks of bounded bytes, each block against all documents. Null and empty texts match nothing; repeated
 rows are treated alike; empty tables give no rows.
 """
@@ -21,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, mix, utf8, word_hashes
 from .licenses import TO_WORDS
 
-MASKS = ("1101100101", "1110010011", "1011001101")
+MASKS = ("1111", "1110111")
+#: Masks of items by their number of words, where others than MASKS are needed.
+SHORT = {5: ("1111", "11011", "10111", "11101"), 6: ("1111", "111011", "110111"), 10: ("1111", "111011")}
 LEAST, SPAN, SIMILAR, BLOCK_BYTES = 5, 13, 0.8, 16_000_000
 
 
@@ -65,13 +71,12 @@ class Items:
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         found = [(i, word_hashes(t.translate(TO_WORDS).split())) for i, t in items]
         self.items = [(i, h) for i, h in found if len(h) >= LEAST]
-        span = max(map(len, MASKS))
-        self.masks = [*MASKS, *sorted({"1" * len(h) for _, h in self.items if len(h) < span})]
+        self.masks = sorted({m for _, h in self.items for m in SHORT.get(len(h), MASKS)})
         self.at: list[dict[int, list[tuple[int, int]]]] = [{} for _ in self.masks]
         self.maybe = [np.zeros(1 << 20, bool) for _ in self.masks]
         for n, (_, h) in enumerate(self.items):
             for at, maybe, mask in zip(self.at, self.maybe, self.masks):
-                if len(mask) == len(h) or (mask in MASKS and len(h) >= span):
+                if mask in SHORT.get(len(h), MASKS):
                     for pos, s in enumerate(seeds(h, mask).tolist()):
                         at.setdefault(s, []).append((n, pos))
                         maybe[s >> 44] = True
@@ -90,7 +95,13 @@ class Items:
             item = self.items[n][1]
             a, b = max(0, -shift), min(len(item), len(h) - shift)
             equal = item[a:b] == h[a + shift : b + shift]
-            x, y = stretch(equal)
+            same = int(equal.sum())
+            if 5 * same < 4 * min(SPAN, len(item)):
+                continue
+            if b - a == len(item) and 5 * same >= 4 * len(item):
+                x, y = 0, len(item)
+            else:
+                x, y = stretch(equal)
             if y - x >= min(SPAN, len(item)) and (n not in best or (y - x, -shift) > (best[n][1], -best[n][0])):
                 best[n] = (a + x + shift, y - x, int(equal[x:y].sum()))
         return [(self.items[n][0], *v) for n, v in sorted(best.items())]

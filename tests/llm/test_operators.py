@@ -241,6 +241,28 @@ def test_substitutions():
     assert decontaminate.stretch(np.array([1, 0, 1, 1, 1, 1, 0, 0, 0, 1], bool)) == (0, 6)
 
 
+def test_masks_find_every_pattern():
+    from itertools import combinations
+
+    fits = lambda kept, m: any(all(kept[i + j] or k == "0" for j, k in enumerate(m)) for i in range(len(kept) - len(m) + 1))
+    for n in range(5, 26):
+        masks = decontaminate.SHORT.get(n, decontaminate.MASKS)
+        for changed in combinations(range(n), n // 5):
+            assert any(fits([i not in changed for i in range(n)], m) for m in masks), (n, changed)
+    noise = [b"n%d" % i for i in range(20)]
+    for n in (5, 6, 7, 10, 11, 13, 15, 60):
+        item = [b"w%d" % i for i in range(n)]
+        found = decontaminate.Items([(7, b" ".join(item))])
+        for changed in combinations(range(n), n // 5) if n < 60 else [range(4, 60, 5)]:
+            copy = [b"other" if i in changed else w for i, w in enumerate(item)]
+            assert found.found(b" ".join(noise + copy + noise)) == [(7, 20, n, n - len(changed))]
+    long = [b"w%d" % i for i in range(40)]
+    found = decontaminate.Items([(7, b" ".join(long))])
+    for changed in combinations(range(11, 22), 2):
+        copy = [b"other" if i in changed else w for i, w in enumerate(long)][10:23]
+        assert found.found(b" ".join(noise + copy + noise)) == [(7, 20, 13, 11)]
+
+
 def test_decontamination_odd(spark, odd_docs, no_docs, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six seven")], "item_id long, text string")
