@@ -23,14 +23,18 @@ TO_WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
+CC_END = "[[international]] [[unported]] [[generic]] [[public]] license"
+
+# A statement ("licensed under ...") names its licence to the end, so no other one's name goes on from it; a text stands in full.
 TEMPLATES = {
-    "mit": ["[[the]] mit license [[mit]] [[copyright [[c]] <<12>>]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "[[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license"],
+    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions [[1]] the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[2]] the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "[[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license"],
     "isc": ["permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "bsd-2-clause": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice"],
+    "bsd-2-clause": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] [[a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] [[b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by <<10>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<10>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"],
     "apache-2": ["licensed under the apache license version 2 [[0]] [[the license]]"],
-    "gpl-3": ["this program is free software [[you can]] redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3", "[[licensed]] under the [[terms of the]] gnu general public license [[version]] [[v3]] [[3]]"],
-    "cc-by": ["licensed under [[the]] [[a]] creative commons attribution [[<<1>> <<1>>]] [[international]] license"],
-    "cc-by-nc": ["licensed under [[the]] [[a]] cc by nc [[4 0]]", "creative commons attribution noncommercial"],
+    "gpl-3": ["this program is free software [[you can]] redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [[either]] version 3 of the license", *(f"[[licensed]] under the [[terms of the]] gnu general public license {v}" for v in ("version 3", "v3"))],
+    "cc-by": [f"licensed under [[the]] [[a]] creative commons attribution {v} {CC_END}" for v in ("", *CC_VERSIONS)],
+    "cc-by-nc": [*(f"licensed under [[the]] [[a]] cc by nc {v}" for v in ("license", *CC_VERSIONS)), *(f"creative commons attribution {nc} {v} {CC_END}" for nc in ("noncommercial", "non commercial") for v in ("", *CC_VERSIONS))],
     "all-rights-reserved": ["[[copyright [[c]] <<6>>]] all rights reserved"],
 }
 
