@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
 A candidate is a long string that stands shortly after a sensitive word. Its novelty is the number of bytes that it adds
-to a zstandard frame whose dictionary holds common identifiers and the text around it, divided by its length: words,
-paths and repeats cost little, random keys cost most of their length. Novel candidates are reported beside the matches
+to a zstandard frame whose dictionary holds common identifiers and the text around it without further copies of the
+candidate, divided by its length: words and paths cost little, random keys cost most of their length, repeated or not. Novel candidates are reported beside the matches
 of the fixed patterns, which always stay.
 
 A null text is empty. An empty text has no spans. Spans are code points, end exclusive, in order of start and then kind.
@@ -43,6 +43,12 @@ def novelty(candidate: str, around: str) -> float:
     return (len(pack.compress(base + candidate.encode())) - len(pack.compress(base))) / len(candidate)
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """The text around a candidate, every other copy of it blanked, those that the window's edges would cut included."""
+    body, wide = text[start:end], AROUND + end - start
+    return text[max(0, start - wide) : start].replace(body, " ")[-AROUND:] + text[end : end + wide].replace(body, " ")[:AROUND]
+
+
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     out = []
     if any(w in low for w in ASSIGN_WORDS):
@@ -58,14 +64,14 @@ def novel_spans(text: str, low: str, known: list[tuple[int, int, int]]) -> list[
         return []
     found: dict[int, int] = {}
     for hit in SENSITIVE_AT.finditer(text):
-        for m in CANDIDATE.finditer(text, hit.end(), hit.end() + REACH):
+        for m in CANDIDATE.finditer(text, hit.end(), hit.end() + REACH + 16):  # starts at most REACH after the word
             start, end = m.span()
-            while end < len(text) and CANDIDATE.match(text[end] * 16):  # REACH may cut a long candidate
+            while end < len(text) and CANDIDATE.match(text[end] * 16):  # the window may cut a long candidate
                 end += 1
             if start in found or any(a < end and start < b for a, _, b in known):
                 continue
             body = text[start:end]
-            if any(c.isdigit() for c in body) and any(c.isalpha() for c in body) and novelty(body, text[max(0, start - AROUND) : start] + text[end : end + AROUND]) >= NOVELTY:
+            if any(c.isdigit() for c in body) and any(c.isalpha() for c in body) and novelty(body, surroundings(text, start, end)) >= NOVELTY:
                 found[start] = end
     return [(a, 3, b) for a, b in found.items()]
 

@@ -100,6 +100,18 @@ def test_novelty():
     assert secrets.redacted("x password=abcdefgh y") == "x [REDACTED] y"
 
 
+def test_repeated_and_far_keys():
+    key = "q8Zr4TnV1xKp7LwB3yHd9sJf"
+    novel = lambda t: [(a, b) for a, k, b in secrets.spans(t)[1] if k == 3]
+    for between in (" and again: bearer ", " ." * 200 + " bearer ", " ." * 247 + " bearer "):  # the last copy is cut by the window's edge
+        text = f"bearer {key}{between}{key} end"
+        assert novel(text) == [(7, 31), (31 + len(between), 55 + len(between))]
+        assert key not in secrets.redacted(text)
+    for gap in (33, 40, 48):
+        assert novel("bearer" + " " * gap + key) == [(6 + gap, 30 + gap)]
+    assert novel("bearer" + " " * 49 + key) == []
+
+
 def test_secrets_odd(odd_docs, no_docs):
     assert secrets.scan(odd_docs).count() == odd_docs.count()
     assert secrets.scan(no_docs).count() == 0
