@@ -232,14 +232,14 @@ def test_neighbours_meet_over_partitions():
 
 
 def test_near_duplicates_in_a_family(spark, monkeypatch):
-    """300 relatives at 0.786 of each other; 30 pairs of them at 0.802."""
+    """300 relatives at 0.786 of each other; 30 pairs of them, far apart by id, at 0.802."""
     base = [f"c{i}" for i in range(88)]
     docs = []
     for d in range(300):
         own = [f"u{d}x{i}" for i in range(11)]
-        docs.append((d, " ".join([*base, f"p{d // 2 if d < 60 else d + 1000}", *own])))
+        docs.append((d, " ".join([*base, f"p{d % 150 if d % 150 < 30 else d + 1000}", *own])))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = {d: (100, d - d % 2 if d < 60 else d) for d, _ in docs}
+    want = {d: (100, d % 150 if d % 150 < 30 else d) for d, _ in docs}
     assert brute_groups(docs, 1) == want
     for rows in (near_duplicates.BLOCK_ROWS, 16):
         monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", rows)
