@@ -17,22 +17,30 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_OWN: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; where that is unset and Spark runs in one local process, a temporary folder of its own."""
+    """A folder of this application's own in ``spark.checkpoint.dir``, which the driver and all executors share; it is deleted when the driver's JVM ends. Where that setting is unset and Spark runs in one local process, a temporary folder takes its place."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    own = f"{at.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _OWN.add(own)
+    return own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage is cut and later plans know their real size."""
-    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,11 @@ rows of a tree that share a prefix) that these groups do not join yet is compare
 crowded one in blocks, each pair of blocks a task's bounded work. A pair is missed only if no tree gives it a common prefix.
 
 Documents with equal shingle sets are one class and linked without candidates, so copies are never expanded into pairs.
-Null and empty texts have no shingles and stay alone; repeated rows and equal ids fall into one group if their texts do;
-a null id stays alone; an empty table gives no rows.
+Rows have numbers of their own, so neither repeated ids nor null ones confuse texts.
+
+Null and empty texts have no shingles and are linked with nothing. Equal ids with unlike texts are separate documents
+that share a name. A null id is linked by its text and is nobody's component. Repeated rows fall into one group. Very
+long texts are taken whole. An empty table gives no rows. Carried columns may have any names but those of the result.
 """
 
 from __future__ import annotations
@@ -42,23 +45,25 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(">u4")
 
 
-def described(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets; null without shingles) and sig."""
+def described(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, carried, n_shingles, set_key (equal for equal sets; null without shingles) and sig."""
     kind = dict(docs.dtypes)[id_col]
+    carried = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried"))
 
     def make():
         def each(batch):
             sets = [shingles(words(t or b""), width) for t in utf8(batch.column(1))]
             yield {
-                "doc_id": batch.column(0),
+                "doc_id": batch.column(0), "text": batch.column(1), "carried": batch.column(2),
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "sig": [signature(s).tobytes() if len(s) else None for s in sets],
-            }
+            }
 
         return each
 
-    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), f"doc_id {kind}, n_shingles long, set_key binary, sig binary", make)
+    return arrow_map(source, f"doc_id {kind}, text string, carried {dict(source.dtypes)['carried']}, n_shingles long, set_key binary, sig binary", make)
 
 
 def neighbours(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, gap: np.ndarray | None = None, most: int = NEAR) -> np.ndarray:
@@ -143,10 +148,8 @@ def full_sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return written(arrow_map(texts.join(ids.hint("shuffle_hash"), "rep", "left_semi"), "rep long, set binary", make_sets), "sets")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have at least this Jaccard similarity; texts: (rep, text)."""
-    ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = full_sets(ids, texts, width)
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets have at least this Jaccard similarity; sets: (rep, set)."""
     with_b = pairs.join(sets.withColumnsRenamed({"rep": "b", "set": "set_b"}).hint("merge"), "b")
     both = with_b.join(sets.withColumnsRenamed({"rep": "a", "set": "set_a"}).hint("merge"), "a").select("a", "b", "set_a", "set_b")
 
@@ -204,7 +207,7 @@ def linked(x: pa.Table, percent: int) -> list[tuple[int, int]]:
     return [(r, n) for n, r in forest(np.unique(np.stack([of[a[i]], of[b[j]]], 1), axis=0).tolist()).items() if n != r]
 
 
-def crowded(members: DataFrame, stats: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
+def crowded(members: DataFrame, stats: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of components to join: all rows (rep, of, size) of a region meet, except those of one component.
 
     A component that fills blocks has blocks of its own, which do not meet each other; the rest share blocks."""
@@ -227,7 +230,6 @@ def crowded(members: DataFrame, stats: DataFrame, texts: DataFrame, width: int,
     sides = F.when(alone, F.array(F.struct(F.col("x_name").alias("name"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("x_name").alias("name"), F.lit(0).alias("side")), F.struct(F.col("y_name").alias("name"), F.lit(1).alias("side"))))
     meet = meet.select("region", F.xxhash64("region", "x_name", "y_name").alias("pair"), F.explode(sides).alias("s")).select("region", "pair", "s.name", "s.side")
     copies = rows.withColumn("name", F.xxhash64("mine", "block")).join(meet, ["region", "name"]).select("pair", "rep", "of", "side")
-    sets = full_sets(rows.select("rep").distinct(), texts, width)
     own_rows = copies.join(sets.hint("merge"), "rep").select("pair", "of", "side", "set")
 
     def compare(table):
@@ -237,32 +239,41 @@ def crowded(members: DataFrame, stats: DataFrame, texts: DataFrame, width: int,
     return own_rows.groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each document; ids are integers."""
-    rows = written(described(docs, width), "described")
-    usable = rows.where("set_key is not null and doc_id is not null")
-    classes = written(usable.groupBy("set_key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id of the group), kept (the id is its component's) and stays (true for
+    exactly one row of each group) for each row; with ``carry`` also text and the carried columns. Ids are integers."""
+    rows = written(described(docs, width, carry=carry).withColumn("row", F.monotonically_increasing_id()), "described")
+    doc = F.col("doc_id").cast("long")
+    least = lambda *c: F.min(F.struct(F.isnull(c[0]).alias("none"), c[0].alias("doc"), F.col(c[1]).alias("row")))
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(least(doc, "row").alias("head"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(classes.select("set_key", F.col("head.doc").alias("doc"), F.col("head.row").alias("rep"), "sig", "n_shingles"), "classes")
     pairs, members = candidates(classes)
-    # equal ids with unlike texts: the sets of a class come from a text of its representative
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
-    near = written(confirmed(pairs, texts, width, percent), "near")
+    members = written(members, "regions")
+    sets = full_sets(members.select("rep").distinct(), rows.select(F.col("row").alias("rep"), "text"), width)  # neighbours share a region
+    near = written(confirmed(pairs, sets, percent), "near")
     first = written(components(near), "first")
     group_of = first.select(F.col("node").alias("rep"), F.col("component").alias("of")).hint("merge")
-    sizes = classes.groupBy("rep").agg((8 * F.max("n_shingles")).alias("size")).hint("merge")
+    sizes = classes.select("rep", (8 * F.col("n_shingles")).alias("size")).hint("merge")
     members = written(members.join(group_of, "rep", "left").join(sizes, "rep").withColumn("of", F.coalesce("of", "rep")), "members")
     total = lambda salt: F.sum(F.xxhash64("rep", F.lit(salt)).cast("decimal(38,0)"))
     stats = members.groupBy("region").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y"), total(1).alias("h"), total(2).alias("g"))
-    stats = written(stats.where("x < y").dropDuplicates(["n", "h", "g"]).select("region", "n"), "regions")  # the same rows in several trees meet once
+    stats = written(stats.where("x < y").dropDuplicates(["n", "h", "g"]).select("region", "n"), "open-regions")  # the same rows in several trees meet once
     small = members.join(stats.where(F.col("n") <= NEAR + 1).select("region").hint("merge"), "region").select("region", "rep", "of")
     side = lambda c: small.select("region", F.col("rep").alias(c), F.col("of").alias(f"of_{c}"))
     apart = written(side("a").join(side("b").hint("merge"), "region").where("a < b and of_a <> of_b").select("a", "b").distinct(), "apart")
-    far = confirmed(apart, texts, width, percent).unionAll(crowded(members, stats.where(F.col("n") > NEAR + 1), texts, width, percent))
-    groups = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(far)).withColumnRenamed("node", "rep")
-    named = written(classes.select("set_key", "rep").join(groups.hint("merge"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
-    out = rows.drop("sig").join(named.hint("merge"), "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", F.col("doc_id").cast("long")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    far = confirmed(apart, sets, percent).unionAll(crowded(members, stats.where(F.col("n") > NEAR + 1), sets, percent))
+    groups = written(components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(far)).withColumnRenamed("node", "rep"), "components")
+    grouped = written(classes.select("rep", "doc").join(groups.hint("merge"), "rep"), "grouped")
+    heads = written(grouped.groupBy("component").agg(least(F.col("doc"), "rep").alias("head")), "heads")
+    grouped = grouped.join(heads.hint("merge"), "component").select("rep", "head")
+    alone = F.struct(F.isnull("doc").alias("none"), "doc", F.col("rep").alias("row"))
+    named = written(classes.select("set_key", "rep", "doc").join(grouped.hint("merge"), "rep", "left").select("set_key", F.coalesce("head", alone).alias("head")), "groups")
+    out = rows.drop("sig", *([] if carry else ["text", "carried"])).join(named.hint("merge"), "set_key", "left")
+    stays = F.coalesce(F.col("row") == F.col("head.row"), F.lit(True))
+    out = out.withColumn("component_id", F.when(F.col("head").isNull(), doc).otherwise(F.col("head.doc"))).withColumn("stays", stays)
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("stays")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "stays", *(["text", "carried.*"] if carry else []))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4).drop("stays")
