@@ -6,8 +6,12 @@ bytes). Pairwise interactions are low-rank, so the sum over all pairs costs time
 (sum squared minus sum of squares), for each factor. Labels, language, source and id are never inputs.
 
 The model is fitted on the driver on at most ``SAMPLE`` labelled rows (a documented bound, chosen by hash of the id), never
-on held-out ones; scoring is distributed. A null text is empty and has a score like any other; rows with a null id are
-scored but never learnt from. Repeated rows have equal scores.
+on held-out ones; scoring is distributed. Of the texts of one id, one is learnt from (the least by hash), chosen before
+anything reaches the driver.
+
+A null text is empty and has a score like any other; rows with a null id are scored but never learnt from. Very long
+texts are read whole. Repeated rows have equal scores. Without labels the score is the same for all; an empty table gives
+no rows. A further column named like the added score is replaced, others are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -97,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """Fit on labelled rows whose fold is not 0, ``sample`` at most."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows are sent
+    texts = texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label", "text")
 
     def make():
         def each(batch):
@@ -106,17 +111,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
         return each
 
-    got = arrow_map(texts, "label double, ids binary, x binary", make).collect()  # at most `sample` distinct ids
+    got = arrow_map(texts, "label double, ids binary, x binary", make).collect()  # at most `sample` rows
     got.sort(key=lambda r: (r.label, bytes(r.ids)))
-    got = got[:: max(1, -(-len(got) // (4 * sample)))]  # repeated ids can't exceed a multiple of the bound
     return fit([(np.frombuffer(r.ids, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float)) for r in got], np.array([r.label for r in got]))
 
 
-def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id and score; with ``keep`` all columns and ``quality_score``."""
+def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "quality_score") -> DataFrame:
+    """doc_id and score; with ``keep`` all columns and the score as ``name``."""
     model = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed size, about 1 MB
     if keep:
-        df, schema, name = docs, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", quality_score double", "quality_score"
+        df = docs.drop(name)
+        schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{name}` double"
     else:
         df, schema, name = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)), f"doc_id {dict(docs.dtypes)[id_col]}, score double", "score"
 

@@ -7,8 +7,9 @@ piece of the next class and goes on with what is left (at most a few cuts; from
 task sees a whole class. At most k - 1 pieces of each class are left over; this fixed number (about 21,000 at 4,096
 tokens) is packed best-fit-decreasing on the driver.
 
-A null text is empty and gives its end id only. Repeated rows and equal ids are packed row by row. An empty table gives
-no sequences. Further columns are ignored.
+A null text is empty and gives its end id only. Very long texts are cut, never shortened. Repeated rows and equal ids are
+packed row by row; pieces that tie in id, start and ids are alike, so their order is of no matter. An empty table gives no
+sequences. Further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, written
 from .tokens import WordEncoder
 
-CAPACITY, END, FINE, FULL = 4096, 2, 32, 0.98
+CAPACITY, END, FINE, FULL, FEW = 4096, 2, 32, 0.98, 200_000
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -76,16 +77,17 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces."""
     spark = rows.sparkSession
     rows = written(rows, "pieces")
-    buckets = min(1024, 8 + rows.count() // 50_000)
+    buckets = 8 + rows.count() // 50_000
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
-    counts = written(rows.groupBy("k", "bucket").agg(F.count("*").alias("n")), "counts")  # at most 130 classes by 1,024 buckets
-    before = counts.select("k", "bucket", (F.sum("n").over(Window.partitionBy("k").orderBy("bucket")) - F.col("n")).alias("before"))
+    counts = written(rows.groupBy("k", "bucket").agg(F.count("*").alias("n")), "counts")
+    before = written(counts.select("k", "bucket", (F.sum("n").over(Window.partitionBy("k").orderBy("bucket")) - F.col("n")).alias("before")), "before")
+    before = F.broadcast(before) if before.count() <= FEW else before.hint("merge")
     classes, base = [], 0
     for r in counts.groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect():
         classes.append((r.k, base, r.n // r.k * r.k))
         base += r.n // r.k
     index = F.col("before") + F.row_number().over(Window.partitionBy("k", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
-    placed = rows.join(F.broadcast(before), ["k", "bucket"]).withColumn("index", index.cast("long"))
+    placed = rows.join(before, ["k", "bucket"]).withColumn("index", index.cast("long"))
     placed = written(placed.join(F.broadcast(spark.createDataFrame(classes, "k int, base long, filled long")), "k").drop("bucket", "before"), "placed")
     rest = placed.where("index >= filled").select("k", "index", "length").collect()  # fewer than k of each class
     own = spark.createDataFrame([(k, i, base + b, o) for k, i, b, o in packed_rest([tuple(r) for r in rest], capacity)], "k int, index long, sequence_id long, offset long")

@@ -1,16 +1,19 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
-A candidate is a long string that stands shortly after a sensitive word. Its novelty is the number of bytes that it adds
+A candidate is a long run of key characters, or what is left of one, that starts shortly after a sensitive word; of several
+such words before or in one run, the first and the last count, so time is linear in the text. Its novelty is the number of bytes that it adds
 to a zstandard frame whose dictionary holds common identifiers and the text around it without further copies of the
-candidate, divided by its length: words and paths cost little, random keys cost most of their length, repeated or not. Novel candidates are reported beside the matches
-of the fixed patterns, which always stay.
+candidate, divided by its length: words and paths cost little, random keys cost most of their length, repeated or not. Novel
+candidates are reported beside the matches of the fixed patterns, which always stay.
 
-A null text is empty. An empty text has no spans. Spans are code points, end exclusive, in order of start and then kind.
-Other columns pass through ``redact`` unchanged; repeated rows are treated alike.
+A null text is empty. An empty text has no spans, an empty table no rows. Very long texts are scanned whole. Spans are
+code points, end exclusive, in order of start and then kind; equal starts keep that order. Columns of any name pass
+through ``redact`` unchanged and are ignored by ``scan``; repeated rows are treated alike.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -30,7 +33,8 @@ KINDS = ("assign", "access", "hex", "novel")
 # Words that make the text after them sensitive, and identifiers that are common in code.
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "auth", "bearer", "credential", "private key", "access key", "signature")
 SENSITIVE_AT = re.compile("|".join(re.escape(w) for w in SENSITIVE), re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 IDENTIFIERS = b"authorization bearer certificate client configuration connection credential database description development environment example function identifier implementation information initialize localhost organization parameter placeholder production property public private reference repository request response return service session signature string template timestamp undefined username variable version https http www com org json yaml import class static const default null true false abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx 0000000000000000 -------- ________"
 REACH, AROUND, NOVELTY = 48, 512, 0.6
 
@@ -59,21 +63,31 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def overlaps(sorted_spans: list[tuple[int, int, int]]):
+    """Test of (start, end) against spans in order of start."""
+    starts, furthest, end = [a for a, _, _ in sorted_spans], [], 0
+    for _, _, b in sorted_spans:
+        furthest.append(end := max(end, b))
+    return lambda start, end: (i := bisect.bisect_left(starts, end)) > 0 and furthest[i - 1] > start
+
+
 def novel_spans(text: str, low: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not any(w in low for w in SENSITIVE):
         return []
-    found: dict[int, int] = {}
-    for hit in SENSITIVE_AT.finditer(text):
-        for m in CANDIDATE.finditer(text, hit.end(), hit.end() + REACH + 16):  # starts at most REACH after the word
-            start, end = m.span()
-            while end < len(text) and CANDIDATE.match(text[end] * 16):  # the window may cut a long candidate
-                end += 1
-            if start in found or any(a < end and start < b for a, _, b in known):
+    out, taken, ends = [], overlaps(known), [m.end() for m in SENSITIVE_AT.finditer(text)]
+    for run in CANDIDATE.finditer(text):
+        first, last = bisect.bisect_left(ends, run.start() - REACH), bisect.bisect_right(ends, run.end() - SHORTEST) - 1
+        if first > last:
+            continue
+        for end in dict.fromkeys((ends[first], ends[last])):
+            start = max(run.start(), end)
+            if taken(start, run.end()):
                 continue
-            body = text[start:end]
-            if any(c.isdigit() for c in body) and any(c.isalpha() for c in body) and novelty(body, surroundings(text, start, end)) >= NOVELTY:
-                found[start] = end
-    return [(a, 3, b) for a, b in found.items()]
+            body = text[start : run.end()]
+            if any(c.isdigit() for c in body) and any(c.isalpha() for c in body) and novelty(body, surroundings(text, start, run.end())) >= NOVELTY:
+                out.append((start, 3, run.end()))
+                break
+    return out
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

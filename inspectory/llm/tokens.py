@@ -1,7 +1,8 @@
 """Token ids with the public vocabularies, by cached chunks.
 
 Both encoders split a text where the tokenizer itself must split it, encode each distinct chunk once through the library,
-and join the chunks' ids; the ids equal those of encoding the whole text. The cache is emptied at a fixed size.
+and join the chunks' ids; the ids equal those of encoding the whole text. Only short chunks are kept, and the cache is
+emptied at a fixed number of them, so its bytes are bounded whatever the script. An empty text has no ids.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 
-LIMIT = 250_000
+LIMIT, LONGEST = 250_000, 64  # chunks kept, and characters of each
 
 
 def byte_letters() -> list[str]:
@@ -45,7 +46,9 @@ class WordEncoder(dict):
             if len(self.parts) >= LIMIT:
                 self.parts.clear()
             ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in part.encode()]))] if letters else self.whole.encode(part, add_special_tokens=False).ids
-            out = self.parts[part] = self._packed(ids)
+            out = self._packed(ids)
+            if len(part) <= LONGEST:
+                self.parts[part] = out
         return out
 
     def __missing__(self, chunk: str) -> bytes:
@@ -55,7 +58,8 @@ class WordEncoder(dict):
             out = self._part(m[1].lower(), True) + (self._part(m[2], False) if m[2] else b"")
         else:
             out = self._packed(self.whole.encode(chunk, add_special_tokens=False).ids) if chunk else b""
-        self[chunk] = out
+        if len(chunk) <= LONGEST:
+            self[chunk] = out
         return out
 
     def ids(self, text: str) -> bytes:
@@ -90,7 +94,9 @@ class ByteEncoder(dict):
             raise Inseparable
         if len(self) >= LIMIT:
             self.clear()
-        out = self[chunk] = self._packed(self.whole.encode_ordinary(" " + chunk))
+        out = self._packed(self.whole.encode_ordinary(" " + chunk))
+        if len(chunk) <= LONGEST:
+            self[chunk] = out
         return out
 
     def ids(self, text: str) -> bytes:
