@@ -1,17 +1,19 @@
 """Sharding by fixed virtual slots.
 
 Each record hashes to one of thousands of slots that never change. Bytes are summed by slot, and a versioned map tells
-which shard owns which slot; to rebalance, the map is edited and only the edited slots' records move. Only the slot sums
-(one row for each slot, a fixed number) reach the driver.
+which shard owns which slot. A run loads the newest version, edits it where the sums ask for it, and writes the next one
+once; only the edited slots' records move. A version that exists is never written again. Only the slot sums (one row for
+each slot, a fixed number) reach the driver.
 
-A null id has a hash like any other value; a null text has no bytes; repeated rows each keep a place of their own; an
-empty table gives an empty result and a map in which every slot still has an owner. Input columns named like the added
-ones are replaced.
+A null id has a hash like any other value; a null text has no bytes and a very long one only its number of them; repeated
+rows and other ties each keep a place of their own; an empty table gives an empty result and leaves the map as it was.
+Input columns named like the added ones are replaced, other columns are kept.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,18 +61,26 @@ class SlotMap:
             owners[s] = shard
             heapq.heappush(light, (load + loads.get(s, 0), shard))
         moved = sum(a != b for a, b in zip(owners, self.owners))
+        if not moved and shards == self.shards:
+            return self
         return SlotMap(tuple(owners), shards, self.version + 1, (*self.log, f"rebalanced: {moved} slots moved"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(self.version, s, o) for s, o in enumerate(self.owners)]
-        spark.createDataFrame(rows, "version int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+        """Write this version; an error if it exists."""
+        rows = [(self.shards, s, o) for s, o in enumerate(self.owners)]
+        spark.createDataFrame(rows, "shards int, virtual_slot int, shard int").coalesce(1).write.mode("error").parquet(f"{path.rstrip('/')}/version={self.version}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        saved = spark.read.parquet(path)
-        version = saved.agg(F.max("version")).first()[0] if version is None else version
-        owners = [r.shard for r in saved.where(F.col("version") == version).orderBy("virtual_slot").collect()]
-        return SlotMap(tuple(owners), max(owners) + 1, version, ("loaded",))
+    def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """A version, the newest by default; none if there is no map yet."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        known = [int(f.getPath().getName()[8:]) for f in store.listStatus(at) if f.getPath().getName().startswith("version=")] if store.exists(at) else []
+        if not known:
+            return None
+        version = max(known) if version is None else version
+        saved = spark.read.parquet(f"{path.rstrip('/')}/version={version}").orderBy("virtual_slot").collect()  # a fixed number of rows
+        return SlotMap(tuple(r.shard for r in saved), saved[0].shards, version, ("loaded",))
 
 
 def with_slot(df: DataFrame, id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
@@ -83,11 +93,15 @@ def shard_by_slots(sized: DataFrame, shards: int, id_col: str = "doc_id", tie: t
     rows = written(with_slot(sized, id_col, slots), "slotted")
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # at most `slots` rows
     loads, counts = {r.virtual_slot: r.bytes for r in sums}, {r.virtual_slot: r.rows for r in sums}
-    first = SlotMap.even(slots, shards)
-    now = first.rebalanced(loads)
-    path = map_path or f"{scratch_dir(spark).rstrip('/')}/slot-map-{spark.sparkContext.applicationId}-{id(now)}"
-    first.save(spark, path)
-    now.save(spark, path)
+    path = map_path or f"{scratch_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    last = SlotMap.load(spark, path)
+    if last is not None and len(last.owners) != slots:
+        raise ValueError(f"the map at {path} has {len(last.owners)} slots, not {slots}: their number never changes")
+    if last is None:
+        (last := SlotMap.even(slots, shards)).save(spark, path)
+    now = last.rebalanced(loads, shards)
+    if now is not last:
+        now.save(spark, path)
     ends, table = [0] * shards, []
     for s, shard in enumerate(now.owners):
         table.append((s, shard, ends[shard]))
