@@ -5,7 +5,9 @@ Templates are mandatory words with markup: ``[[ ... ]]`` is optional and ``<<n>>
 first words stand; it accepts only if all mandatory wording matches exactly. Fixed phrases are counted beside it and
 their labels always stay.
 
-A null or empty text has no words, no labels and score 0. Repeated rows are treated alike; further columns are ignored.
+A null or empty text has no words, no labels and score 0; an empty table gives no rows. Very long texts are read whole.
+Repeated rows are treated alike; of several templates or places all count, and labels are sorted, so ties do not matter.
+Further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +72,6 @@ class Automaton:
         while nodes and nodes[0][0] == "maybe":  # leading options cannot start a match: it is found without them
             nodes = nodes[1:]
         self.key = b" ".join(w for _, w in _leading(nodes))
-        self.mandatory = sum(k == "word" for k, _ in parse(markup))
 
     def _state(self) -> int:
         self.on.append(None)

@@ -16,8 +16,10 @@ A bucket whose unlike entries are more than one task should hold (the edge of a
 is not merged in one: its runs' windows are counted by their 128-bit hash over the cluster, each run's equal windows
 first made one row, and those found twice give the same flags.
 
-Equal texts are one text; those of SPAN bytes or more with a copy go whole. A null text is empty; texts shorter than SPAN
-are kept as they are; repeated rows are copies of each other; ids are carried only, so null or equal ids do no harm.
+Equal texts are one text (by a 64-bit key; where two texts have the same key, which a second hash tells, both get another);
+those of SPAN bytes or more with a copy go whole. A null text is empty; texts shorter than SPAN are kept as they are, very
+long ones are cut into segments that overlap by SPAN. Repeated rows are copies of each other; ids are carried only, so
+null or equal ids do no harm. An empty table gives no rows. Further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -39,7 +41,7 @@ from pyspark.sql.types import StructType
 from .common import arrow_map, mix, parts, small_batches, utf8, written
 
 SPAN, GRAM, SEGMENT, BUCKET_ROWS, RUN_ROWS, MASK_BYTES = 200, 48, 1 << 18, 20_000, 150_000, 20
-RUN_ENTRIES, HOT_ENTRIES = 4096, 2 * BUCKET_ROWS
+RUN_ENTRIES, HOT_ENTRIES, MOST_ALIKE = 4096, 2 * BUCKET_ROWS, 10_000
 GRAMS = SPAN - GRAM + 1
 _BASE = 0x2545F4914F6CDD1D
 
@@ -175,7 +177,7 @@ def shared_windows(group: list[tuple[bytes, bytes, bool]], shared: list[int]) ->
     own = [most[g[0]] if len(g) > 1 or group[g[0]][2] else 0 for g in kinds.values()]
     firsts = [g[0] for g in kinds.values()]
     if len(firsts) > 24:
-        found = by_windows([group[i][:2] for i in firsts])
+        found = by_prefixes([group[i][:2] for i in firsts], [0] + [min(shared[i + 1 : j + 1]) for i, j in zip(firsts, firsts[1:])])
         own = [a | b for a, b in zip(own, found)]
     else:
         for y in range(1, len(firsts)):
@@ -197,40 +199,26 @@ def shared_windows(group: list[tuple[bytes, bytes, bool]], shared: list[int]) ->
     return out
 
 
-def by_windows(group: list[tuple[bytes, bytes]]) -> list[int]:
-    """The same for a large group of unlike entries: offset by offset, windows are sorted by hash, and equal hashes are confirmed on their bytes."""
-    longest = max(len(b) for _, b in group)
-    width = longest + SPAN
-    x = np.zeros((len(group), width), np.uint64)
-    for i, (s, b) in enumerate(group):
-        x[i, longest - len(b) : longest + len(s)] = np.frombuffer(b + s, np.uint8)
-    up, down = powers()
-    p = np.concatenate([np.zeros((len(group), 1), np.uint64), np.cumsum(x * up[:width], 1, dtype=np.uint64)], 1)
+def by_prefixes(group: list[tuple[bytes, bytes]], shared: list[int]) -> list[int]:
+    """The same for a large group of unlike entries in suffix order: common prefixes in two orders, that of the suffixes and
+    that of the bytes before read backwards, tell for each offset which entries are alike on both sides of the gram."""
+    n = len(group)
+    backwards = [b[::-1] for _, b in group]
+    order = sorted(range(n), key=backwards.__getitem__)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    ahead = np.array(shared)
+    behind = np.array([0] + [common(backwards[i], backwards[j]) for i, j in zip(order, order[1:])])
     before = np.array([len(b) for _, b in group])
     least = np.array([max(0, SPAN - len(s)) for s, _ in group])
-    out = [0] * len(group)
-    for el in range(longest + 1):
+    on = np.zeros((n, 8 * MASK_BYTES), np.uint8)
+    for el in range(int(least.min()), int(before.max()) + 1):
         rows = np.flatnonzero((before >= el) & (least <= el))
-        if len(rows) < 2:
-            continue
-        at = longest - el
-        h = (p[rows, at + SPAN] - p[rows, at]) * down[at]
-        order = np.argsort(h, kind="stable")
-        h, rows = h[order], rows[order]
-        ends = np.flatnonzero(np.concatenate([h[1:] != h[:-1], [True]]))
-        start = 0
-        for end in ends.tolist():
-            if end > start:
-                seen: dict[bytes, list[int]] = {}
-                for i in rows[start : end + 1].tolist():
-                    s, b = group[i]
-                    seen.setdefault(b[len(b) - el :] + s[: SPAN - el], []).append(i)
-                for same in seen.values():
-                    if len(same) > 1:
-                        for i in same:
-                            out[i] |= 1 << el
-            start = end + 1
-    return out
+        if len(rows) > 1:
+            kind = np.cumsum(ahead < SPAN - el)[rows] * (n + 1) + np.cumsum(behind < el)[place[rows]]
+            _, own, times = np.unique(kind, return_inverse=True, return_counts=True)
+            on[rows[times[own] > 1], el] = 1
+    return [int.from_bytes(x.tobytes(), "little") for x in np.packbits(on, 1, "little")]
 
 
 def merge_bucket(runs: list[bytes]) -> list[bytes]:
@@ -401,11 +389,30 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join([*kept, text[at:]]), removed, runs
 
 
+def text_keys(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, k, text); (doc_id, k, n_bytes, sha); and (k, copies). Unlike texts have unlike k."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key, second = text_keys(text)
+    for turn in range(8):
+        keyed = docs.select(F.col(id_col).alias("doc_id"), key.cast("long").alias("k"), text.alias("text"))
+        size = F.octet_length("text").cast("long").alias("n_bytes")
+        digest = docs.select(F.col(id_col).alias("doc_id"), key.cast("long").alias("k"), second.alias("k2"), text.alias("text"))
+        digest = written(digest.select("doc_id", "k", "k2", size, F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "digest")
+        texts = written(digest.groupBy("k").agg(F.count("*").alias("copies"), F.min("k2").alias("x"), F.max("k2").alias("y")), "texts")
+        alike = [r.k for r in texts.where("x <> y").select("k").limit(MOST_ALIKE).collect()]  # about n ** 2 / 2 ** 65 of n texts
+        if not alike:
+            return keyed, digest.drop("k2"), texts.select("k", "copies")
+        key = F.when(key.isin(alike), F.xxhash64(F.lit(turn), text)).otherwise(key)
+    raise ValueError("texts could not be keyed apart")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_sha256 for each document; with ``keep_text`` also ``kept``, the bytes left."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
-    digest = written(keyed.select("doc_id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "digest")
+    keyed, digest, copies = keyed_texts(docs, id_col, text_col)
     grams = written(gram_table(keyed), "grams")
     again = grams.groupBy("h").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.max("c").alias("c")).where("k0 <> k1 or c > 1").select("h")
     hits = grams.join(again.hint("merge"), "h").groupBy("k").agg(F.collect_set("h").alias("hs"))
@@ -436,8 +443,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     changed = arrow_map(hit.select("k", "text").join(spans.hint("merge"), "k").select("k", "text", "spans"), "k long, removed long, runs long, left_sha string, left binary", make)
     # one row for each text, written: Spark then splits the other side where many copies share a key
     changed = written(changed.groupBy("k").agg(F.first("removed").alias("removed"), F.first("runs").alias("runs"), F.first("left_sha").alias("left_sha"), *([F.first("left").alias("left")] * keep_text)), "changed")
-    copies = written(digest.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    out = digest.join(copies.hint("merge"), "sha", "left").join(changed.hint("merge"), "k", "left")
+    known = written(copies.where("copies > 1").join(changed.hint("merge"), "k", "full"), "known")
+    out = digest.join(known.hint("merge"), "k", "left")
     whole = F.col("copies").isNotNull() & (F.col("n_bytes") >= SPAN)
     pick = lambda all_gone, some, none: F.when(whole, all_gone).otherwise(F.coalesce(some, none))
     result = [

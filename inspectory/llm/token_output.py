@@ -5,11 +5,20 @@ bounded number of tokens, longest piece first, into the sequence with the least
 is one sequence: its padded ids as a row of a uint16 matrix, cumulative segment lengths, and where positions restart.
 Nothing is shuffled, so a lost task is simply run again and gives the same rows.
 
-A null text is empty and gives its end id only; an empty table gives no rows; repeated rows are packed one by one.
+``write_shards`` also writes each block as raw binary files for memory-mapped reading: the id matrix (uint16), the
+cumulative lengths and the resets of all rows (int32, each row's numbers after their count), and their sizes and
+checksums as JSON. Files get their name when whole, and a task that runs again writes the same bytes.
+
+A null text is empty and gives its end id only; an empty table gives no rows and no files; repeated rows and equal or null
+ids are packed one by one, pieces of equal length in the order of the rows; very long texts are cut, never shortened.
+Further columns of any name are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 import zlib
 
 import numpy as np
@@ -17,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches
+from .common import parts, small_batches, written
 from .tokens import ByteEncoder
 
 CAPACITY, BLOCK = 2048, 4_000_000
@@ -67,7 +76,54 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, block: int = BLOCK, pad: int = ByteEncoder.END, vocabulary: str | None = None) -> DataFrame:
+def counted(rows: list[list[int]]) -> bytes:
+    """Rows of numbers, each after its length, as int32."""
+    return np.array([x for r in rows for x in (len(r), *r)], "<i4").tobytes()
+
+
+def uncounted(raw: bytes) -> list[np.ndarray]:
+    x, at, out = np.frombuffer(raw, "<i4"), 0, []
+    while at < len(x):
+        out.append(x[at + 1 : at + 1 + x[at]])
+        at += 1 + int(x[at])
+    return out
+
+
+def put_shard(folder: str, block: int, capacity: int, out: dict[str, list]) -> None:
+    """Write one block's files; the JSON comes last, so a shard that has it is whole."""
+    os.makedirs(folder, exist_ok=True)
+    files = {"ids.bin": b"".join(out["ids"]), "cu_seqlens.bin": counted(out["cu_seqlens"]), "position_resets.bin": counted(out["position_resets"])}
+    about = {"capacity": capacity, "rows": len(out["ids"]), "dtype": "uint16", "files": {n: [len(x), zlib.crc32(x)] for n, x in files.items()}}
+    for name, x in (*files.items(), ("json", json.dumps(about).encode())):
+        own = f"{folder}/.{block:012d}.{name}.{uuid.uuid4().hex}"
+        with open(own, "wb") as f:
+            f.write(x)
+        os.replace(own, f"{folder}/{block:012d}.{name}")
+
+
+def read_shard(folder: str, block: int, check: bool = True) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """A shard's id matrix (memory-mapped), and each row's cumulative lengths and position resets."""
+    with open(f"{folder}/{block:012d}.json", "rb") as f:
+        about = json.load(f)
+    raw = {}
+    for name, (size, crc) in about["files"].items():
+        at = f"{folder}/{block:012d}.{name}"
+        if os.path.getsize(at) != size:
+            raise ValueError(f"{at} has other bytes than its shard says")
+        raw[name] = np.memmap(at, np.uint8, "r")
+        if check and zlib.crc32(raw[name]) != crc:
+            raise ValueError(f"{at} has other bytes than its shard says")
+    ids = raw["ids.bin"].view("<u2").reshape(about["rows"], about["capacity"])
+    return ids, uncounted(raw["cu_seqlens.bin"].tobytes()), uncounted(raw["position_resets.bin"].tobytes())
+
+
+def write_shards(docs: DataFrame, folder: str, **options) -> DataFrame:
+    """Write all shards below a folder that driver and executors mount; returns the rows without ids: which documents stand where."""
+    return written(sequences(docs, folder=folder, **options).drop("ids"), "shard-index")
+
+
+def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, block: int = BLOCK, pad: int = ByteEncoder.END, vocabulary: str | None = None, folder: str | None = None) -> DataFrame:
+    """Rows of packed sequences; with ``folder`` each block is written there too."""
     kind = dict(docs.dtypes)[id_col]
 
     def packed(held, number):
@@ -77,6 +133,8 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             ids = b"".join(held[i][2] for i in members) + pad.to_bytes(2, "little") * (capacity - ends[-1])
             for c, v in zip(out, (number, row, [held[i][0] for i in members], [held[i][1] for i in members], ends, ends[:-1], ends[-1], ids, zlib.crc32(ids))):
                 out[c].append(v)
+        if folder:
+            put_shard(folder, number, capacity, out)
         return out
 
     def run(batches):
