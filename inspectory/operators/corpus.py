@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..sources.tables import scratch
+from ..sources.tables import written
 
 
 def interleave(df: DataFrame, by: str = "asset_class", kind: str = "defect") -> DataFrame:
@@ -24,21 +26,16 @@ def first_of_each(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn = 1").drop("rn")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession, "corpus")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def close_pairs(df: DataFrame, distance: int, by: str | None = None, bits: int = 64) -> DataFrame:
-    """Pairs (earlier, later) of fingerprints at most ``distance`` bits apart. Of distance + 1 bands one at least is equal, so pairs meet in an equal band."""
-    bands, width = distance + 1, bits // (distance + 1)
-    band = lambda i: F.shiftrightunsigned(F.col("fp"), i * width).bitwiseAND((1 << (width if i < bands - 1 else bits - i * width)) - 1 if bands > 1 else -1)
-    keys = F.array(*(F.concat_ws(":", *([F.col(by)] if by else []), F.lit(str(i)), band(i).cast("string")) for i in range(bands)))
-    rows = df.select("place", "fp", F.explode(keys).alias("band"))
-    a, b = rows.select(F.col("place").alias("earlier"), F.col("fp").alias("fa"), "band"), rows.select(F.col("place").alias("later"), F.col("fp").alias("fb"), "band")
+def close_pairs(df: DataFrame, distance: int, by: str | None = None, bits: int = 64, kept: int = 3) -> DataFrame:
+    """Pairs (earlier, later) of fingerprints at most ``distance`` bits apart. Of distance + kept blocks, ``kept`` at least are equal, so pairs meet where some choice of ``kept`` blocks is."""
+    blocks = distance + kept
+    edges = [bits * i // blocks for i in range(blocks + 1)]
+    block = [F.shiftrightunsigned(F.col("fp"), a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+    keys = F.array(*(F.xxhash64(*([F.col(by)] if by else []), F.lit(i), *(block[j] for j in own)) for i, own in enumerate(combinations(range(blocks), kept))))
+    rows = df.select("place", "fp", *([F.col(by).alias("own")] if by else [F.lit(0).alias("own")]), F.explode(keys).alias("key"))
+    a, b = rows.select(F.col("place").alias("earlier"), F.col("fp").alias("fa"), "own", "key"), rows.select(F.col("place").alias("later"), F.col("fp").alias("fb"), "own", "key")
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
-    return a.join(b.hint("merge"), "band").where("earlier < later").where(near).select("earlier", "later").distinct()
+    return a.join(b.hint("merge"), ["key", "own"]).where("earlier < later").where(near).select("earlier", "later").distinct()
 
 
 def perceptual_dedupe(df: DataFrame, distance: int, by: str | None = None) -> DataFrame:
@@ -52,16 +49,16 @@ def perceptual_dedupe(df: DataFrame, distance: int, by: str | None = None) -> Da
     first = first_of_each(df, ["fp", *([by] if by else [])], ["place"])
     if distance == 0:
         return first
-    first = _written(first)  # read by the pairs and by the result
-    open_pairs = _written(close_pairs(first, distance, by))
+    first = written(first, "first")  # read by the pairs and by the result
+    open_pairs = written(close_pairs(first, distance, by), "pairs")
     dropped = open_pairs.select(F.col("later").alias("place")).limit(0)
     while not open_pairs.isEmpty():
         free = open_pairs.select(F.col("earlier").alias("place")).distinct().join(open_pairs.select(F.col("later").alias("place")), "place", "left_anti")
-        gone = _written(open_pairs.join(free.withColumnRenamed("place", "earlier").hint("merge"), "earlier", "left_semi").select(F.col("later").alias("place")).distinct())
+        gone = written(open_pairs.join(free.withColumnRenamed("place", "earlier").hint("merge"), "earlier", "left_semi").select(F.col("later").alias("place")).distinct(), "gone")
         dropped = dropped.unionAll(gone)
         g = gone.hint("merge")
         rest = open_pairs.join(g.withColumnRenamed("place", "later"), "later", "left_anti").join(g.withColumnRenamed("place", "earlier"), "earlier", "left_anti")
-        open_pairs = _written(rest.join(free.withColumnRenamed("place", "earlier").hint("merge"), "earlier", "left_anti"))
+        open_pairs = written(rest.join(free.withColumnRenamed("place", "earlier").hint("merge"), "earlier", "left_anti"), "pairs")
     return first.join(dropped.distinct().hint("merge"), "place", "left_anti")
 
 

@@ -1,7 +1,7 @@
 """Vector search, centroids, gates and routing with abstention.
 
 Search never joins all with all on the cluster: one side comes in blocks of bounded size, is sent to the tasks, and the
-other side is mapped in Arrow batches with a matrix product; only the best k of each batch go on.
+other side is mapped in Arrow batches with a matrix product; only the best k of each task go on.
 """
 
 from __future__ import annotations
@@ -13,21 +13,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import columns as C
+from ..sources.tables import written
+from .ranks import exact_quantiles, small
 
 BLOCK = 4096
 
 
 def _blocks(df: DataFrame, id_col: str, vec: str, block: int):
-    """Ids and unit vectors, a bounded block at a time."""
+    """Ids and unit vectors, a bounded block at a time; the table is dealt into blocks once."""
     own = df.where(C.searchable(vec)).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
     number = max(1, -(-own.count() // block))
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number)))
+    if number > 1:
+        own = written(own.repartition("block").sortWithinPartitions("block"), "blocks")
     for n in range(number):
-        rows = own.where(F.pmod(F.xxhash64("id"), F.lit(number)) == n).collect()
+        rows = own.where(F.col("block") == n).collect()
         if rows:
             m = np.array([r.v for r in rows])
             yield [r.id for r in rows], m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
 
 
+class Running:
+    """The best (greatest) scores of each query so far, with their items; equal scores are kept a few deep, so that ids can settle them."""
+
+    def __init__(self, n: int, most: int) -> None:
+        self.most, self.score, self.item = most, np.empty((n, 0)), np.empty((n, 0), object)
+
+    def add(self, score: np.ndarray, item: np.ndarray) -> None:
+        score = np.concatenate([self.score, score], 1)
+        item = np.concatenate([self.item, np.broadcast_to(item, (len(score), len(item))).astype(object)], 1)
+        if score.shape[1] > self.most:
+            top = np.argsort(-score, axis=1, kind="stable")[:, : self.most]
+            score, item = np.take_along_axis(score, top, 1), np.take_along_axis(item, top, 1)
+        self.score, self.item = score, item
+
+    def frame(self, ids: np.ndarray, least: float) -> pd.DataFrame:
+        n = self.score.shape[1]
+        out = pd.DataFrame({"query_id": np.repeat(ids, n), "item_id": self.item.ravel(), "score": self.score.ravel()})
+        return out[out.score >= least]
+
+
 def _best(df: DataFrame, key: str, other: str, k: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc("score"), other)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -58,54 +83,86 @@ def nearest_targets(rows: DataFrame, targets: DataFrame, k: int, row_id: str = "
     return _best(out, row_id, target_id, k)
 
 
-def recall(queries: DataFrame, items: DataFrame, k: int, id_col: str = "frame_id", vec: str = "vec", block: int = BLOCK, exclude_self: bool = True) -> DataFrame:
-    """The best k items of every query: (query_id, item_id, score, rank). Queries in blocks against all items."""
-    kind = dict(items.dtypes)[id_col]
-    schema = f"query_id {kind}, item_id {kind}, score double"
-    out = None
-    source = items.where(C.searchable(vec)).select(id_col, F.col(vec).cast("array<double>").alias("v"))
-    for ids, m in _blocks(queries, id_col, vec, block):
-        sent = items.sparkSession.sparkContext.broadcast((np.array(ids, dtype=object), m))
+def _searched(source: DataFrame, columns: tuple[str, str], blocks, scores, most: int, least: float, kind: str) -> DataFrame:
+    """(query_id, item_id, score): the ``most`` best of every task, for each block of queries."""
+    schema, out = f"query_id {kind}, item_id {kind}, score double", None
+    for ids, own in blocks:
+        sent = source.sparkSession.sparkContext.broadcast((np.array(ids, dtype=object), own))
 
         def run(parts, sent=sent):
-            ids, m = sent.value
+            ids, own = sent.value
+            best = Running(len(ids), most)
             for pdf in parts:
                 if len(pdf):
-                    x = np.stack(pdf.v.to_numpy())
-                    score = (1 + m @ (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)).T) / 2
-                    own = pdf[id_col].to_numpy()
-                    if exclude_self:
-                        score[ids[:, None] == own[None, :]] = -1
-                    top = np.argsort(-score, axis=1, kind="stable")[:, : k + 8]
-                    best = np.take_along_axis(score, top, 1).ravel()
-                    yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "item_id": own[top.ravel()], "score": best})[best >= 0]
+                    items = pdf[columns[0]].to_numpy()
+                    best.add(scores(ids, own, items, pdf[columns[1]]), items)
+            yield best.frame(ids, least)
 
         part = source.mapInPandas(run, schema)
         out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = items.sparkSession.createDataFrame([], StructType.fromDDL(schema))
-    return _best(out, "query_id", "item_id", k)
+    return source.sparkSession.createDataFrame([], StructType.fromDDL(schema)) if out is None else out
+
 
+def recall(queries: DataFrame, items: DataFrame, k: int, id_col: str = "frame_id", vec: str = "vec", block: int = BLOCK, exclude_self: bool = True) -> DataFrame:
+    """The best k items of every query: (query_id, item_id, score, rank). Queries in blocks against all items."""
+    source = items.where(C.searchable(vec)).select(id_col, F.col(vec).cast("array<double>").alias("v"))
 
-def approximate_recall(queries: DataFrame, items: DataFrame, k: int, id_col: str = "frame_id", vec: str = "vec", bits: int = 5, tables: int = 24, seed: int = 3) -> DataFrame:
-    """Sign-bit buckets of random planes, several tables; candidates are rescored exactly. No candidate is dropped."""
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(items.where(C.searchable(vec)).first()[vec])))
+    def scores(ids, m, own, vectors):
+        x = np.stack(vectors.to_numpy())
+        score = (1 + m @ (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)).T) / 2
+        if exclude_self:
+            score[ids[:, None] == own[None, :]] = -1
+        return score
 
-    def keys(df, name):
-        kind = dict(df.dtypes)[id_col]
+    found = _searched(source, (id_col, "v"), _blocks(queries, id_col, vec, block), scores, k + 8, 0.0, dict(items.dtypes)[id_col])
+    return _best(found, "query_id", "item_id", k)
 
-        def run(parts):
-            for pdf in parts:
-                if len(pdf):
-                    x = np.stack(pdf.v.to_numpy())
-                    code = ((np.einsum("nd,tbd->ntb", x, planes) > 0) * (1 << np.arange(bits))).sum(2) + np.arange(tables) * (1 << bits)
-                    yield pd.DataFrame({name: np.repeat(pdf[id_col].to_numpy(), tables), "bucket": code.ravel()})
 
-        return df.where(C.searchable(vec)).select(id_col, F.col(vec).cast("array<double>").alias("v")).mapInPandas(run, f"{name} {kind}, bucket long")
+CODE_BITS, QUERY_SLICE = 512, 64
+
 
-    pairs = keys(queries, "query_id").join(keys(items, "item_id").hint("merge"), "bucket").where("query_id <> item_id").select("query_id", "item_id").distinct()
+def bit_codes(df: DataFrame, id_col: str = "frame_id", vec: str = "vec", bits: int = CODE_BITS, seed: int = 3) -> DataFrame:
+    """(id, code): signs of random projections, 64 bytes a vector at 512 bits. This is the index: one row for every searchable item."""
+
+    def run(parts):
+        for pdf in parts:
+            if len(pdf):
+                x = np.stack(pdf.v.to_numpy())
+                planes = np.random.default_rng(seed).normal(size=(x.shape[1], bits))
+                yield pd.DataFrame({"id": pdf["id"], "code": [c.tobytes() for c in np.packbits(x @ planes > 0, 1)]})
+
+    own = df.where(C.searchable(vec)).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    return own.mapInPandas(run, f"id {dict(df.dtypes)[id_col]}, code binary")
+
+
+def approximate_recall(queries: DataFrame, items: DataFrame, k: int, id_col: str = "frame_id", vec: str = "vec", bits: int = CODE_BITS, budget: int | None = None, seed: int = 3, block: int = BLOCK) -> DataFrame:
+    """The best k of a budget of candidates, max(64, 20 k) by default: those whose bit codes differ least from the query's,
+    rescored exactly. The codes, not the vectors, are scanned; every item has one."""
+    budget = budget or max(64, 20 * k)
+    index = written(bit_codes(items, id_col, vec, bits, seed), "bit-codes")
+    asked = bit_codes(queries, id_col, vec, bits, seed)
+    number = max(1, -(-asked.count() // block))
+    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number))), "asked")
+    unpacked = lambda codes: np.frombuffer(b"".join(map(bytes, codes)), np.uint64).reshape(len(codes), -1)
+
+    def blocks():
+        for n in range(number):
+            rows = asked.where(F.col("block") == n).collect()  # about ``block`` rows
+            if rows:
+                yield [r.id for r in rows], unpacked([r.code for r in rows])
+
+    def scores(ids, own, items, codes):
+        x, out = unpacked(codes.tolist()), np.empty((len(ids), len(items)))
+        for at in range(0, len(own), QUERY_SLICE):
+            out[at : at + QUERY_SLICE] = -np.bitwise_count(own[at : at + QUERY_SLICE, None] ^ x[None]).sum(2, dtype=np.int64)
+        out[ids[:, None] == items[None, :]] = -bits - 1
+        return out
+
+    found = _searched(index, ("id", "code"), blocks(), scores, budget, -bits, dict(items.dtypes)[id_col])
+    pairs = written(_best(found, "query_id", "item_id", budget).select("query_id", "item_id"), "candidates")
     v = lambda n: items.select(F.col(id_col).alias(f"{n}_id"), C.as_doubles(vec).alias(f"{n}_v")).hint("merge")
-    scored = pairs.join(v("query"), "query_id").join(v("item"), "item_id").select("query_id", "item_id", C.similarity("query_v", "item_v").alias("score"))
+    asked_v = queries.select(F.col(id_col).alias("query_id"), C.as_doubles(vec).alias("query_v")).hint("merge")
+    scored = pairs.join(v("item"), "item_id").join(asked_v, "query_id").select("query_id", "item_id", C.similarity("query_v", "item_v").alias("score"))
     return _best(scored, "query_id", "item_id", k)
 
 
@@ -135,19 +192,20 @@ def split_holdout(frames: DataFrame, key: str = "asset_class", share: float = 0.
 
 def own_scores(frames: DataFrame, centres: DataFrame, key: str = "asset_class") -> DataFrame:
     """Similarity of each frame to its own class."""
-    return frames.join(F.broadcast(centres.select(key, F.col("vec").alias("centre"))), key).withColumn("score", C.similarity("vec", "centre"))  # one row a class
+    return frames.join(small(written(centres.select(key, F.col("vec").alias("centre")), "centres")), key).withColumn("score", C.similarity("vec", "centre"))
 
 
 def seed_gates(frames: DataFrame, key: str = "asset_class", slack: float = 0.012) -> DataFrame:
     """min(5th percentile, median - slack) of held-out scores against a centroid of the rest."""
     parts = split_holdout(frames, key)
-    scores = own_scores(parts.where("held"), centroids(parts.where("fit"), key), key)
-    return scores.groupBy(key).agg(F.least(F.percentile("score", 0.05), F.percentile("score", 0.5) - slack).alias("gate"), F.count("*").alias("n_held"))
+    scores = written(own_scores(parts.where("held"), centroids(parts.where("fit"), key), key).select(key, "score"), "held-scores")
+    q = exact_quantiles(scores, key, "score", {"low": 0.05, "median": 0.5})
+    return q.join(scores.groupBy(key).agg(F.count("*").alias("n_held")), key).select(key, F.least("low", F.col("median") - slack).alias("gate"), "n_held")
 
 
 def coldstart_gates(frames: DataFrame, key: str = "asset_class") -> DataFrame:
     """5th percentile of in-sample scores."""
-    return own_scores(frames, centroids(frames, key), key).groupBy(key).agg(F.percentile("score", 0.05).alias("gate"))
+    return exact_quantiles(own_scores(frames, centroids(frames, key), key), key, "score", {"gate": 0.05})
 
 
 def exemplars(frames: DataFrame, key: str = "asset_class") -> DataFrame:
@@ -170,7 +228,8 @@ def effective_gate(gate="gate", floor: float = 0.82):
 
 def route(frames: DataFrame, models: DataFrame, k: int = 5, floor: float = 0.82, block: int = BLOCK) -> DataFrame:
     """Candidates, best first, with rounded score and gate; without models, none and score 0."""
-    found = nearest_targets(frames, models, k, block=block).join(F.broadcast(models.select("name", "asset_class", "gate")), "name") if models.take(1) else None
+    models = written(models.select("name", "asset_class", "gate", "vec"), "models")
+    found = nearest_targets(frames, models, k, block=block).join(small(models.select("name", "asset_class", "gate")), "name") if models.take(1) else None
     ids = frames.select("frame_id")
     if found is None:
         return ids.withColumn("candidates", F.array().cast("array<struct<rank:int,name:string,asset_class:string,score:double,gate:double>>")).withColumn("routing_score", F.lit(0.0))
@@ -226,6 +285,19 @@ def routing_report(decided: DataFrame, probes: DataFrame, most: int = 25) -> Dat
     return out.withColumn("asset_class", F.when(F.col("g") == 1, "(all)").otherwise(F.col("asset_class"))).withColumn("withheld", F.col("withheld") & (F.col("g") == 0)).drop("g")
 
 
+def refusal_clusters(frames: DataFrame, decided: DataFrame, k: int = 2, least: int = 2) -> DataFrame:
+    """Clusters of refused frames in vector space, with their sizes and mean vectors: each of at least ``least`` frames is a class to propose for a cold start. No refusals, no rows."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    refused = decided.where("decision = 'unroutable'").select("frame_id")
+    refused = written(frames.join(refused.hint("merge"), "frame_id").select("frame_id", "vec"), "refused").withColumn("features", array_to_vector("vec"))
+    if refused.isEmpty():
+        return frames.sparkSession.createDataFrame([], "cluster int, frames long, first_frame bigint")
+    found = KMeans(k=k, seed=1).fit(refused).transform(refused)
+    return found.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("frames"), F.min("frame_id").alias("first_frame")).where(F.col("frames") >= least)
+
+
 def layout(models: DataFrame) -> DataFrame:
     """Angle of each model on a circle: rank of its direction in the plane of the two main components; by name below three models."""
     n = models.count()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import written
+from .ranks import exact_quantiles, small, with_sums_below
 
 
 def greedy_cover(x: np.ndarray, size: int) -> list[int]:
@@ -21,9 +23,11 @@ def greedy_cover(x: np.ndarray, size: int) -> list[int]:
 
 
 def coreset(patches: DataFrame, ratio: float = 0.01, key: str = "asset_class", part_rows: int = 20_000) -> DataFrame:
-    """A covering subset of each class's patches, in two levels: within hash parts of bounded size, then over what the parts kept."""
-    parts = patches.join(F.broadcast(patches.groupBy(key).agg(F.count("*").alias("n_class"))), key)  # one row a class
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("frame_id", "patch_id"), F.greatest(F.lit(1), F.ceil(F.col("n_class") / part_rows)).cast("int")))
+    """A covering subset of each class's patches, in two levels of hash parts, each of about ``part_rows`` patches at most: parts
+    keep four times what is wanted, and what they kept is covered again, in one part where the class's share fits one."""
+    number = lambda n: F.greatest(F.lit(1), F.ceil(n / part_rows)).cast("int")
+    sized = patches.join(small(written(patches.groupBy(key).agg(F.count("*").alias("n_class")), "class-sizes")), key)
+    sized = sized.withColumn("parts", number(4 * ratio * F.col("n_class")))
 
     def pick(share):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -33,83 +37,134 @@ def coreset(patches: DataFrame, ratio: float = 0.01, key: str = "asset_class", p
 
         return run
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in parts.dtypes)
-    one = parts.groupBy(key, "part").applyInPandas(pick(lambda p: min(len(p), 4 * ratio * len(p) + 1)), schema)
-    two = one.groupBy(key).applyInPandas(pick(lambda p: ratio * p.n_class.iloc[0]), schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in sized.dtypes)
+    first, second = (F.pmod(F.xxhash64(F.lit(turn), "frame_id", "patch_id"), n) for turn, n in ((1, number(F.col("n_class"))), (2, F.col("parts"))))
+    one = sized.groupBy(key, first.alias("part")).applyInPandas(pick(lambda p: min(len(p), 4 * ratio * len(p) + 1)), schema)
+    two = one.groupBy(key, second.alias("part")).applyInPandas(pick(lambda p: ratio * p.n_class.iloc[0] / p.parts.iloc[0]), schema)
     return two.select(*patches.columns)
 
 
-def patch_distances(patches: DataFrame, bank: DataFrame, key: str = "asset_class", block: int = 4096) -> DataFrame:
-    """Distance of each patch to the nearest bank vector of its class; the bank goes to the tasks in blocks."""
+def blocks_of(bank: DataFrame, key: str, block: int):
+    """A bank's vectors, ``block`` at a time: {class: (frame ids, patch ids, matrix)}."""
     number = max(1, -(-bank.count() // block))
-    out = None
+    dealt = bank.select(key, "frame_id", "patch_id", "pvec", F.pmod(F.xxhash64("frame_id", "patch_id"), F.lit(number)).alias("block"))
+    dealt = written(dealt.repartition("block").sortWithinPartitions("block"), "bank") if number > 1 else dealt
     for n in range(number):
-        rows = bank.where(F.pmod(F.xxhash64("frame_id", "patch_id"), F.lit(number)) == n).select(key, "pvec").collect()
         by: dict = {}
-        for r in rows:
-            by.setdefault(r[key], []).append(r.pvec)
-        sent = bank.sparkSession.sparkContext.broadcast({k: np.array(v) for k, v in by.items()})
-
-        def run(parts, sent=sent):
-            for pdf in parts:
-                out = np.full(len(pdf), np.inf)
-                for k, rows in pdf.groupby(key).indices.items():
-                    if k in sent.value:
-                        x, b = np.stack(pdf.pvec.to_numpy()[rows]), sent.value[k]
-                        for at in range(0, len(x), 1024):
-                            out[rows[at : at + 1024]] = np.sqrt(((x[at : at + 1024, None] - b[None]) ** 2).sum(2)).min(1)
-                yield pdf[["frame_id", key, "patch_id"]].assign(distance=out)
-
-        part = patches.select("frame_id", key, "patch_id", "pvec").mapInPandas(run, f"frame_id {dict(patches.dtypes)['frame_id']}, {key} string, patch_id int, distance double")
-        out = part if out is None else out.unionAll(part)
-    return out.groupBy("frame_id", key, "patch_id").agg(F.min("distance").alias("distance"))
-
-
-def image_scores(distances: DataFrame, bank: DataFrame | None = None, patches: DataFrame | None = None, neighbours: int = 9) -> DataFrame:
+        for r in dealt.where(F.col("block") == n).collect():
+            by.setdefault(r[key], []).append(r)
+        yield {k: (np.array([r.frame_id for r in rows]), np.array([r.patch_id for r in rows]), np.array([r.pvec for r in rows])) for k, rows in by.items()}
+
+
+def nearest_in_bank(rows: DataFrame, bank: DataFrame, k: int = 1, key: str = "asset_class", block: int = 4096, at_once: int = 8) -> DataFrame:
+    """The k nearest bank vectors of each row's class: frame_id, class, patch_id, bank_frame, bank_patch, distance, place.
+
+    The bank goes to the tasks in blocks; after every ``at_once`` blocks the best so far are written, so neither the driver
+    nor a plan ever holds the whole bank."""
+    kind = dict(rows.dtypes)["frame_id"]
+    schema = f"frame_id {kind}, {key} string, patch_id int, bank_frame {kind}, bank_patch int, distance double"
+    ids, done, parts, sent = ["frame_id", key, "patch_id"], None, [], []
+
+    def best(dfs: list[DataFrame]) -> DataFrame:
+        w = Window.partitionBy(*ids).orderBy("distance", "bank_frame", "bank_patch")  # k rows of each block
+        out = dfs[0]
+        for df in dfs[1:]:
+            out = out.unionAll(df)
+        return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+    for number, own in enumerate(blocks_of(bank, key, block)):
+        sent.append(rows.sparkSession.sparkContext.broadcast(own))
+
+        def run(batches, sent=sent[-1]):
+            for pdf in batches:
+                for c, at in pdf.groupby(key).indices.items():
+                    if c not in sent.value:
+                        continue
+                    frame, patch, b = sent.value[c]
+                    for lo in range(0, len(at), 1024):
+                        own = at[lo : lo + 1024]
+                        x = np.stack(pdf.pvec.to_numpy()[own])
+                        d = (x**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * x @ b.T
+                        near = np.argpartition(d, min(k, len(b)) - 1, axis=1)[:, :k] if k > 1 else d.argmin(1)[:, None]
+                        exact = np.sqrt(((x[:, None] - b[near]) ** 2).sum(2))
+                        n = near.shape[1]
+                        yield pd.DataFrame({"frame_id": np.repeat(pdf.frame_id.to_numpy()[own], n), key: c, "patch_id": np.repeat(pdf.patch_id.to_numpy()[own], n), "bank_frame": frame[near.ravel()], "bank_patch": patch[near.ravel()], "distance": exact.ravel()})
+
+        parts.append(rows.select(*ids, "pvec").mapInPandas(run, schema))
+        if (number + 1) % at_once == 0:
+            done = written(best([*([done.drop("place")] if done is not None else []), *parts]), "nearest")
+            for x in sent:
+                x.destroy()
+            parts, sent = [], []
+    return best([*([done.drop("place")] if done is not None else []), *parts]) if parts else done
+
+
+def patch_distances(patches: DataFrame, bank: DataFrame, key: str = "asset_class", block: int = 4096) -> DataFrame:
+    """Distance of each patch to the nearest bank vector of its class; patches of classes without a bank have none."""
+    return nearest_in_bank(patches, bank, 1, key, block).select("frame_id", key, "patch_id", "distance")
+
+
+def image_scores(distances: DataFrame, bank: DataFrame | None = None, patches: DataFrame | None = None, neighbours: int = 9, block: int = 4096) -> DataFrame:
     """Largest patch distance of each frame; with bank and patches, reweighted by how crowded the matched bank vector is."""
     key = "asset_class"
     top = distances.groupBy("frame_id", key).agg(F.max_by("patch_id", F.struct("distance", -F.col("patch_id"))).alias("patch_id"), F.max("distance").alias("raw_score"))
     if bank is None:
         return top
-    by: dict = {}
-    for r in bank.select(key, "pvec").collect():  # a bank is bounded by its ratio
-        by.setdefault(r[key], []).append(r.pvec)
-    sent = bank.sparkSession.sparkContext.broadcast({k: np.array(v) for k, v in by.items()})
-
-    def run(parts):
-        for pdf in parts:
-            out = []
-            for k, v, d in zip(pdf[key], pdf.pvec, pdf.raw_score):
-                b = sent.value[k]
-                m = b[np.linalg.norm(b - np.asarray(v), axis=1).argmin()]
-                near = b[np.argsort(np.linalg.norm(b - m, axis=1), kind="stable")[:neighbours]]
-                e = np.linalg.norm(near - np.asarray(v), axis=1)
-                out.append((1 - 1 / np.exp(e - d).sum()) * d)
-            yield pdf[["frame_id", key, "patch_id"]].assign(raw_score=out)
-
-    joined = top.join(patches.select("frame_id", "patch_id", "pvec"), ["frame_id", "patch_id"]).select("frame_id", key, "patch_id", "pvec", "raw_score")
-    return joined.mapInPandas(run, f"frame_id {dict(patches.dtypes)['frame_id']}, {key} string, patch_id int, raw_score double")
+    hot = written(top.join(patches.select("frame_id", "patch_id", "pvec").hint("merge"), ["frame_id", "patch_id"]), "hottest")
+    vectors = bank.select(F.col("frame_id").alias("b"), F.col("patch_id").alias("p"), F.col("pvec").alias("bvec"))
+    matched = written(nearest_in_bank(hot, bank, 1, key, block).select("frame_id", F.col("bank_frame").alias("mf"), F.col("bank_patch").alias("mp")), "matched")
+    centre = matched.select("mf", "mp").distinct().join(bank.select(F.col("frame_id").alias("mf"), F.col("patch_id").alias("mp"), key, "pvec").hint("merge"), ["mf", "mp"])
+    centre = written(centre.withColumnsRenamed({"mf": "frame_id", "mp": "patch_id"}), "centres")
+    around = written(nearest_in_bank(centre, bank, neighbours, key, block).select(F.col("frame_id").alias("mf"), F.col("patch_id").alias("mp"), F.col("bank_frame").alias("b"), F.col("bank_patch").alias("p")), "around")
+    around = around.join(vectors.hint("merge"), ["b", "p"])
+    rows = hot.join(matched.hint("merge"), "frame_id").join(around.hint("merge"), ["mf", "mp"])
+    apart = F.sqrt(F.aggregate(F.zip_with("pvec", "bvec", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    weight = 1 - 1 / F.sum(F.exp(apart - F.col("raw_score")))
+    return rows.groupBy("frame_id", key, "patch_id", "raw_score").agg(weight.alias("w")).select("frame_id", key, "patch_id", (F.col("w") * F.col("raw_score")).alias("raw_score"))
 
 
 def backbone(n, least: int = 4):
     return F.when(C.col(n) < least, "gaussian").otherwise("coreset")
 
 
-def gaussian_scores(train: DataFrame, test: DataFrame, key: str = "asset_class", eps: float = 0.01) -> DataFrame:
-    """Mahalanobis distance of each patch to its class's mean and covariance at its position; raw score is the largest. Few-shot: training sets are small by definition."""
-    both = train.select(key, "patch_id", "frame_id", "pvec", F.lit(True).alias("fit")).unionAll(test.select(key, "patch_id", "frame_id", "pvec", F.lit(False)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, fit = np.stack(pdf.pvec.to_numpy()), pdf.fit.to_numpy()
-        if not fit.any():
-            return pdf[~fit][["frame_id", key, "patch_id"]].assign(distance=np.nan)
-        mean = x[fit].mean(0)
-        d = x[fit] - mean
-        inverse = np.linalg.inv(d.T @ d / max(fit.sum() - 1, 1) + eps * np.eye(x.shape[1]))
-        d = x[~fit] - mean
-        return pdf[~fit][["frame_id", key, "patch_id"]].assign(distance=np.sqrt(np.einsum("nd,de,ne->n", d, inverse, d)))
-
-    return both.groupBy(key, "patch_id").applyInPandas(run, f"frame_id {dict(test.dtypes)['frame_id']}, {key} string, patch_id int, distance double")
+def gaussian_scores(train: DataFrame, test: DataFrame, key: str = "asset_class", eps: float = 0.01, part_rows: int = 20_000) -> DataFrame:
+    """Mahalanobis distance of each patch to its class's mean and covariance at its position; null without training rows.
+
+    Tasks add up moments for each class and position, a few rows each, and test patches meet them in parts of bounded size."""
+    by = [key, "patch_id"]
+
+    def moments(batches):
+        held: dict = {}
+        for pdf in batches:
+            for k, at in pdf.groupby(by).indices.items():
+                x = np.stack(pdf.pvec.to_numpy()[at])
+                n, s, ss = held.get(k, (0, 0.0, 0.0))
+                held[k] = n + len(x), s + x.sum(0), ss + x.T @ x
+        if held:
+            yield pd.DataFrame([(*k, n, s.tolist(), ss.ravel().tolist()) for k, (n, s, ss) in held.items()], columns=[*by, "n", "s", "ss"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s, ss = pdf.n.sum(), np.sum(np.stack(pdf.s.to_numpy()), 0), np.sum(np.stack(pdf.ss.to_numpy()), 0)
+        d = len(s)
+        cov = (ss.reshape(d, d) - np.outer(s, s) / n) / max(n - 1, 1)
+        return pdf.iloc[:1][by].assign(mean=[(s / n).tolist()], inverse=[np.linalg.inv(cov + eps * np.eye(d)).ravel().tolist()])
+
+    def distances(rows: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: np.empty(0, object) for c in ("frame_id", *by, "distance")})
+        if not len(fitted):
+            return rows[["frame_id", *by]].assign(distance=np.full(len(rows), None))
+        d = np.stack(rows.pvec.to_numpy()) - np.asarray(fitted["mean"].iloc[0])
+        inverse = np.asarray(fitted.inverse.iloc[0]).reshape(d.shape[1], d.shape[1])
+        return rows[["frame_id", *by]].assign(distance=np.sqrt(np.einsum("nd,de,ne->n", d, inverse, d)))
+
+    sums = train.select(*by, "pvec").mapInPandas(moments, f"{key} string, patch_id int, n long, s array<double>, ss array<double>")
+    fitted = written(sums.groupBy(*by).applyInPandas(whole, f"{key} string, patch_id int, mean array<double>, inverse array<double>"), "gaussians")
+    parts = test.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / part_rows)).cast("int").alias("parts"))
+    parts = small(written(parts, "test-parts"))
+    rows = test.select("frame_id", *by, "pvec").join(parts, by).withColumn("part", F.pmod(F.xxhash64("frame_id"), "parts").cast("int")).drop("parts")
+    copies = fitted.join(parts, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return rows.groupBy(*by, "part").cogroup(copies.groupBy(*by, "part")).applyInPandas(distances, f"frame_id {dict(test.dtypes)['frame_id']}, {key} string, patch_id int, distance double")
 
 
 def fold_scores(patches: DataFrame, folds: int = 2, ratio: float = 0.25, key: str = "asset_class") -> DataFrame:
@@ -128,15 +183,15 @@ def fold_scores(patches: DataFrame, folds: int = 2, ratio: float = 0.25, key: st
 
 def envelope(in_sample: DataFrame, out_of_sample: DataFrame, key: str = "asset_class") -> DataFrame:
     """Thresholds from normal frames alone: the largest unseen score, else the largest seen one, flagged."""
-    seen = in_sample.groupBy(key).agg(F.max("raw_score").alias("in_max"), F.min("raw_score").alias("in_min"), F.avg("raw_score").alias("mean"), F.stddev_pop("raw_score").alias("std"), F.percentile("raw_score", 0.995).alias("p995"))
+    seen = in_sample.groupBy(key).agg(F.max("raw_score").alias("in_max"), F.min("raw_score").alias("in_min"), F.avg("raw_score").alias("mean"), F.stddev_pop("raw_score").alias("std"))
+    seen = seen.join(exact_quantiles(in_sample, key, "raw_score", {"p995": 0.995}), key)
     unseen = out_of_sample.groupBy(key).agg(F.max("raw_score").alias("oos_max"))
     return seen.join(unseen, key, "left").withColumn("image_threshold", F.coalesce("oos_max", "in_max")).withColumn("in_sample_only", F.col("oos_max").isNull())
 
 
-def pixel_stats(cells: DataFrame, key: str = "asset_class", sketch: bool = False) -> DataFrame:
-    """99.5th percentile, least and largest cell of good maps; from a KLL sketch if asked for (rank error about 1 %)."""
-    p = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("v"), F.lit(0.995)) if sketch else F.percentile("v", 0.995)
-    return cells.groupBy(key).agg(p.alias("pixel_threshold"), F.min("v").alias("pixel_min"), F.max("v").alias("pixel_max"))
+def pixel_stats(cells: DataFrame, key: str = "asset_class", share: float = 0.995) -> DataFrame:
+    """A high percentile (exact), least and largest cell of good maps."""
+    return exact_quantiles(cells, key, "v", {"pixel_threshold": share}).join(cells.groupBy(key).agg(F.min("v").alias("pixel_min"), F.max("v").alias("pixel_max")), key)
 
 
 def histogram(scored: DataFrame, key: str) -> DataFrame:
@@ -145,17 +200,17 @@ def histogram(scored: DataFrame, key: str) -> DataFrame:
 
 def auroc(scored: DataFrame, key: str = "asset_class") -> DataFrame:
     """Rank AUROC with ties counted half; null where one label is absent."""
-    w = Window.partitionBy(key).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    h = histogram(scored, key).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    h = with_sums_below(histogram(scored, key), key, "score", ("neg",))
+    won = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return h.groupBy(key).agg(C.half_even(F.when(pairs > 0, won / pairs)).alias("auroc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
 def best_f1(scored: DataFrame, key: str = "asset_class") -> DataFrame:
     """Threshold of the best F1, the lowest among equals; scores at or above it are positive."""
-    w = Window.partitionBy(key).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    h = histogram(scored, key).withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w)).withColumn("all_pos", F.sum("pos").over(Window.partitionBy(key)))
+    h = written(with_sums_below(histogram(scored, key), key, "score", ("pos", "neg")), "histogram")
+    totals = small(written(h.groupBy(key).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")), "totals"))
+    h = h.join(totals, key).withColumn("tp", F.col("all_pos") - F.col("below_pos")).withColumn("fp", F.col("all_neg") - F.col("below_neg"))
     f1 = F.bround(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all_pos")), 9)
     best = h.where("all_pos > 0").withColumn("f1", f1).groupBy(key).agg(F.max_by(F.struct("score", "f1"), F.struct("f1", -F.col("score"))).alias("b"))
     return best.select(key, F.col("b.score").alias("threshold"), C.half_even("b.f1").alias("f1"))
@@ -219,11 +274,21 @@ def regions(norm_cells: DataFrame, cut: float = 0.5, opened: bool = True) -> Dat
     return norm_cells.select("frame_id", "y", "x", "norm").groupBy("frame_id").applyInPandas(run, f"frame_id {kind}, x int, y int, w int, h int, area int, peak double, map_w int, map_h int")
 
 
-def kept_regions(found: DataFrame, floor: float = 0.0025, share: float = 0.7, most: int = 8) -> DataFrame:
-    """Large and hot enough, the hottest eight of each frame."""
+def kept_regions(found: DataFrame, target: tuple[int, int] | None = None, floor: float = 0.0025, share: float = 0.7, most: int = 8) -> DataFrame:
+    """Large and hot enough, the hottest eight of each frame; boxes scaled to a frame of ``target`` width and height, one pixel at least."""
     w = Window.partitionBy("frame_id")
     df = found.where(F.col("area") >= floor * F.col("map_w") * F.col("map_h")).withColumn("top", F.max("peak").over(w)).where(F.col("peak") >= share * F.col("top"))
-    return df.withColumn("rank", F.row_number().over(w.orderBy(F.desc("peak"), "y", "x"))).where(F.col("rank") <= most).drop("top")
+    df = df.withColumn("rank", F.row_number().over(w.orderBy(F.desc("peak"), "y", "x", "w", "h", "area"))).where(F.col("rank") <= most).drop("top")
+    if target is None:
+        return df
+    scaled = lambda c, n, side: F.bround(F.col(c) * (F.lit(float(n)) / F.col(side))).cast("int")
+    boxes = {c: scaled(c, n, side) for c, n, side in (("x", target[0], "map_w"), ("y", target[1], "map_h"))}
+    return df.withColumns(boxes | {c: F.greatest(F.lit(1), scaled(c, n, side)) for c, n, side in (("w", target[0], "map_w"), ("h", target[1], "map_h"))})
+
+
+def suppressed(found: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Regions of frames with a defect verdict only."""
+    return found.join(verdicts.where("verdict = 'defect'").select("frame_id"), "frame_id", "left_semi")
 
 
 def padded_crop(x, y, w, h, frame_w, frame_h, pad: float = 0.2, least: int = 96):

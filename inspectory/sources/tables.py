@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-IMAGE_SUFFIX = r"\.(jpg|jpeg|png|bmp|webp)$"
+# Accepted image suffixes.
+IMAGE_SUFFIX = r"\.(png|jpg|jpeg|bmp|tif|tiff|webp)$"
+
+_OWN: set[str] = set()
 
 
 @dataclass(frozen=True)
 class CorpusSchema:
-    """Which columns of a table mean what, and which label values are normal and anomalous."""
+    """Roles of a label table's columns; ``normal_label`` and ``anomaly_label`` are the two values of its label."""
 
     image: str
     label: str
@@ -109,14 +112,28 @@ def shifted(findings: DataFrame, days: int) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``, which driver and executors share; only a local session without it gets a temporary one."""
+    """A new folder in ``spark.checkpoint.dir``, which driver and executors share; only a local session without it gets a temporary one. It is deleted when the driver's JVM ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{at.rstrip('/')}/work-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _OWN.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a new scratch folder and read back: lineage is cut and later plans know their real size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append_findings(df: DataFrame, path: str) -> None:

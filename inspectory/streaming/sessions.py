@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import written
 
 STILL, MOVED, HOLD_MS, FIRST_MS = 0.012, 0.030, 2000.0, 125.0
 
@@ -124,11 +125,26 @@ def incremental_trends(findings: DataFrame, late: str = "1 hour") -> DataFrame:
     return day.agg(F.count("*").alias("total"), F.count_if(F.col("verdict") == "defect").alias("defects")).select(C.utc_day(F.col("w.start")).alias("day"), "asset_class", "total", "defects")
 
 
-def inspect_stream(frames: DataFrame, read_models, out: str, checkpoint: str, floor: float = 0.82):
-    """Each micro-batch of frames is routed against the registry as it is then, decided, and appended to ``out``."""
+def inspected(frames: DataFrame, models: DataFrame, bank: DataFrame, patches_of, floor: float = 0.82) -> DataFrame:
+    """Findings of frames: routed, decided, and what was routed scored against its model's bank. Models: name, asset_class, gate, vec, image_threshold."""
     from ..operators.routing import decide, route
+    from ..operators.scoring import image_scores, patch_distances, verdict
+
+    decided = written(decide(route(frames, models, floor=floor)).drop("candidates"), "decided")
+    routed = decided.where("decision = 'route'").select("frame_id", F.col("best_class").alias("asset_class"))
+    scored = image_scores(patch_distances(patches_of(frames).join(routed, "frame_id"), bank)).select("frame_id", "raw_score")
+    thresholds = models.select(F.col("name").alias("best_name"), "image_threshold")
+    out = decided.join(scored.hint("merge"), "frame_id", "left").join(thresholds.hint("merge"), "best_name", "left")
+    known = F.when(F.col("decision") == "route", verdict("raw_score", "image_threshold")).otherwise("unroutable")
+    severity = F.when(F.col("decision") == "route", C.clip01(F.col("raw_score") - F.col("image_threshold") + 0.5)).otherwise(0.0)
+    return out.withColumn("verdict", known).withColumn("severity", C.half_even(severity)).withColumn("asset_class", F.when(F.col("decision") == "route", F.col("best_class")))
+
+
+def inspect_stream(frames: DataFrame, read_models, read_bank, patches_of, out: str, checkpoint: str, floor: float = 0.82):
+    """Each micro-batch of frames is routed against the registry as it is then, decided, scored, and appended to ``out`` as findings."""
 
     def one(batch: DataFrame, number: int) -> None:
-        decide(route(batch, read_models(), floor=floor)).drop("candidates").withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        own = written(batch, "batch")
+        inspected(own, read_models(), read_bank(), patches_of, floor).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
     return frames.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
