@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+# Verdicts, and the bounds of the severity buckets.
 VERDICTS = ("nominal", "defect", "unroutable")
 BUCKETS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.01)
 
@@ -33,6 +34,17 @@ def checked(verdict: str | None = None, days: int | None = None, limit: int | No
             raise ValueError(f"{name} must be 1 to {most}")
 
 
+def refusal(verdict="verdict", days="days", limit="limit") -> F.Column:
+    """The same guards for a table of requests: why one is refused, null if it is not."""
+    ranges = [F.when(~C.col(c).between(1, most), F.lit(f"{name} must be 1 to {most}")) for name, c, most in (("days", days, 365), ("limit", limit, 25))]
+    return F.coalesce(F.when(~C.col(verdict).isin(*VERDICTS), F.lit(f"verdict must be one of {VERDICTS}")), *ranges)
+
+
+def tagged(df: DataFrame, term: str = "image", tags: str = "tags") -> DataFrame:
+    """Rows of which any tag contains the term."""
+    return df.where(F.exists(tags, lambda t: t.contains(term)))
+
+
 def find(df: DataFrame, asset_class=None, verdict=None, since=None, until=None) -> DataFrame:
     checked(verdict=verdict)
     for value, test in ((asset_class, F.col("asset_class") == asset_class), (verdict, F.col("verdict") == verdict), (since, F.col("ts") >= F.lit(since)), (until, F.col("ts") <= F.lit(until))):
@@ -52,14 +64,14 @@ def defects() -> F.Column:
 
 def defect_rate_over_time(df: DataFrame, start) -> DataFrame:
     by = routable(df.where(F.col("ts") >= F.lit(start))).groupBy(C.utc_day("ts").alias("day"), "asset_class")
-    out = by.agg(F.count("*").alias("total"), defects().alias("defects"), C.half_even(F.avg("severity")).alias("mean_severity"))
+    out = by.agg(F.count("*").alias("total"), defects().alias("defects"), C.half_even(F.coalesce(F.avg("severity"), F.lit(0.0))).alias("mean_severity"))
     return out.withColumn("defect_rate", C.rate("defects", "total"))
 
 
 def by_asset_class(df: DataFrame, start, midpoint) -> DataFrame:
     late = F.col("ts") >= F.lit(midpoint)
     out = routable(df.where(F.col("ts") >= F.lit(start))).groupBy("asset_class").agg(
-        F.count("*").alias("inspections"), defects().alias("defects"), C.half_even(F.avg("severity")).alias("mean_severity"), C.half_even(F.max("severity")).alias("max_severity"),
+        F.count("*").alias("inspections"), defects().alias("defects"), C.half_even(F.coalesce(F.avg("severity"), F.lit(0.0))).alias("mean_severity"), C.half_even(F.max("severity")).alias("max_severity"),
         F.count_if(late).alias("recent"), F.count_if(late & (F.col("verdict") == "defect")).alias("recent_defects"),
     )
     return out.withColumn("defect_rate", C.rate("defects", "inspections")).withColumn("recent_rate", C.rate("recent_defects", "recent"))
@@ -77,8 +89,11 @@ def verdict_counts(df: DataFrame, start=None) -> DataFrame:
     return (df if start is None else df.where(F.col("ts") >= F.lit(start))).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-def registry_coverage(models: DataFrame) -> DataFrame:
-    return models.groupBy("created_by").agg(F.count("*").alias("models"), F.sort_array(F.collect_set("asset_class")).alias("classes"))
+def registry_coverage(models: DataFrame, findings: DataFrame) -> DataFrame:
+    """Models and classes of each origin, beside the totals: models, distinct classes, inspections."""
+    origins = models.groupBy("created_by").agg(F.count("*").alias("models"), F.sort_array(F.collect_set("asset_class")).alias("classes"))
+    registry = models.agg(F.count("*").alias("total_models"), F.sort_array(F.collect_set("asset_class")).alias("asset_classes"))
+    return origins.join(F.broadcast(registry)).join(F.broadcast(findings.agg(F.count("*").alias("total_inspections"))))  # one row each
 
 
 def failing_fastest(by_class: DataFrame) -> DataFrame:
@@ -89,8 +104,9 @@ def direction(accel="acceleration") -> F.Column:
     return F.when(F.col(accel) > 0.01, "rising").when(F.col(accel) < -0.01, "falling").otherwise("flat")
 
 
-def backfill_disclosure(df: DataFrame) -> DataFrame:
-    return df.agg(F.count_if("backfilled").alias("shifted"), F.count("*").alias("total")).withColumn("fraction", C.rate("shifted", "total"))
+def backfill_disclosure(df: DataFrame, start) -> DataFrame:
+    own = df.where(F.col("ts") >= F.lit(start))
+    return own.agg(F.count_if("backfilled").alias("shifted"), F.count("*").alias("total")).withColumn("fraction", C.rate("shifted", "total"))
 
 
 def compute_trends(df: DataFrame, models: DataFrame, days: int, now: datetime) -> dict[str, DataFrame]:
@@ -99,7 +115,7 @@ def compute_trends(df: DataFrame, models: DataFrame, days: int, now: datetime) -
     by_class = by_asset_class(df, start, midpoint)
     return {
         "defect_rate_over_time": defect_rate_over_time(df, start), "by_asset_class": by_class, "severity_distribution": severity_distribution(df, start),
-        "verdict_counts": verdict_counts(df, start), "registry_coverage": registry_coverage(models), "failing_fastest": failing_fastest(by_class), "backfill_disclosure": backfill_disclosure(df),
+        "verdict_counts": verdict_counts(df, start), "registry_coverage": registry_coverage(models, df), "failing_fastest": failing_fastest(by_class), "backfill_disclosure": backfill_disclosure(df, start),
     }
 
 

@@ -58,9 +58,13 @@ BOXES = """boxes AS (SELECT l_orderkey AS frame_id, l_orderkey||'-'||l_linenumbe
  FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, (l_partkey*37%560)::DOUBLE AS x0, (l_suppkey*53%560)::DOUBLE AS y0 FROM lineitem))"""
 
 
+def patches_of(f: DataFrame, *columns: str) -> DataFrame:
+    """Eight patches of each frame's vector."""
+    return f.select("frame_id", *columns, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("vec", i * 8 + 1, 8))).alias("patch_id", "pvec"))
+
+
 def patches(spark, d) -> DataFrame:
-    f = frames(spark, d)
-    return f.select("frame_id", "asset_class", "ord", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("vec", i * 8 + 1, 8))).alias("patch_id", "pvec"))
+    return patches_of(frames(spark, d), "asset_class", "ord")
 
 
 PATCHES = "patches AS (SELECT frame_id, asset_class, ord, i AS patch_id, vec[i*8+1:i*8+8] AS pvec FROM frames, (SELECT unnest(range(8)) AS i))"

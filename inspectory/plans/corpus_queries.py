@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -48,6 +50,18 @@ def src5(spark, d):
     return p.select("page_id", F.regexp_extract("url", "com/([^/?]*)", 1).alias("part"), F.regexp_extract("url", "https?://([^/]*)", 1).alias("host"))
 
 
+CAPTURED = "captured AS (SELECT doc_id, source||'/'||lpad(doc_id::VARCHAR,12,'0')||['.png','.JPG','.txt','.tiff','.webp.part'][n_chars%5+1] AS path FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL)"
+
+
+@query("src6_capture_scan", sql(CAPTURED, "held AS (SELECT min(string_split(path,'/')[2]) AS name FROM captured GROUP BY string_split(path,'/')[1])", "SELECT path, string_split(path,'/')[2] AS name, CASE WHEN string_split(path,'/')[2] IN (SELECT name FROM held) THEN 'held_out' ELSE 'train_good' END AS split FROM captured WHERE regexp_matches(lower(path),'\\.(png|jpg|jpeg|bmp|tif|tiff|webp)$')"))
+def src6(spark, d):
+    end = F.element_at(F.array(*map(F.lit, (".png", ".JPG", ".txt", ".tiff", ".webp.part"))), (F.col("n_chars") % 5 + 1).cast("int"))
+    paths = table(spark, d, "documents").where("source is not null and n_chars is not null").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), end).alias("path"))
+    name = F.split("path", "/")[1]
+    held = paths.groupBy(F.split("path", "/")[0]).agg(F.min(name).alias("name"))  # one withheld file of each folder
+    return S.scan_capture_dir(paths, [r.name for r in held.collect()])
+
+
 @query("src7_annotated_boxes", sql(BOXES, "SELECT frame_id, label, x0, y0, x1, y1 FROM boxes"))
 def src7(spark, d):
     number = {"tower": 0, "cable": 1, "broken": 2, "vegetation": 3}
@@ -88,23 +102,26 @@ def cu5(spark, d):
     return O.first_of_each(table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha")), ["sha"], ["doc_id"]).select("doc_id")
 
 
-@query("cu6_perceptual_dedupe_d0", "SELECT doc_id AS place FROM documents QUALIFY row_number() OVER (PARTITION BY substr(md5(left(text,200)),1,15) ORDER BY doc_id)=1")
+@query("cu6_perceptual_dedupe_d0", "SELECT doc_id AS place FROM documents QUALIFY row_number() OVER (PARTITION BY substr(md5(text),1,15) ORDER BY doc_id)=1")
 def cu6_zero(spark, d):
-    fp = F.conv(F.substring(F.md5(F.substring("text", 1, 200)), 1, 15), 16, 10).cast("long")
+    fp = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
     return O.perceptual_dedupe(table(spark, d, "documents").select(F.col("doc_id").alias("place"), fp.alias("fp")), 0).select("place")
 
 
 def fingerprints(spark, d):
-    """64-bit simhash of three-word shingles, from digest bits: one sum of +1/-1 for each bit, by aggregation."""
-    split = table(spark, d, "documents").select("doc_id", F.split("text", r"\s+").alias("w"))  # a column of its own: inside the lambda it would be split again for each word
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    each = split.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).select("doc_id", F.xxhash64("g").alias("h"))
-    bit = lambda i: F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) * 2 - 1)
-    sums = each.groupBy("doc_id").agg(*(bit(i).alias(f"b{i}") for i in range(64)))
-    fp = F.lit(0).cast("long")
-    for i in range(64):
-        fp = fp.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return sums.select(F.col("doc_id").alias("place"), fp.alias("fp"))
+    """64-bit simhash of distinct three-word shingles: each text's shingles are hashed, and their bits added up in one array pass."""
+    split = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), r"\s+").alias("w"))  # a column of its own: inside the lambda it would be split again for each word
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 3), " ")))
+
+    @F.pandas_udf("long")
+    def folded(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            ones = sum(np.unpackbits(np.ascontiguousarray(h[at : at + 4096]).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for at in range(0, len(h), 4096))
+            out.append(int(np.packbits(2 * ones > len(h)).view(np.int64)[0]))
+        return pd.Series(out)
+
+    return split.select(F.col("doc_id").alias("place"), folded(F.array_distinct(grams)).alias("fp"))
 
 
 @query("cu6_perceptual_dedupe_d4")
@@ -280,9 +297,9 @@ def cu18(spark, d):
     return out.withColumn("note", F.concat_ws("; ", F.when(F.col("good") < 25, "few good"), F.when(F.col("defect") < 5, "few defects")))
 
 
-@query("cu19_idempotent_skip", sql(CORPUS, "SELECT DISTINCT asset_class FROM corpus WHERE asset_class NOT IN (SELECT source FROM documents WHERE doc_id<100)"))
+@query("cu19_idempotent_skip", sql(CORPUS, "SELECT DISTINCT asset_class FROM corpus WHERE asset_class NOT IN (SELECT source FROM documents WHERE source<'src2')"))
 def cu19(spark, d):
-    recorded = table(spark, d, "documents").where("doc_id < 100").select(F.col("source").alias("asset_class"))
+    recorded = table(spark, d, "documents").where("source < 'src2'").select(F.col("source").alias("asset_class")).distinct()
     return corpus_rows(spark, d).select("asset_class").distinct().join(recorded, "asset_class", "left_anti")
 
 

@@ -16,7 +16,7 @@ S, M = f"TIMESTAMP '{START}'", f"TIMESTAMP '{MID}'"
 NOT_UNROUTABLE = "verdict IS DISTINCT FROM 'unroutable'"
 RATE = "round_even(defects/greatest(total,1), 4)"
 BY_CLASS = f"""by_class AS (SELECT *, round_even(defects/greatest(inspections,1),4) AS defect_rate, round_even(recent_defects/greatest(recent,1),4) AS recent_rate FROM (
- SELECT asset_class, count(*) AS inspections, count(*) FILTER (verdict='defect') AS defects, round_even(avg(severity),4) AS mean_severity, round_even(max(severity),4) AS max_severity,
+ SELECT asset_class, count(*) AS inspections, count(*) FILTER (verdict='defect') AS defects, round_even(coalesce(avg(severity),0),4) AS mean_severity, round_even(max(severity),4) AS max_severity,
  count(*) FILTER (ts>={M}) AS recent, count(*) FILTER (ts>={M} AND verdict='defect') AS recent_defects FROM findings WHERE ts>={S} AND {NOT_UNROUTABLE} GROUP BY ALL))"""
 FASTEST = "fastest AS (SELECT *, round_even(recent_rate-defect_rate,4) AS acceleration FROM by_class)"
 MODELS = "models AS (SELECT 'class_'||label AS asset_class, 'class_'||label||'-patchcore-v1' AS name, CASE WHEN label<7 THEN 'seed' ELSE 'agent-coldstart' END AS created_by, count(*) AS training_samples, label FROM embeddings WHERE label<9 GROUP BY label)"
@@ -31,7 +31,7 @@ def recent_findings(spark, d):
     return findings(spark, d).where(F.col("ts") >= F.lit(START).cast("timestamp"))
 
 
-@query("tr1_defect_rate_over_time", sql(FINDINGS, f"SELECT *, {RATE} AS defect_rate FROM (SELECT strftime(ts,'%Y-%m-%d') AS day, asset_class, count(*) AS total, count(*) FILTER (verdict='defect') AS defects, round_even(avg(severity),4) AS mean_severity FROM findings WHERE ts>={S} AND {NOT_UNROUTABLE} GROUP BY ALL)"))
+@query("tr1_defect_rate_over_time", sql(FINDINGS, f"SELECT *, {RATE} AS defect_rate FROM (SELECT strftime(ts,'%Y-%m-%d') AS day, asset_class, count(*) AS total, count(*) FILTER (verdict='defect') AS defects, round_even(coalesce(avg(severity),0),4) AS mean_severity FROM findings WHERE ts>={S} AND {NOT_UNROUTABLE} GROUP BY ALL)"))
 def tr1(spark, d):
     return O.defect_rate_over_time(findings(spark, d), F.lit(START).cast("timestamp"))
 
@@ -51,9 +51,12 @@ def tr4(spark, d):
     return O.verdict_counts(findings(spark, d), F.lit(START).cast("timestamp"))
 
 
-@query("tr5_registry_coverage", sql(MODELS, "SELECT created_by, count(*) AS models, array_to_string(list_sort(list(DISTINCT asset_class)),',') AS classes FROM models GROUP BY 1"))
+COVERAGE = "coverage AS (SELECT created_by, count(*) AS models, array_to_string(list_sort(list(DISTINCT asset_class)),',') AS classes, (SELECT count(*) FROM models) AS total_models, (SELECT array_to_string(list_sort(list(DISTINCT asset_class)),',') FROM models) AS asset_classes, (SELECT count(*) FROM findings) AS total_inspections FROM models GROUP BY 1)"
+
+
+@query("tr5_registry_coverage", sql(FINDINGS, MODELS, COVERAGE, "SELECT * FROM coverage"))
 def tr5(spark, d):
-    return O.registry_coverage(models(spark, d)).withColumn("classes", F.array_join("classes", ","))
+    return O.registry_coverage(models(spark, d), findings(spark, d)).withColumns({c: F.array_join(c, ",") for c in ("classes", "asset_classes")})
 
 
 @query("tr6_failing_fastest", sql(FINDINGS, BY_CLASS, FASTEST, "SELECT * FROM fastest"))
@@ -61,16 +64,40 @@ def tr6(spark, d):
     return O.failing_fastest(tr2(spark, d))
 
 
-@query("tr7_backfill_disclosure", sql(FINDINGS, "SELECT *, round_even(shifted/greatest(total,1),4) AS fraction FROM (SELECT count(*) FILTER (backfilled) AS shifted, count(*) AS total FROM findings)"))
-def tr7(spark, d):
-    return O.backfill_disclosure(findings(spark, d))
+BACKFILL = f"backfill AS (SELECT *, round_even(shifted/greatest(total,1),4) AS fraction FROM (SELECT count(*) FILTER (backfilled) AS shifted, count(*) AS total FROM findings WHERE ts>={S}))"
 
 
-@query("tr8_compute_trends", sql(FINDINGS, BY_CLASS, MODELS, f"SELECT 'classes' AS part, count(*) AS n_rows FROM by_class UNION ALL SELECT 'verdicts', count(DISTINCT verdict) FROM findings WHERE ts>={S} UNION ALL SELECT 'origins', count(DISTINCT created_by) FROM models"))
+@query("tr7_backfill_disclosure", sql(FINDINGS, BACKFILL, "SELECT * FROM backfill"))
+def tr7(spark, d):
+    return O.backfill_disclosure(findings(spark, d), F.lit(START).cast("timestamp"))
+
+
+#: What each part of the trends says, as (part, key, value).
+TREND_VALUES = {
+    "by_asset_class": ("asset_class", "defect_rate"), "failing_fastest": ("asset_class", "acceleration"), "defect_rate_over_time": ("concat_ws(' ', day, asset_class)", "mean_severity"), "severity_distribution": ("bucket", "n"),
+    "verdict_counts": ("verdict", "n"), "registry_coverage": ("created_by", "models + 1000 * total_models + total_inspections"), "backfill_disclosure": ("'all'", "fraction"),
+}
+TR8_SQL = " UNION ALL ".join(
+    f"SELECT '{part}' AS part, {key} AS key, ({value})::DOUBLE AS value FROM ({source})"
+    for (part, (key, value)), source in zip(
+        TREND_VALUES.items(),
+        (
+            "SELECT * FROM by_class", "SELECT * FROM fastest", f"SELECT strftime(ts,'%Y-%m-%d') AS day, asset_class, round_even(coalesce(avg(severity),0),4) AS mean_severity FROM findings WHERE ts>={S} AND {NOT_UNROUTABLE} GROUP BY ALL",
+            f"SELECT CASE WHEN severity<0.2 THEN '0.0-0.2' WHEN severity<0.4 THEN '0.2-0.4' WHEN severity<0.6 THEN '0.4-0.6' WHEN severity<0.8 THEN '0.6-0.8' WHEN severity<1.01 THEN '0.8-1.0' ELSE 'other' END AS bucket, count(*) AS n FROM findings WHERE severity>0 AND ts>={S} GROUP BY 1",
+            f"SELECT verdict, count(*) AS n FROM findings WHERE ts>={S} GROUP BY 1", "SELECT * FROM coverage", "SELECT * FROM backfill",
+        ),
+    )
+)
+
+
+@query("tr8_compute_trends", sql(FINDINGS, BY_CLASS, FASTEST, MODELS, COVERAGE, BACKFILL, TR8_SQL))
 def tr8(spark, d):
     parts = O.compute_trends(findings(spark, d), models(spark, d), DAYS, datetime.fromisoformat(NOW))
-    count = lambda key, name: parts[key].agg(F.lit(name).alias("part"), F.count("*").alias("n_rows"))
-    return count("by_asset_class", "classes").unionAll(count("verdict_counts", "verdicts")).unionAll(count("registry_coverage", "origins"))
+    out = None
+    for part, (key, value) in TREND_VALUES.items():
+        own = parts[part].select(F.lit(part).alias("part"), F.expr(key).alias("key"), F.expr(value).cast("double").alias("value"))
+        out = own if out is None else out.unionAll(own)
+    return out
 
 
 @query("tr9_query_trends", sql(FINDINGS, BY_CLASS, FASTEST, "SELECT asset_class, inspections, defects, defect_rate, recent_rate, acceleration FROM fastest"))
@@ -144,10 +171,14 @@ def flt1(spark, d):
     return O.find(findings(spark, d), "SMALL", "nominal", F.lit(START).cast("timestamp"), F.lit(MID).cast("timestamp")).select("finding_id")
 
 
-@query("flt2_argument_guards", sql(FINDINGS, "SELECT verdict, count(*) AS n FROM findings WHERE verdict IN ('nominal','defect','unroutable') GROUP BY 1"))
+REQUESTS = "requests AS (SELECT CASE WHEN l_linenumber=7 THEN 'maybe' ELSE verdict END AS verdict, l_suppkey*40 AS days, l_linenumber*5 AS lim FROM findings)"
+
+
+@query("flt2_argument_guards", sql(FINDINGS, REQUESTS, "SELECT CASE WHEN verdict NOT IN ('nominal','defect','unroutable') THEN 'verdict' WHEN days NOT BETWEEN 1 AND 365 THEN 'days' WHEN lim NOT BETWEEN 1 AND 25 THEN 'limit' ELSE 'none' END AS refused_for, count(*) AS n FROM requests GROUP BY 1"))
 def flt2(spark, d):
-    O.checked(verdict="defect", days=365, limit=25, k=25)
-    return findings(spark, d).where(F.col("verdict").isin(*O.VERDICTS)).groupBy("verdict").agg(F.count("*").alias("n"))
+    verdict = F.when(F.col("l_linenumber") == 7, "maybe").otherwise(F.col("verdict"))
+    asked = findings(spark, d).select(verdict.alias("verdict"), (F.col("l_suppkey") * 40).alias("days"), (F.col("l_linenumber") * 5).alias("limit"))
+    return asked.groupBy(F.coalesce(F.split(O.refusal(), " ")[0], F.lit("none")).alias("refused_for")).agg(F.count("*").alias("n"))
 
 
 @query("flt3_scope_filter", sql(FINDINGS, "SELECT asset_class, count(*) AS n FROM findings WHERE asset_class IN ('PROMO') OR contains(lower(asset_class),'eco') GROUP BY 1"))
@@ -160,9 +191,10 @@ def flt5(spark, d):
     return table(spark, d, "embeddings").where(C.searchable("embedding")).agg(F.count("*").alias("searchable"))
 
 
-@query("flt6_image_bearing", "SELECT page_id FROM pages WHERE len(list_filter(regexp_extract_all(lower(html),'<[a-z]+'), lambda t: contains(t,'img')))>0")
+@query("flt6_image_bearing", "SELECT doc_id FROM (SELECT doc_id, [coalesce(lang,''), CASE WHEN n_chars>1000 THEN 'many-images' ELSE 'text' END] AS tags FROM documents) WHERE len(list_filter(tags, lambda t: contains(t,'image')))>0")
 def flt6(spark, d):
-    return table(spark, d, "pages").where(F.exists(F.regexp_extract_all(F.lower("html"), F.lit("<[a-z]+"), F.lit(0)), lambda t: t.contains("img"))).select("page_id")
+    tags = F.array(F.coalesce("lang", F.lit("")), F.when(F.col("n_chars") > 1000, "many-images").otherwise("text"))
+    return O.tagged(table(spark, d, "documents").select("doc_id", tags.alias("tags"))).select("doc_id")
 
 
 @query("prj1_model_search_projection", sql(MODELS, "SELECT name, asset_class, created_by, training_samples FROM models"))

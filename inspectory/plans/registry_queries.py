@@ -27,6 +27,7 @@ REGISTERED = "reg AS (SELECT asset_class||'-patchcore-v1' AS name, c.asset_class
 BUILD = [FRAMES, TRAIN, cent("fitc", "tr", "n_fit<2 OR place<=n_fit"), cent("allc", "frames"), GATES, REGISTERED]
 TOPS = f"tops AS (SELECT f.frame_id, f.asset_class AS truth, r.name, r.asset_class, r.gate, {SIM.format(a='f.vec', b='r.vec')} AS raw, row_number() OVER (PARTITION BY f.frame_id ORDER BY {SIM.format(a='f.vec', b='r.vec')} DESC, r.name) AS rank FROM frames f, reg r QUALIFY rank<=5)"
 DECIDED = "decided AS (SELECT *, CASE WHEN s>=g THEN 'route' WHEN s>=round_even(g-0.02,6) THEN 'ambiguous' ELSE 'unroutable' END AS decision FROM (SELECT frame_id, truth, name, asset_class, round_even(raw,4) AS s, round_even(greatest(0.0,gate),4) AS g FROM tops WHERE rank=1))"
+REFUSING_FLOOR = 0.66
 WITH = [*BUILD, TOPS, DECIDED]
 
 
@@ -216,7 +217,7 @@ def rt9(spark, d):
 @query("rt10_holdout_acceptance", sql(*BUILD, f"SELECT asset_class, round_even(avg((s>=gate)::INT),4) AS accepted, round_even(avg((s>=0.6)::INT),4) AS accepted_global FROM (SELECT t.asset_class, {SIM.format(a='t.vec', b='r.vec')} AS s, r.gate FROM tr t JOIN reg r ON t.asset_class=r.asset_class WHERE t.n_fit<2 OR t.place>t.n_fit) GROUP BY 1"))
 def rt10(spark, d):
     m = registry(spark, d)
-    s = R.own_scores(R.split_holdout(frames(spark, d)).where("held"), m).join(F.broadcast(m.select("asset_class", "gate")), "asset_class")
+    s = R.own_scores(R.split_holdout(frames(spark, d)).where("held"), m).join(m.select("asset_class", "gate").hint("merge"), "asset_class")
     share = lambda c: r4(F.avg(c.cast("int")))
     return s.groupBy("asset_class").agg(share(F.col("score") >= F.col("gate")).alias("accepted"), share(F.col("score") >= 0.6).alias("accepted_global"))
 
@@ -229,7 +230,7 @@ def rt12(spark, d):
 @query("jn1_routed_model", sql(*WITH, "SELECT d.frame_id, r.gate IS NULL AS missing FROM decided d LEFT JOIN (SELECT * FROM reg WHERE asset_class<>'class_0') r USING (name)"))
 def jn1(spark, d):
     m = registry(spark, d).where("asset_class <> 'class_0'").select(F.col("name").alias("best_name"), "gate")
-    return decided(spark, d).join(F.broadcast(m), "best_name", "left").select("frame_id", F.col("gate").isNull().alias("missing"))  # registry rows
+    return decided(spark, d).join(m.hint("merge"), "best_name", "left").select("frame_id", F.col("gate").isNull().alias("missing"))
 
 
 @query("jn12_withheld", sql(MODELS, "SELECT DISTINCT 'class_'||label AS asset_class FROM embeddings WHERE 'class_'||label NOT IN (SELECT asset_class FROM models)"))
@@ -305,9 +306,4 @@ def v2d(spark, d):
 
 @query("v2c_refusal_clusters")
 def v2c(spark, d):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    refused = frames(spark, d).where("asset_class = 'class_9'").withColumn("features", array_to_vector("vec"))
-    fitted = KMeans(k=2, seed=1).fit(refused)
-    return fitted.transform(refused).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("frames")).where("frames >= 2")
+    return R.refusal_clusters(frames(spark, d), decided(spark, d, REFUSING_FLOOR))

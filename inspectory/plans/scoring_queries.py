@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import scoring as O
-from .adapters import CELLS, FINDINGS, FRAMES, PATCHES, boxes, findings, frames, map_cells, patches, sql
-from .adapters import BOXES
+from ..operators.ranks import small
+from ..sources.tables import written
+from .adapters import BOXES, CELLS, FINDINGS, FRAMES, PATCHES, boxes, findings, frames, map_cells, patches, sql, table
 from .registry import query
 
 SCORED = "scored AS (SELECT finding_id, asset_class, severity+l_tax AS score, verdict='defect' AS label FROM findings)"
@@ -18,17 +20,19 @@ def scored(spark, d):
 
 
 def split_patches(spark, d):
-    p = patches(spark, d)
-    return p.where("frame_id % 2 = 0"), p.where("frame_id % 2 = 1")
+    """Patches of training frames (the first four fifths of a class by stable order) and of the rest."""
+    w = Window.partitionBy("asset_class")
+    f = frames(spark, d).select("frame_id", "asset_class", "ord")
+    train = f.withColumn("train", F.row_number().over(w.orderBy("ord")) <= F.floor(0.8 * F.count("*").over(w))).select("frame_id", "train")
+    p = patches(spark, d).join(train.hint("merge"), "frame_id")
+    return p.where("train").drop("train"), p.where("not train").drop("train")
 
 
-BANK = "bank AS (SELECT * FROM patches WHERE frame_id%2=0 AND frame_id%5=0), probe AS (SELECT * FROM patches WHERE frame_id%2=1)"
+BANK = "tr AS (SELECT frame_id, row_number() OVER (PARTITION BY asset_class ORDER BY ord) <= floor(0.8*count(*) OVER (PARTITION BY asset_class)) AS train FROM frames), bank AS (SELECT p.* FROM patches p JOIN tr USING (frame_id) WHERE train), probe AS (SELECT p.* FROM patches p JOIN tr USING (frame_id) WHERE NOT train)"
 DIST = "dist AS (SELECT p.frame_id, p.asset_class, p.patch_id, min(list_distance(p.pvec,b.pvec)) AS distance FROM probe p JOIN bank b USING (asset_class) GROUP BY ALL)"
 
 
-def banked(spark, d):
-    even, odd = split_patches(spark, d)
-    return even.where("frame_id % 5 = 0"), odd
+banked = split_patches
 
 
 @query("bnk1_coreset")
@@ -54,11 +58,9 @@ def bnk3_reweighted(spark, d):
     return O.image_scores(O.patch_distances(odd, bank), bank, odd)
 
 
-@query("bnk4_backbone_choice", "SELECT source, count(*) AS n, CASE WHEN count(*)<4 THEN 'gaussian' ELSE 'coreset' END AS backbone FROM documents WHERE doc_id%11=0 GROUP BY 1")
+@query("bnk4_backbone_choice", "SELECT source, lang, count(*) AS n, CASE WHEN count(*)<4 THEN 'gaussian' ELSE 'coreset' END AS backbone FROM documents GROUP BY ALL")
 def bnk4(spark, d):
-    from .adapters import table
-
-    return table(spark, d, "documents").where("doc_id % 11 = 0").groupBy("source").agg(F.count("*").alias("n")).withColumn("backbone", O.backbone("n"))
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).withColumn("backbone", O.backbone("n"))
 
 
 @query("bnk5_gaussian")
@@ -92,7 +94,7 @@ def thr4(spark, d):
     unseen = O.fold_scores(p, 5, 0.25)
     ins = O.image_scores(O.patch_distances(p, O.coreset(p, 0.25))).groupBy("asset_class").agg(F.max("raw_score").alias("in_max"))
     ratio = F.col("raw_score") / F.greatest("in_max", F.lit(1e-12))
-    return unseen.join(F.broadcast(ins), "asset_class").withColumn("ratio", ratio).groupBy("asset_class").agg(F.count("*").alias("frames"), F.count_if(F.col("raw_score") > F.col("in_max")).alias("would_flag"), F.min("ratio").alias("min_ratio"), F.avg("ratio").alias("mean_ratio"), F.max("ratio").alias("max_ratio"))  # one row a class
+    return unseen.join(small(written(ins, "in-sample")), "asset_class").withColumn("ratio", ratio).groupBy("asset_class").agg(F.count("*").alias("frames"), F.count_if(F.col("raw_score") > F.col("in_max")).alias("would_flag"), F.min("ratio").alias("min_ratio"), F.avg("ratio").alias("mean_ratio"), F.max("ratio").alias("max_ratio"))
 
 
 @query("thr5_best_f1", sql(FINDINGS, SCORED, "h AS (SELECT asset_class, score, count(*) FILTER (label) AS pos, count(*) FILTER (NOT label) AS neg FROM scored GROUP BY ALL), c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY asset_class) AS ap FROM h WINDOW w AS (PARTITION BY asset_class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), f AS (SELECT *, round_even((2*tp/(tp+fp+ap))::DOUBLE,9) AS f1 FROM c)", "SELECT asset_class, score AS threshold, round_even(f1,4) AS f1 FROM f QUALIFY row_number() OVER (PARTITION BY asset_class ORDER BY f1 DESC, score)=1"))
@@ -149,20 +151,18 @@ def met5(spark, d):
 
 @query("met6_reload_parity")
 def met6(spark, d):
-    from ..operators.corpus import _written
-
     bank, odd = banked(spark, d)
-    a, b = O.image_scores(O.patch_distances(odd, bank)), O.image_scores(O.patch_distances(odd, _written(bank)))
+    a, b = O.image_scores(O.patch_distances(odd, bank)), O.image_scores(O.patch_distances(odd, written(bank, "reloaded")))
     return a.join(b.select("frame_id", F.col("raw_score").alias("again")), "frame_id").agg(F.max(F.abs(F.col("raw_score") - F.col("again"))).alias("delta")).withColumn("match", F.col("delta") < 1e-5)
 
 
 STATS = "st AS (SELECT asset_class, quantile_cont(v,0.9) AS thr, min(v) AS lo, max(v) AS hi FROM cells GROUP BY 1), nc AS (SELECT frame_id, c.asset_class, y, x, v, least(1.0,greatest(0.0,(v-thr)/(hi-lo)+0.5))::DOUBLE AS norm FROM cells c JOIN st USING (asset_class))"
 
 
-def norm_cells(spark, d):
+def norm_cells(spark, d, share=0.9):
     cells = map_cells(spark, d)
-    st = cells.groupBy("asset_class").agg(F.percentile("v", 0.9).alias("thr"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return cells.join(F.broadcast(st), "asset_class").select("frame_id", "asset_class", "y", "x", "v", O.min_max("v", "thr", "lo", "hi").alias("norm"))  # one row a class
+    st = O.pixel_stats(cells, share=share).withColumnsRenamed({"pixel_threshold": "thr", "pixel_min": "lo", "pixel_max": "hi"})
+    return cells.join(small(written(st, "pixel-stats")), "asset_class").select("frame_id", "asset_class", "y", "x", "v", O.min_max("v", "thr", "lo", "hi").alias("norm"))
 
 
 @query("sc1_min_max", sql(FRAMES, CELLS, STATS, "SELECT frame_id, y, x, round_even(norm,6) AS norm FROM nc"))
@@ -193,7 +193,8 @@ def sc4(spark, d):
 
 
 def found(spark, d):
-    return O.regions(norm_cells(spark, d), 0.5, opened=False)
+    """Regions of maps of which the hotter four fifths count, so that some outlive the opening on 8 x 8 cells."""
+    return O.regions(norm_cells(spark, d, 0.2), 0.5)
 
 
 @query("sc5_regions")
@@ -203,18 +204,25 @@ def sc5(spark, d):
 
 @query("sc6_region_filters")
 def sc6(spark, d):
-    return O.kept_regions(found(spark, d))
+    return O.kept_regions(found(spark, d), (640, 480))
+
 
+HOT = "hot AS (SELECT frame_id, y, x, v FROM cells QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, y, x)=1)"
 
-@query("sc7_region_suppression", sql(FINDINGS, "SELECT verdict, count(*) FILTER (verdict='defect') AS with_regions FROM findings GROUP BY 1"))
+
+def hottest(spark, d):
+    return map_cells(spark, d).groupBy("frame_id").agg(F.max_by(F.struct("y", "x", "v"), F.struct("v", -F.col("y"), -F.col("x"))).alias("r")).select("frame_id", "r.*")
+
+
+@query("sc7_region_suppression", sql(FRAMES, CELLS, HOT, "SELECT c.frame_id, c.y, c.x FROM cells c JOIN hot h ON c.frame_id=h.frame_id WHERE c.v>=0.25 AND h.v>=0.35"))
 def sc7(spark, d):
-    f = findings(spark, d).withColumn("regions", F.when(F.col("verdict") == "defect", F.array("l_tax")))
-    return f.groupBy("verdict").agg(F.count("regions").alias("with_regions"))
+    regions = map_cells(spark, d).where("v >= 0.25").select("frame_id", "y", "x")
+    return O.suppressed(regions, hottest(spark, d).select("frame_id", O.verdict("v", F.lit(0.35)).alias("verdict")))
 
 
-@query("sc8_hottest_region", sql(FRAMES, CELLS, "SELECT frame_id, y, x FROM cells QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, y, x)=1"))
+@query("sc8_hottest_region", sql(FRAMES, CELLS, HOT, "SELECT frame_id, y, x FROM hot"))
 def sc8(spark, d):
-    return map_cells(spark, d).groupBy("frame_id").agg(F.max_by(F.struct("y", "x"), F.struct("v", -F.col("y"), -F.col("x"))).alias("r")).select("frame_id", "r.y", "r.x")
+    return hottest(spark, d).select("frame_id", "y", "x")
 
 
 def crop_sql(a, n, most):
@@ -258,8 +266,6 @@ def sc13(spark, d):
 
 @query("sc14_descriptions", "SELECT event_id, CASE WHEN event_id%4=0 THEN '' ELSE event_type END AS description, CASE WHEN event_id%2=0 THEN 'c'||(event_id%7) END AS component, event_id%5<>0 OR event_id%2=1 AS visible, event_id%4=0 AS rejected FROM events")
 def sc14(spark, d):
-    from .adapters import table
-
     e = table(spark, d, "events")
     text = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_type"))
     record = F.to_json(F.struct(F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string")).alias("component"), (F.col("event_id") % 5 != 0).alias("difference_visible"), text.alias("description")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..sources.tables import scratch
 from ..streaming import sessions as O
-from .adapters import FRAMES, STEPS, findings, frames, sql, steps, table
+from .adapters import FINDINGS, FRAMES, STEPS, findings, frames, patches_of, sql, steps, table
 from .registry import query
 
 
@@ -76,19 +76,27 @@ def st8(spark, d):
     return O.frame_rate(steps(spark, d), "1 hour").select("session_id", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "frames")
 
 
-@query("st9_stream_inspection")
-def st9(spark, d):
+def inspection_parts(spark, d):
+    """Models with a threshold, and the banks of registered classes."""
     from .registry_queries import registry
+    from .scoring_queries import banked
+
+    return registry(spark, d).withColumn("image_threshold", F.lit(0.3)), banked(spark, d)[0].where("asset_class <> 'class_9'")
 
+
+@query("st9_stream_inspection")
+def st9(spark, d):
     f, at = frames(spark, d).select("frame_id", "vec"), scratch(spark, "stream")
-    f.write.parquet(f"{at}/in")
-    registry(spark, d).write.parquet(f"{at}/models")
+    models, bank = inspection_parts(spark, d)
+    for df, name in ((f, "in"), (models, "models"), (bank, "bank")):
+        df.write.parquet(f"{at}/{name}")
     stream = spark.readStream.schema(f.schema).parquet(f"{at}/in")
-    O.inspect_stream(stream, lambda: spark.read.parquet(f"{at}/models"), f"{at}/out", f"{at}/state", floor=0.0).awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    read = lambda name: lambda: spark.read.parquet(f"{at}/{name}")
+    O.inspect_stream(stream, read("models"), read("bank"), patches_of, f"{at}/out", f"{at}/state", floor=0.0).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("frame_id", "decision", "best_name", "asset_class", "verdict", "severity", C.half_even("raw_score", 6).alias("raw_score"))
 
 
-@query("st10_incremental_trends")
+@query("st10_incremental_trends", sql(FINDINGS, "SELECT strftime(ts,'%Y-%m-%d') AS day, asset_class, count(*) AS total, count(*) FILTER (verdict='defect') AS defects FROM findings WHERE verdict IS DISTINCT FROM 'unroutable' GROUP BY ALL"))
 def st10(spark, d):
     own = findings(spark, d).select("ts", "asset_class", "verdict")
     return streamed(spark, own, O.incremental_trends, "complete")

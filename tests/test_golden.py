@@ -10,6 +10,7 @@ from inspectory.operators import corpus, findings, routing, scoring
 from inspectory.sources import tables
 from inspectory.streaming import sessions
 
+# Findings and figures that are known to follow from them.
 NOW = datetime(2026, 8, 11, 12)
 ROWS = [("insulator", "defect", 0.9, (1, 2, 3, 20)), ("insulator", "nominal", 0.1, (21, 22, 23)), ("corrosion", "defect", 0.9, (20, 21, 22)), ("corrosion", "nominal", 0.1, (23, 1, 2, 3)), ("rail_surface", "unroutable", 0.0, (5,))]
 
@@ -37,6 +38,19 @@ def test_trends(golden):
     assert (week["insulator"].inspections, week["insulator"].defects, week["corrosion"].defects) == (3, 3, 0)
 
 
+def test_coverage_backfill_and_missing_severity(spark, golden):
+    models = spark.createDataFrame([("insulator-v1", "insulator", "seed"), ("corrosion-v1", "corrosion", "seed"), ("rail-v1", "rail_surface", "agent-coldstart")], "name string, asset_class string, created_by string")
+    rows = by(findings.registry_coverage(models, golden), "created_by")
+    assert {o: r.models for o, r in rows.items()} == {"seed": 2, "agent-coldstart": 1}
+    assert {(r.total_models, tuple(r.asset_classes), r.total_inspections) for r in rows.values()} == {(3, ("corrosion", "insulator", "rail_surface"), 15)}
+    start, mid = findings.window_of(NOW, 7)
+    shifted = golden.withColumn("backfilled", F.col("verdict") == "nominal")
+    (r,) = findings.backfill_disclosure(shifted, start).collect()
+    assert (r.shifted, r.total, r.fraction) == (3, 7, 0.4286)
+    unknown = golden.withColumn("severity", F.lit(None).cast("double"))
+    assert {r.mean_severity for r in findings.by_asset_class(unknown, start, mid).collect()} == {0.0} == {r.mean_severity for r in findings.defect_rate_over_time(unknown, start).collect()}
+
+
 def test_guards(golden):
     for bad in ({"verdict": "maybe"}, {"days": 0}, {"days": 366}, {"limit": 26}, {"k": 0}):
         with pytest.raises(ValueError):
