@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.tables import written
+from .ranks import numbered
 
 
 def interleave(df: DataFrame, by: str = "asset_class", kind: str = "defect") -> DataFrame:
     """place: the first of each defect type, then the second of each, types in order."""
-    turn = F.row_number().over(Window.partitionBy(by, kind).orderBy("ord", "row_id"))
-    return df.withColumn("turn", turn).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("turn", kind))).drop("turn")
+    return numbered(numbered(df, [by, kind], ["ord", "row_id"], "turn"), [by], ["turn", kind], "place").drop("turn")
 
 
 def capped(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:

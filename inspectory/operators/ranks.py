@@ -1,4 +1,4 @@
-"""Ranks, prefix sums and exact quantiles of large groups.
+"""Places, prefix sums and exact quantiles of large groups.
 
 Rows are dealt in ranges of (group, value), each range sums for itself, and the ranges' sums are carried over, so no task
 holds a whole group.
@@ -19,15 +19,29 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
 
 
+def carried(dealt: DataFrame, keys: list[str], sums: dict[str, F.Column]) -> DataFrame:
+    """Rows of written ranges with, for each name, the sum over their group's rows in earlier ranges. Null keys are a group too."""
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "part").agg(*(c.alias(n) for n, c in sums.items()))
+    before = totals.select(*(F.col(k).alias(f"_{k}") for k in (*keys, "part")), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums))
+    same = F.col("part") == F.col("_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return dealt.join(small(written(before, "range-sums")), same).drop("_part", *(f"_{k}" for k in keys))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the row's place in its group, from 1 in this order; the order tells all rows of a group apart."""
+    dealt = written(df.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    inside = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))
+    return carried(dealt, keys, {"_n": F.count("*")}).withColumn(name, inside + F.col("_n")).drop("part", "_n")
+
+
 def with_sums_below(df: DataFrame, key: str, value: str, sums: tuple[str, ...]) -> DataFrame:
     """Adds below_<s> for each of ``sums``: its sum over the group's rows of lesser value. (key, value) is unique; null values are dropped."""
-    ranged = df.where(F.col(value).isNotNull()).repartitionByRange(key, value).withColumn("part", F.spark_partition_id())
-    ranged = written(ranged, "ranges")
-    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(key, "part").agg(*(F.sum(s).alias(f"all_{s}") for s in sums))
-    before = totals.select(key, "part", *(F.coalesce(F.sum(f"all_{s}").over(earlier), F.lit(0)).alias(f"before_{s}") for s in sums))
+    dealt = written(df.where(F.col(value).isNotNull()).repartitionByRange(key, value).withColumn("part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy(key, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(small(written(before, "range-sums")), [key, "part"])
+    out = carried(dealt, [key], {f"before_{s}": F.sum(s) for s in sums})
     out = out.withColumns({f"below_{s}": F.col(f"before_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
     return out.drop("part", *(f"before_{s}" for s in sums))
 

@@ -168,7 +168,7 @@ def approximate_recall(queries: DataFrame, items: DataFrame, k: int, id_col: str
 
 def agreement(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of exact neighbours found, and of equal first ones within 0.005."""
-    both = exact.join(approximate.select("query_id", "item_id", F.col("score").alias("other")), ["query_id", "item_id"], "left")
+    both = exact.join(approximate.select("query_id", "item_id", F.col("score").alias("other")).hint("merge"), ["query_id", "item_id"], "left")
     return both.agg(F.count("*").alias("wanted"), F.avg(F.col("other").isNotNull().cast("int")).alias("recall"), F.avg(F.when(F.col("rank") == 1, (F.coalesce(F.abs(F.col("score") - F.col("other")), F.lit(1.0)) < 5e-3).cast("int"))).alias("top1"))
 
 
@@ -200,7 +200,7 @@ def seed_gates(frames: DataFrame, key: str = "asset_class", slack: float = 0.012
     parts = split_holdout(frames, key)
     scores = written(own_scores(parts.where("held"), centroids(parts.where("fit"), key), key).select(key, "score"), "held-scores")
     q = exact_quantiles(scores, key, "score", {"low": 0.05, "median": 0.5})
-    return q.join(scores.groupBy(key).agg(F.count("*").alias("n_held")), key).select(key, F.least("low", F.col("median") - slack).alias("gate"), "n_held")
+    return q.join(scores.groupBy(key).agg(F.count("*").alias("n_held")).hint("merge"), key).select(key, F.least("low", F.col("median") - slack).alias("gate"), "n_held")
 
 
 def coldstart_gates(frames: DataFrame, key: str = "asset_class") -> DataFrame:
@@ -216,7 +216,7 @@ def exemplars(frames: DataFrame, key: str = "asset_class") -> DataFrame:
 def register_models(frames: DataFrame, key: str = "asset_class") -> DataFrame:
     """One row for each class: name, centroid, gate, exemplar, sample count."""
     counts = frames.groupBy(key).agg(F.count("*").alias("training_samples"))
-    return counts.join(centroids(frames, key), key).join(seed_gates(frames, key), key).join(exemplars(frames, key).drop("score"), key).withColumn("name", C.default_name(key))
+    return counts.join(centroids(frames, key).hint("merge"), key).join(seed_gates(frames, key).hint("merge"), key).join(exemplars(frames, key).drop("score").hint("merge"), key).withColumn("name", C.default_name(key))
 
 
 # -- routing
@@ -235,7 +235,7 @@ def route(frames: DataFrame, models: DataFrame, k: int = 5, floor: float = 0.82,
         return ids.withColumn("candidates", F.array().cast("array<struct<rank:int,name:string,asset_class:string,score:double,gate:double>>")).withColumn("routing_score", F.lit(0.0))
     c = F.struct("rank", "name", "asset_class", C.half_even("score").alias("score"), effective_gate("gate", floor).alias("gate"))
     rows = found.groupBy("frame_id").agg(F.array_sort(F.collect_list(c)).alias("candidates"))
-    return ids.join(rows, "frame_id", "left").withColumn("routing_score", F.coalesce(F.get("candidates", 0)["score"], F.lit(0.0)))
+    return ids.join(rows.hint("merge"), "frame_id", "left").withColumn("routing_score", F.coalesce(F.get("candidates", 0)["score"], F.lit(0.0)))
 
 
 def decide(routed: DataFrame, margin: float = 0.02) -> DataFrame:
@@ -254,7 +254,7 @@ def resolve_ambiguous(decided: DataFrame, adjudications: DataFrame | None = None
         chosen = F.lit(None).cast("string")
         df = decided
     else:
-        df = decided.join(adjudications.select("frame_id", "chosen_model_name"), "frame_id", "left")
+        df = decided.join(adjudications.select("frame_id", "chosen_model_name").hint("merge"), "frame_id", "left")
         chosen = F.when(F.exists("candidates", lambda c: c["name"] == F.col("chosen_model_name")), F.col("chosen_model_name"))
     open_ = F.col("decision") == "ambiguous"
     df = df.withColumn("model_name", F.when(F.col("decision") == "route", F.col("best_name")).when(open_, chosen))
@@ -277,7 +277,7 @@ def compare_rules(tops: DataFrame, cuts: tuple[float, ...] = (0.82, 0.86, 0.88))
 def routing_report(decided: DataFrame, probes: DataFrame, most: int = 25) -> DataFrame:
     """For each class and overall: probes (the first by name), right top class, routed, refused, mean and max top score."""
     first = probes.withColumn("rn", F.row_number().over(Window.partitionBy("asset_class").orderBy("frame_id"))).where(F.col("rn") <= most).drop("rn")
-    df = decided.join(first.select("frame_id", "asset_class", "withheld"), "frame_id")
+    df = decided.join(first.select("frame_id", "asset_class", "withheld").hint("merge"), "frame_id")
     out = df.rollup("asset_class").agg(
         F.count("*").alias("probes"), F.count_if(F.col("best_class") == F.col("asset_class")).alias("top1"), F.count_if(F.col("decision") == "route").alias("routed"), F.count_if(F.col("decision") == "unroutable").alias("refused"),
         C.half_even(F.avg("routing_score")).alias("mean_top"), F.max("routing_score").alias("max_top"), F.max("withheld").alias("withheld"), F.grouping("asset_class").alias("g"),

@@ -173,7 +173,7 @@ def fold_scores(patches: DataFrame, folds: int = 2, ratio: float = 0.25, key: st
     w = Window.partitionBy(key)
     frame = frame.withColumn("fold", (F.row_number().over(w.orderBy("ord", "frame_id")) - 1) % max(folds, 1)).withColumn("n", F.count("*").over(w))
     usable = frame.where(F.col("n") - F.ceil(F.col("n") / max(folds, 1)) >= 2) if folds >= 2 else frame.limit(0)
-    p = patches.drop("ord").join(usable.select("frame_id", "fold"), "frame_id")
+    p = patches.drop("ord").join(usable.select("frame_id", "fold").hint("merge"), "frame_id")
     out = None
     for k in range(max(folds, 1)):
         d = image_scores(patch_distances(p.where(F.col("fold") == k), coreset(p.where(F.col("fold") != k), ratio, key), key))
@@ -184,14 +184,14 @@ def fold_scores(patches: DataFrame, folds: int = 2, ratio: float = 0.25, key: st
 def envelope(in_sample: DataFrame, out_of_sample: DataFrame, key: str = "asset_class") -> DataFrame:
     """Thresholds from normal frames alone: the largest unseen score, else the largest seen one, flagged."""
     seen = in_sample.groupBy(key).agg(F.max("raw_score").alias("in_max"), F.min("raw_score").alias("in_min"), F.avg("raw_score").alias("mean"), F.stddev_pop("raw_score").alias("std"))
-    seen = seen.join(exact_quantiles(in_sample, key, "raw_score", {"p995": 0.995}), key)
+    seen = seen.join(exact_quantiles(in_sample, key, "raw_score", {"p995": 0.995}).hint("merge"), key)
     unseen = out_of_sample.groupBy(key).agg(F.max("raw_score").alias("oos_max"))
-    return seen.join(unseen, key, "left").withColumn("image_threshold", F.coalesce("oos_max", "in_max")).withColumn("in_sample_only", F.col("oos_max").isNull())
+    return seen.join(unseen.hint("merge"), key, "left").withColumn("image_threshold", F.coalesce("oos_max", "in_max")).withColumn("in_sample_only", F.col("oos_max").isNull())
 
 
 def pixel_stats(cells: DataFrame, key: str = "asset_class", share: float = 0.995) -> DataFrame:
     """A high percentile (exact), least and largest cell of good maps."""
-    return exact_quantiles(cells, key, "v", {"pixel_threshold": share}).join(cells.groupBy(key).agg(F.min("v").alias("pixel_min"), F.max("v").alias("pixel_max")), key)
+    return exact_quantiles(cells, key, "v", {"pixel_threshold": share}).join(cells.groupBy(key).agg(F.min("v").alias("pixel_min"), F.max("v").alias("pixel_max")).hint("merge"), key)
 
 
 def histogram(scored: DataFrame, key: str) -> DataFrame:
@@ -234,7 +234,7 @@ def pixel_threshold(stored, own_p99):
 def desaturated(norm_cells: DataFrame) -> DataFrame:
     """Maps of which half is at the top are rescaled from their own 97th percentile; cells have v and norm."""
     per = norm_cells.groupBy("frame_id").agg(F.avg((F.col("norm") >= 0.999).cast("double")).alias("share"), F.percentile("v", 0.97).alias("p97"), F.max("v").alias("vmax"))
-    df = norm_cells.join(per, "frame_id")
+    df = norm_cells.join(per.hint("merge"), "frame_id")
     again = C.clip01((F.col("v") - F.col("p97")) / F.greatest(F.lit(1e-6), F.col("vmax") - F.col("p97")) * 0.5 + 0.5)
     return df.withColumn("saturated", F.col("share") >= 0.5).withColumn("norm", F.when(F.col("share") >= 0.5, again).otherwise(F.col("norm"))).drop("share", "p97", "vmax")
 
@@ -288,7 +288,7 @@ def kept_regions(found: DataFrame, target: tuple[int, int] | None = None, floor:
 
 def suppressed(found: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Regions of frames with a defect verdict only."""
-    return found.join(verdicts.where("verdict = 'defect'").select("frame_id"), "frame_id", "left_semi")
+    return found.join(verdicts.where("verdict = 'defect'").select("frame_id").hint("merge"), "frame_id", "left_semi")
 
 
 def padded_crop(x, y, w, h, frame_w, frame_h, pad: float = 0.2, least: int = 96):

@@ -33,7 +33,7 @@ WITH = [*BUILD, TOPS, DECIDED]
 
 def registry(spark, d):
     f = frames(spark, d)
-    m = R.centroids(f).join(R.seed_gates(f), "asset_class").withColumn("name", C.default_name("asset_class"))
+    m = R.centroids(f).join(R.seed_gates(f).hint("merge"), "asset_class").withColumn("name", C.default_name("asset_class"))
     return m.where("asset_class <> 'class_9'")
 
 
@@ -120,7 +120,7 @@ def matches(spark, d):
     f = frames(spark, d)
     v = F.when(F.col("frame_id") % 3 == 0, "defect").when(F.col("frame_id") % 3 == 1, "nominal").otherwise("unroutable")
     ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("frame_id").cast("int"))
-    return R.recall(queries_of(f), f, 10).join(f.select(F.col("frame_id").alias("item_id"), v.alias("verdict"), ts.alias("ts")), "item_id")
+    return R.recall(queries_of(f), f, 10).join(f.select(F.col("frame_id").alias("item_id"), v.alias("verdict"), ts.alias("ts")).hint("merge"), "item_id")
 
 
 @query("fs3_recall", sql(FRAMES, f"SELECT query_id, item_id, round_even(score,4) AS similarity FROM ({NEAREST}) WHERE rank<=10"))
@@ -176,7 +176,7 @@ def rt5(spark, d):
 
 @query("rt6_compare_rules", sql(*WITH, "SELECT rule, count(*) FILTER (s>=c AND truth<>'class_9') AS accepted, count(*) FILTER (s<c AND truth='class_9') AS refused FROM (SELECT truth, s, unnest([{'rule':'global_0.55','c':0.55},{'rule':'global_0.6','c':0.6},{'rule':'per_model_gate','c':g}], recursive:=true) FROM decided) GROUP BY 1"))
 def rt6(spark, d):
-    tops = decided(spark, d).join(frames(spark, d).select("frame_id", "asset_class"), "frame_id").select(F.col("routing_score").alias("score"), F.col("best_gate").alias("gate"), (F.col("asset_class") != "class_9").alias("registered"))
+    tops = decided(spark, d).join(frames(spark, d).select("frame_id", "asset_class").hint("merge"), "frame_id").select(F.col("routing_score").alias("score"), F.col("best_gate").alias("gate"), (F.col("asset_class") != "class_9").alias("registered"))
     return R.compare_rules(tops, (0.55, 0.6))
 
 
@@ -284,7 +284,7 @@ def snk8(spark, d):
 @query("fs10_fleet_report", sql(*BUILD, "SELECT name, 64::INT AS dims, round_even(gate,4) AS gate, asset_class IN ('class_1','class_2') AS resumed FROM reg"))
 def fs10(spark, d):
     ledger = frames(spark, d).where("label in (1, 2)").select("asset_class").distinct().withColumn("resumed", F.lit(True))
-    return registry(spark, d).join(ledger, "asset_class", "left").select("name", F.size("vec").alias("dims"), r4("gate").alias("gate"), F.coalesce("resumed", F.lit(False)).alias("resumed"))
+    return registry(spark, d).join(ledger.hint("merge"), "asset_class", "left").select("name", F.size("vec").alias("dims"), r4("gate").alias("gate"), F.coalesce("resumed", F.lit(False)).alias("resumed"))
 
 
 @query("fs11_provenance_listing", "SELECT source AS asset_class, count(*) AS source_files, min(doc_id) AS first_id FROM documents GROUP BY 1")
@@ -295,7 +295,7 @@ def fs11(spark, d):
 @query("v2a_recall_before_decide", sql(*WITH, f"SELECT d.frame_id, d.decision, m.item_id FROM decided d JOIN (SELECT query_id, item_id FROM ({NEAREST}) WHERE rank<=3) m ON m.query_id=d.frame_id"))
 def v2a(spark, d):
     f = frames(spark, d)
-    return decided(spark, d).join(R.recall(queries_of(f), f, 3).withColumnRenamed("query_id", "frame_id"), "frame_id").select("frame_id", "decision", "item_id")
+    return decided(spark, d).join(R.recall(queries_of(f), f, 3).withColumnRenamed("query_id", "frame_id").hint("merge"), "frame_id").select("frame_id", "decision", "item_id")
 
 
 @query("v2d_score_drift", sql(*WITH, "SELECT name, round_even(avg(s) FILTER (frame_id%2=1)-avg(s),4) AS drift FROM decided GROUP BY 1"))

@@ -153,7 +153,7 @@ def met5(spark, d):
 def met6(spark, d):
     bank, odd = banked(spark, d)
     a, b = O.image_scores(O.patch_distances(odd, bank)), O.image_scores(O.patch_distances(odd, written(bank, "reloaded")))
-    return a.join(b.select("frame_id", F.col("raw_score").alias("again")), "frame_id").agg(F.max(F.abs(F.col("raw_score") - F.col("again"))).alias("delta")).withColumn("match", F.col("delta") < 1e-5)
+    return a.join(b.select("frame_id", F.col("raw_score").alias("again")).hint("merge"), "frame_id").agg(F.max(F.abs(F.col("raw_score") - F.col("again"))).alias("delta")).withColumn("match", F.col("delta") < 1e-5)
 
 
 STATS = "st AS (SELECT asset_class, quantile_cont(v,0.9) AS thr, min(v) AS lo, max(v) AS hi FROM cells GROUP BY 1), nc AS (SELECT frame_id, c.asset_class, y, x, v, least(1.0,greatest(0.0,(v-thr)/(hi-lo)+0.5))::DOUBLE AS norm FROM cells c JOIN st USING (asset_class))"

@@ -132,7 +132,7 @@ def inspected(frames: DataFrame, models: DataFrame, bank: DataFrame, patches_of,
 
     decided = written(decide(route(frames, models, floor=floor)).drop("candidates"), "decided")
     routed = decided.where("decision = 'route'").select("frame_id", F.col("best_class").alias("asset_class"))
-    scored = image_scores(patch_distances(patches_of(frames).join(routed, "frame_id"), bank)).select("frame_id", "raw_score")
+    scored = image_scores(patch_distances(patches_of(frames).join(routed.hint("merge"), "frame_id"), bank)).select("frame_id", "raw_score")
     thresholds = models.select(F.col("name").alias("best_name"), "image_threshold")
     out = decided.join(scored.hint("merge"), "frame_id", "left").join(thresholds.hint("merge"), "best_name", "left")
     known = F.when(F.col("decision") == "route", verdict("raw_score", "image_threshold")).otherwise("unroutable")

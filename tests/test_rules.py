@@ -332,3 +332,21 @@ def test_refusal_clusters(spark):
 def test_capped_maps(spark):
     """The registered maps are 8 by 8, so every cell of every frame is read."""
     assert map_cells(spark, D).count() == 64 * frames(spark, D).count()
+
+
+def test_ranks_over_ranges(spark):
+    from inspectory.operators import ranks
+
+    rng = np.random.default_rng(4)
+    rows = [(("a", "b", None)[int(rng.integers(3))], int(v), i) for i, v in enumerate(rng.integers(0, 40, 500))]
+    df = spark.createDataFrame(rows, "kind string, v int, i int").repartition(4)
+    for r in ranks.numbered(df, ["kind"], ["v", "i"], "place").collect():
+        assert r.place == 1 + sum((k == r.kind) and (v, i) < (r.v, r.i) for k, v, i in rows)
+    sums = {(k, v): sum(1 for a, b, _ in rows if a == k and b == v) for k, v, _ in rows}
+    h = spark.createDataFrame([(k, v, n) for (k, v), n in sums.items()], "kind string, v int, n long")
+    got = ranks.with_sums_below(h, "kind", "v", ("n",)).collect()
+    assert len(got) == len(sums) and all(r.below_n == sum(n for (k, v), n in sums.items() if k == r.kind and v < r.v) for r in got)
+    for r in ranks.exact_quantiles(df.where("kind is not null"), "kind", "v", {"low": 0.05, "mid": 0.5, "top": 1.0}).collect():
+        own = [v for k, v, _ in rows if k == r.kind]
+        assert (r.low, r.mid, r.top) == pytest.approx(tuple(np.quantile(own, [0.05, 0.5, 1.0])))
+    assert ranks.exact_quantiles(df.limit(0), "kind", "v", {"mid": 0.5}).count() == 0
