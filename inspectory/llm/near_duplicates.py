@@ -258,7 +258,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, car
     total = lambda salt: F.sum(F.xxhash64("rep", F.lit(salt)).cast("decimal(38,0)"))
     stats = members.groupBy("region").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y"), total(1).alias("h"), total(2).alias("g"))
     stats = written(stats.where("x < y").dropDuplicates(["n", "h", "g"]).select("region", "n"), "open-regions")  # the same rows in several trees meet once
-    small = members.join(stats.where(F.col("n") <= NEAR + 1).select("region").hint("merge"), "region").select("region", "rep", "of")
+    few_rows = stats.where(F.col("n") <= NEAR + 1).select("region")
+    few_rows = F.broadcast(few_rows) if few_rows.count() <= FEW_REGIONS else few_rows.hint("merge")
+    small = written(members.join(few_rows, "region").select("region", "rep", "of"), "small-regions")  # a crowded region's rows never meet here
     side = lambda c: small.select("region", F.col("rep").alias(c), F.col("of").alias(f"of_{c}"))
     apart = written(side("a").join(side("b").hint("merge"), "region").where("a < b and of_a <> of_b").select("a", "b").distinct(), "apart")
     far = confirmed(apart, sets, percent).unionAll(crowded(members, stats.where(F.col("n") > NEAR + 1), sets, percent))

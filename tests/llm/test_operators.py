@@ -18,6 +18,13 @@ def run(spark, sf_dir, name):
     return queries.queries()[name](spark, sf_dir).collect()
 
 
+def by_id(docs):
+    out = defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        out[r.doc_id].append(r.text)
+    return out
+
+
 def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
 
@@ -238,7 +245,12 @@ def test_templates_tell_licences_apart():
 
 
 def test_licenses_odd(odd_docs, no_docs):
-    assert licenses.scan(odd_docs).count() == odd_docs.count() and licenses.scan(no_docs).count() == 0
+    count = lambda t: len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t or ""))
+    want = sorted((r.doc_id or 0, count(r.text)) for r in odd_docs.collect())
+    rows = licenses.scan(odd_docs).collect()
+    assert sorted((r.doc_id or 0, r.n_words) for r in rows) == want
+    assert {(r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in rows} == {(0, None, None, "", "", 0.0)}
+    assert licenses.scan(no_docs).count() == 0
 
 
 # -- near duplicates
@@ -298,6 +310,16 @@ def test_near_duplicates_with_equal_and_null_ids(spark):
     assert all(r.row == r.sig == "clash" for r in got)
 
 
+def test_near_duplicates_in_a_large_family(spark):
+    """5,000 relatives at 0.786 of each other, linked with nobody but for 500 pairs at 0.802."""
+    rng = np.random.default_rng(11)
+    base = [f"c{i}" for i in range(88)]
+    docs = [(d, " ".join([*base, f"p{d % 2500 if d % 2500 < 500 else d + 10_000}", *(f"u{d}x{i}" for i in range(11))])) for d in range(5000)]
+    docs = [docs[i] for i in rng.permutation(len(docs))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (100, d % 2500 if d % 2500 < 500 else d) for d in range(5000)}
+
+
 def test_neighbours_meet_over_partitions():
     far = near_duplicates.NEAR + 1
     key = np.array([[1, 1, 1, 1, i, 0] for i in range(far + 1)])
@@ -559,7 +581,14 @@ def test_best_fit():
 
 
 def test_token_output_odd(odd_docs, no_docs):
-    assert sum(len(r.doc_ids) for r in token_output.sequences(odd_docs).collect()) >= odd_docs.count()
+    enc, back = tokens.ByteEncoder().whole, defaultdict(list)
+    for r in token_output.sequences(odd_docs).collect():
+        ids = np.frombuffer(bytes(r.ids), "<u2").tolist()
+        for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            back[d].append((s, ids[a:b]))
+    for d, own in by_id(odd_docs).items():
+        want = Counter((at, tuple(ids[at : at + token_output.CAPACITY])) for t in own for ids in [[*enc.encode_ordinary(t or ""), 50256]] for at in range(0, len(ids), token_output.CAPACITY))
+        assert Counter((s, tuple(x)) for s, x in back[d]) == want
     assert token_output.sequences(no_docs).count() == 0
 
 
@@ -666,7 +695,9 @@ def test_machine_identity():
 def test_classifier_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1), (5, 0), (7, None), (None, 1), (99, 1)], "doc_id long, quality int")
     m = classifier.train(odd_docs, labels)
-    assert classifier.scored(odd_docs, m).where("score between 0 and 1").count() == odd_docs.count()
+    for d, own in by_id(odd_docs).items():
+        got = sorted(r.score for r in classifier.scored(odd_docs, m).where(F.col("doc_id").eqNullSafe(d)).collect())
+        assert got == pytest.approx(sorted(m.score(*classifier.features((t or "").encode())) for t in own)) and all(0 <= x <= 1 for x in got)
     assert classifier.scored(no_docs, classifier.train(no_docs, labels.limit(0))).count() == 0
     kept = classifier.scored(odd_docs.withColumn("quality_score", F.lit("clash")), m, keep=True)
     assert kept.columns == [*odd_docs.columns, "quality_score"] and kept.where("quality_score between 0 and 1").count() == odd_docs.count()
