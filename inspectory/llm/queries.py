@@ -1,4 +1,4 @@
-"""Queries of the training-data operators. SQL can express none of them at usable cost, so tests hold them against brute force."""
+"""Queries of the training-data operators. Where SQL cannot express one at usable cost, tests hold it against brute force."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .classifier import op8_classifier
 from .decontaminate import op5_decontamination
+from .lexical_search import SQL as LEXICAL_SEARCH
+from .lexical_search import op13_lexical_search
 from .licenses import op3_licenses
 from .near_duplicates import op4_near_duplicates
 from .packing import op6_packing
@@ -19,9 +21,9 @@ from .token_output import op10_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_sharding, op2_secrets, op3_licenses, op4_near_duplicates, op5_decontamination, op6_packing, op7_quality_rules, op8_classifier, op9_suffix_dedup, op10_token_output)
+    ops = (op1_sharding, op2_secrets, op3_licenses, op4_near_duplicates, op5_decontamination, op6_packing, op7_quality_rules, op8_classifier, op9_suffix_dedup, op10_token_output, op13_lexical_search)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_lexical_search": LEXICAL_SEARCH}
