@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_alignment
 from .classifier import op8_classifier
 from .decontaminate import op5_decontamination
 from .lexical_search import SQL as LEXICAL_SEARCH
@@ -21,7 +22,7 @@ from .token_output import op10_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_sharding, op2_secrets, op3_licenses, op4_near_duplicates, op5_decontamination, op6_packing, op7_quality_rules, op8_classifier, op9_suffix_dedup, op10_token_output, op13_lexical_search)
+    ops = (op1_sharding, op2_secrets, op3_licenses, op4_near_duplicates, op5_decontamination, op6_packing, op7_quality_rules, op8_classifier, op9_suffix_dedup, op10_token_output, op12_alignment, op13_lexical_search)
     return {f.__name__: f for f in ops}
 
 
