@@ -16,11 +16,13 @@ long texts are taken whole. An empty table gives no rows. Carried columns may ha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -239,18 +241,17 @@ def crowded(members: DataFrame, stats: DataFrame, sets: DataFrame, percent: int
     return own_rows.groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id of the group), kept (the id is its component's) and stays (true for
-    exactly one row of each group) for each row; with ``carry`` also text and the carried columns. Ids are integers."""
-    rows = written(described(docs, width, carry=carry).withColumn("row", F.monotonically_increasing_id()), "described")
-    doc = F.col("doc_id").cast("long")
-    least = lambda *c: F.min(F.struct(F.isnull(c[0]).alias("none"), c[0].alias("doc"), F.col(c[1]).alias("row")))
-    classes = rows.where("set_key is not null").groupBy("set_key").agg(least(doc, "row").alias("head"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-    classes = written(classes.select("set_key", F.col("head.doc").alias("doc"), F.col("head.row").alias("rep"), "sig", "n_shingles"), "classes")
-    pairs, members = candidates(classes)
-    members = written(members, "regions")
-    sets = full_sets(members.select("rep").distinct(), rows.select(F.col("row").alias("rep"), "text"), width)  # neighbours share a region
-    near = written(confirmed(pairs, sets, percent), "near")
+def least(doc: Column, row: str) -> Column:
+    """The least id of a group, null ids last, and its row."""
+    return F.min(F.struct(F.isnull(doc).alias("none"), doc.alias("doc"), F.col(row).alias("row")))
+
+
+def closed(classes: DataFrame, near: DataFrame, members: DataFrame, sets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(set_key, head) of every class: head is (none, doc, row) of its component's least id.
+
+    classes: set_key, doc, rep, n_shingles; near: links that are known; members: (rep, region), where any two linked classes
+    share a region; sets: (rep, set) of the members; confirm: keeps linked pairs of (a, b). Regions of one component are
+    closed; in others all rows of different components meet."""
     first = written(components(near), "first")
     group_of = first.select(F.col("node").alias("rep"), F.col("component").alias("of")).hint("merge")
     sizes = classes.select("rep", (8 * F.col("n_shingles")).alias("size")).hint("merge")
@@ -263,13 +264,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, car
     small = written(members.join(few_rows, "region").select("region", "rep", "of"), "small-regions")  # a crowded region's rows never meet here
     side = lambda c: small.select("region", F.col("rep").alias(c), F.col("of").alias(f"of_{c}"))
     apart = written(side("a").join(side("b").hint("merge"), "region").where("a < b and of_a <> of_b").select("a", "b").distinct(), "apart")
-    far = confirmed(apart, sets, percent).unionAll(crowded(members, stats.where(F.col("n") > NEAR + 1), sets, percent))
+    far = confirm(apart).unionAll(crowded(members, stats.where(F.col("n") > NEAR + 1), sets, percent))
     groups = written(components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(far)).withColumnRenamed("node", "rep"), "components")
     grouped = written(classes.select("rep", "doc").join(groups.hint("merge"), "rep"), "grouped")
     heads = written(grouped.groupBy("component").agg(least(F.col("doc"), "rep").alias("head")), "heads")
     grouped = grouped.join(heads.hint("merge"), "component").select("rep", "head")
     alone = F.struct(F.isnull("doc").alias("none"), "doc", F.col("rep").alias("row"))
-    named = written(classes.select("set_key", "rep", "doc").join(grouped.hint("merge"), "rep", "left").select("set_key", F.coalesce("head", alone).alias("head")), "groups")
+    return written(classes.select("set_key", "rep", "doc").join(grouped.hint("merge"), "rep", "left").select("set_key", F.coalesce("head", alone).alias("head")), "groups")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id of the group), kept (the id is its component's) and stays (true for
+    exactly one row of each group) for each row; with ``carry`` also text and the carried columns. Ids are integers."""
+    rows = written(described(docs, width, carry=carry).withColumn("row", F.monotonically_increasing_id()), "described")
+    doc = F.col("doc_id").cast("long")
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(least(doc, "row").alias("head"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(classes.select("set_key", F.col("head.doc").alias("doc"), F.col("head.row").alias("rep"), "sig", "n_shingles"), "classes")
+    pairs, members = candidates(classes)
+    members = written(members, "regions")
+    sets = full_sets(members.select("rep").distinct(), rows.select(F.col("row").alias("rep"), "text"), width)  # neighbours share a region
+    confirm = lambda pairs: confirmed(pairs, sets, percent)
+    named = closed(classes, written(confirm(pairs), "near"), members, sets, confirm, percent)
     out = rows.drop("sig", *([] if carry else ["text", "carried"])).join(named.hint("merge"), "set_key", "left")
     stays = F.coalesce(F.col("row") == F.col("head.row"), F.lit(True))
     out = out.withColumn("component_id", F.when(F.col("head").isNull(), doc).otherwise(F.col("head.doc"))).withColumn("stays", stays)
