@@ -194,7 +194,7 @@ def aligned_batch(texts: list[str], pair: Pair) -> Iterator[dict]:
     part = (a_at - doc_a[doc]) // (LANE // 2)
     start = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
     steps, own = [], []
-    for group in merged(a_end, b_end, np.stack([a_at[start], np.append(a_at[start][1:], len(a)), b_at[start]], 1)):
+    for group in merged(a_end, b_end, np.stack([a_at[start], np.append(a_at[start], len(a))[1:], b_at[start]], 1)):
         steps.append(group)
         own += links(a, b, group)
     groups = [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*steps)] if steps else [np.empty(0, np.int64)] * 4
