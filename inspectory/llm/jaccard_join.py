@@ -5,7 +5,7 @@ two of that number, and each set into a segment for each fragment. Partial overl
 fragment, in rows of their own, and summed per pair.
 
 Which pairs are counted: two sets of this similarity differ in few n-grams, so (1) a set that holds more n-grams of its
-own alone than that is linked with nothing (a first fragment, a quarter of the hashes, shows this for most texts), and
+own alone than that is linked with nothing (a first fragment, a fifth of the hashes, shows this for most texts), and
 (2) two linked sets share one of the first n-grams of both in the global order. The sets with such an n-gram in common
 are a region. Neighbours by size in a region are counted first; regions that these links do not join are then compared
 whole, crowded ones in blocks over the cluster, where fragments are ranges of the common n-grams. So every link is found.
@@ -27,11 +27,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import arrow_map, shingles, small_batches, utf8, words, written
-from .near_duplicates import closed, full_sets, least
+from .near_duplicates import closed, least
 
 WIDTH, PERCENT = 4, 85
-#: Hashes below this are the first fragment that is looked at.
-FIRST = np.uint64(1 << 62)
+#: Hashes below this are the first fragment that is looked at; it has to be more than what linked sets need not share.
+FIRST = np.uint64(2**64 // 5)
+#: Row numbers that are broadcast; more are merge-joined.
+FEW_ROWS = 1_000_000
 #: Fragments of the global order: n-grams of 2 or 3 sets, of 4 to 7, and so on; the last one is open.
 FRAGMENTS = 6
 #: Rows of a region that are sorted in one group, on average.
@@ -39,7 +41,7 @@ GROUP = 4096
 
 
 def described(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, n_shingles, set_key (equal for equal sets; null without n-grams) and low (hashes of the first fragment)."""
+    """doc_id, text, n_shingles, set_key (equal for equal sets; null without n-grams), low (hashes of the first fragment) and their number."""
     kind = dict(docs.dtypes)[id_col]
 
     def make():
@@ -49,12 +51,30 @@ def described(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
                 "doc_id": batch.column(0), "text": batch.column(1),
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                "n_low": [int(np.searchsorted(s, FIRST)) for s in sets],
                 "low": [s[: np.searchsorted(s, FIRST)].tobytes() for s in sets],
             }
 
         return each
 
-    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), f"doc_id {kind}, text string, n_shingles long, set_key binary, low binary", make)
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), f"doc_id {kind}, text string, n_shingles long, set_key binary, n_low long, low binary", make)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of row numbers as the small side of a join, if it is one."""
+    return F.broadcast(ids) if ids.count() <= FEW_ROWS else ids.hint("merge")
+
+
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, set) of rows (rep, text)."""
+
+    def make():
+        def each(batch):
+            yield {"rep": batch.column(0), "set": [shingles(words(t or b""), width).tobytes() for t in utf8(batch.column(1))]}
+
+        return each
+
+    return written(arrow_map(texts, "rep long, set binary", make), "sets")
 
 
 def alone(size: np.ndarray, percent: int) -> np.ndarray:
@@ -78,18 +98,22 @@ def shared_counts(sets: DataFrame) -> DataFrame:
             yield {
                 "gram": pa.array(np.append(gram.view(np.int64), np.zeros(len(who), np.int64)), mask=np.arange(len(gram) + len(who)) >= len(gram)),
                 "rep": pa.array(np.append(holder, who), mask=np.append(n > 1, np.zeros(len(who), bool))),
-                "shared": np.append(np.zeros(len(gram), np.int64), times),
+                "shared": pa.array(np.append(np.zeros(len(gram), np.int64), times), mask=np.arange(len(gram) + len(who)) < len(gram)),
             }
 
         return each
 
-    rows = written(arrow_map(sets.select("rep", "low"), "gram long, rep long, shared long", make), "grams")
     fields = to_arrow_schema(StructType.fromDDL("rep long, shared long"))
 
     def run(batches):
-        """Rows in order of n-grams: those next to an equal one. The last row waits for the next batch."""
+        """Sums of batches first, then n-grams in order: rows next to an equal one. The last row waits for the next batch."""
         gram, rep, known = np.empty(0, np.int64), pa.array([], pa.int64()), False
         for batch in batches:
+            sums = batch.filter(batch.column(0).is_null())
+            yield pa.RecordBatch.from_arrays([sums.column(1), sums.column(2)], schema=fields)
+            batch = batch.filter(batch.column(0).is_valid())
+            if not batch.num_rows:
+                continue
             gram, rep = np.append(gram, batch.column(0).to_numpy()), pa.concat_arrays([rep, batch.column(1)])
             same = gram[1:] == gram[:-1]
             meets = np.append(known, same) | np.append(same, False)
@@ -100,9 +124,9 @@ def shared_counts(sets: DataFrame) -> DataFrame:
             last = rep.drop_null()
             yield pa.RecordBatch.from_pydict({"rep": last, "shared": np.ones(len(last), np.int64)}, schema=fields)
 
-    ordered = rows.where("gram is not null").select("gram", "rep").repartition("gram").sortWithinPartitions("gram")
-    met = small_batches(ordered).mapInArrow(run, "rep long, shared long")
-    return rows.where("gram is null").select("rep", "shared").unionAll(met).groupBy("rep").agg(F.sum("shared").alias("shared"))
+    rows = arrow_map(sets.select("rep", "low"), "gram long, rep long, shared long", make)
+    in_order = rows.repartition(F.coalesce("gram", F.xxhash64("rep"))).sortWithinPartitions("gram")
+    return small_batches(in_order).mapInArrow(run, "rep long, shared long").groupBy("rep").agg(F.sum("shared").alias("shared"))
 
 
 def ordered(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -178,12 +202,14 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id
     """doc_id, n_shingles and component_id (the least id of the group) for each row. Ids are integers."""
     rows = written(described(docs, width, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "described")
     doc = F.col("doc_id").cast("long")
-    classes = rows.where("set_key is not null").groupBy("set_key").agg(least(doc, "row").alias("head"), F.first("low").alias("low"), F.first("n_shingles").alias("n_shingles"))
-    classes = written(classes.select("set_key", F.col("head.doc").alias("doc"), F.col("head.row").alias("rep"), "low", "n_shingles"), "classes")
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(least(doc, "row").alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("n_low").alias("n_low"))
+    classes = written(classes.select("set_key", F.col("head.doc").alias("doc"), F.col("head.row").alias("rep"), "n_shingles", "n_low"), "classes")
+    numbered = rows.where("set_key is not null").withColumnRenamed("row", "rep")
+    copies = written(numbered.select("rep").join(classes.select("rep").hint("merge"), "rep", "left_anti"), "copies")
+    shared = shared_counts(numbered.select("rep", "low").join(few(copies), "rep", "left_anti"))
     n = F.col("n_shingles")
-    missing = F.length("low") / 8 - F.coalesce("shared", F.lit(0))
-    left = classes.join(shared_counts(classes).hint("merge"), "rep", "left").where(missing <= n - F.ceil(percent * n / 100))
-    sets = full_sets(written(left.select("rep"), "left"), rows.select(F.col("row").alias("rep"), "text"), width)
+    left = classes.join(shared.hint("merge"), "rep", "left").where(F.col("n_low") - F.coalesce("shared", F.lit(0)) <= n - F.ceil(percent * n / 100))
+    sets = sets_of(numbered.select("rep", "text").join(few(written(left.select("rep"), "left")), "rep", "left_semi"), width)
     members, segments = ordered(sets, percent)
     confirm = lambda pairs: counted(pairs, segments, percent)
     near = written(confirm(written(next_by_size(members, percent), "next")), "near")
