@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import routing as R
 from ..sources import tables as S
+from ..sources.commits import CommitLog
 from .adapters import FRAMES, frames, sql, table
 from .findings_queries import MODELS, models as model_rows
 from .registry import query
@@ -196,7 +197,7 @@ def rt7(spark, d):
 def rt8(spark, d):
     m = registry(spark, d)
     other = m.select(F.col("name").alias("other"), F.col("vec").alias("ovec"))
-    return R.nearest_targets(m, other, k=1000, row_id="name", target_id="other", target_vec="ovec").select("name", "other", C.half_even("score", 6).alias("score"))
+    return R.nearest_targets(m, other, k=m.count(), row_id="name", target_id="other", target_vec="ovec").select("name", "other", C.half_even("score", 6).alias("score"))
 
 
 SEP = "cand AS (SELECT *, row_number() OVER (ORDER BY ord) AS rn, count(*) OVER () AS nn FROM frames WHERE asset_class='class_3'), parts AS (SELECT *, rn<=floor(0.7*nn) AS fit FROM cand)"
@@ -250,12 +251,21 @@ def versions(spark, d):
     return m.where("name < 'class_6'"), m.where("name >= 'class_4'").withColumn("training_samples", F.col("training_samples") + 1000)
 
 
+def committed(spark, d) -> CommitLog:
+    """A registry of two commits: models, then newer rows of some and others beside them."""
+    old, new = versions(spark, d)
+    log = CommitLog(spark, S.scratch(spark, "registry"))
+    log.append(old)
+    log.upsert(new, "name")
+    return log
+
+
 V = "old AS (SELECT name, created_by, training_samples FROM models WHERE name<'class_6'), new AS (SELECT name, created_by, training_samples+1000 AS training_samples FROM models WHERE name>='class_4')"
 
 
 @query("snk1_upsert", sql(MODELS, V, "SELECT * FROM old WHERE name NOT IN (SELECT name FROM new) UNION ALL SELECT * FROM new"))
 def snk1(spark, d):
-    return S.upsert(*versions(spark, d), "name")
+    return committed(spark, d).read()
 
 
 @query("snk2_insert_suffixed", sql(MODELS, V, "SELECT CASE WHEN name IN (SELECT name FROM old) THEN name||'-1700000000' ELSE name END AS name, created_by, training_samples FROM new"))
@@ -267,18 +277,30 @@ def snk2(spark, d):
 def snk3(spark, d):
     docs = table(spark, d, "documents")
     n = lambda df: df.groupBy(F.col("source").alias("asset_class")).agg(F.count("*").alias("n"))
-    return S.upsert(n(docs), n(docs.where("doc_id % 2 = 0")), "asset_class")
+    log = CommitLog(spark, S.scratch(spark, "provenance"))
+    log.append(n(docs))
+    log.upsert(n(docs.where("doc_id % 2 = 0")), "asset_class")
+    return log.read()
+
+
+@query("snk1_earlier_version", sql(MODELS, V, "SELECT * FROM old"))
+def snk1_earlier(spark, d):
+    """A snapshot read: the registry as it was before the upsert."""
+    return committed(spark, d).read(0)
 
 
 @query("snk5_partial_update", sql(MODELS, V, "SELECT o.name, o.created_by, coalesce(n.training_samples,o.training_samples) AS training_samples FROM old o LEFT JOIN new n USING (name)"))
 def snk5(spark, d):
     old, new = versions(spark, d)
-    return S.update_fields(old, new, "name", ["training_samples"])
+    log = CommitLog(spark, S.scratch(spark, "registry"))
+    log.append(old)
+    log.update(new, "name", ["training_samples"])
+    return log.read()
 
 
 @query("snk8_superseded", sql(MODELS, V, "SELECT o.name, o.training_samples FROM old o JOIN new n USING (name) WHERE o.training_samples IS DISTINCT FROM n.training_samples"))
 def snk8(spark, d):
-    return S.superseded(*versions(spark, d), "name", "training_samples")
+    return committed(spark, d).superseded("name", "training_samples")
 
 
 @query("fs10_fleet_report", sql(*BUILD, "SELECT name, 64::INT AS dims, round_even(gate,4) AS gate, asset_class IN ('class_1','class_2') AS resumed FROM reg"))

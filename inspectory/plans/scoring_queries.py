@@ -214,7 +214,7 @@ def hottest(spark, d):
     return map_cells(spark, d).groupBy("frame_id").agg(F.max_by(F.struct("y", "x", "v"), F.struct("v", -F.col("y"), -F.col("x"))).alias("r")).select("frame_id", "r.*")
 
 
-@query("sc7_region_suppression", sql(FRAMES, CELLS, HOT, "SELECT c.frame_id, c.y, c.x FROM cells c JOIN hot h ON c.frame_id=h.frame_id WHERE c.v>=0.25 AND h.v>=0.35"))
+@query("sc7_region_suppression", sql(FRAMES, CELLS, "SELECT frame_id, y, x FROM (SELECT *, max(v) OVER (PARTITION BY frame_id) AS m FROM cells) WHERE v>=0.25 AND m>=0.35"))
 def sc7(spark, d):
     regions = map_cells(spark, d).where("v >= 0.25").select("frame_id", "y", "x")
     return O.suppressed(regions, hottest(spark, d).select("frame_id", O.verdict("v", F.lit(0.35)).alias("verdict")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.commits import CommitLog
 from ..sources.tables import scratch
 from ..streaming import sessions as O
 from .adapters import FINDINGS, FRAMES, STEPS, findings, frames, patches_of, sql, steps, table
@@ -93,13 +94,32 @@ def st9(spark, d):
     stream = spark.readStream.schema(f.schema).parquet(f"{at}/in")
     read = lambda name: lambda: spark.read.parquet(f"{at}/{name}")
     O.inspect_stream(stream, read("models"), read("bank"), patches_of, f"{at}/out", f"{at}/state", floor=0.0).awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("frame_id", "decision", "best_name", "asset_class", "verdict", "severity", C.half_even("raw_score", 6).alias("raw_score"))
+    return CommitLog(spark, f"{at}/out").read().select("frame_id", "decision", "best_name", "asset_class", "verdict", "severity", C.half_even("raw_score", 6).alias("raw_score"))
 
 
 @query("st10_incremental_trends", sql(FINDINGS, "SELECT strftime(ts,'%Y-%m-%d') AS day, asset_class, count(*) AS total, count(*) FILTER (verdict='defect') AS defects FROM findings WHERE verdict IS DISTINCT FROM 'unroutable' GROUP BY ALL"))
 def st10(spark, d):
-    own = findings(spark, d).select("ts", "asset_class", "verdict")
-    return streamed(spark, own, O.incremental_trends, "complete")
+    return trends(spark, [findings(spark, d)], "counts")
+
+
+LATE = "known AS (SELECT finding_id, ts, asset_class, verdict, backfilled FROM findings WHERE verdict IS DISTINCT FROM 'unroutable'), mark AS (SELECT max(ts)-INTERVAL 1 HOUR AS closed FROM known WHERE NOT backfilled)"
+
+
+@query("st10_late_findings", sql(FINDINGS, LATE, "SELECT finding_id, ts, asset_class, verdict FROM known, mark WHERE backfilled AND date_trunc('day',ts)+INTERVAL 1 DAY<=closed"))
+def st10_late(spark, d):
+    """Backfilled findings arrive after the others, with the streams started anew in between: those of closed days are in the late table."""
+    own = findings(spark, d)
+    return trends(spark, [own.where("not backfilled"), own.where("backfilled")], "late").select("finding_id", "ts", "asset_class", "verdict")
+
+
+def trends(spark, parts, name):
+    at = scratch(spark, "trends")
+    for own in parts:
+        own.select("finding_id", "ts", "asset_class", "verdict").write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema("finding_id string, ts timestamp, asset_class string, verdict string").parquet(f"{at}/in")
+        for q in O.trend_stream(stream, f"{at}/counts", f"{at}/late", f"{at}/state"):
+            q.awaitTermination()
+    return CommitLog(spark, f"{at}/{name}").read()
 
 
 @query("st11_step_latency", sql(STEPS, "SELECT seq, round_even((epoch_us(ts)-lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, seq))/1000,0)::BIGINT AS latency_ms FROM steps"))

@@ -77,9 +77,9 @@ def flat_boxes(df: DataFrame, names: dict[int, str]) -> DataFrame:
     return each.select("frame_id", label[F.col("z.labels")].alias("label"), *(F.get("z.bboxes", i).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upsert(existing: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """Replace whole rows by key, else add. The result goes to a new version, never over what is read."""
-    return existing.join(new.select(key), key, "left_anti").unionByName(new)
+    return existing.join(new.select(*key), [*key], "left_anti").unionByName(new)
 
 
 def insert_suffixed(existing: DataFrame, new: DataFrame, suffix: str, key: str = "name") -> DataFrame:

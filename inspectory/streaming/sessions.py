@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.commits import CommitLog
 from ..sources.tables import written
 
 STILL, MOVED, HOLD_MS, FIRST_MS = 0.012, 0.030, 2000.0, 125.0
@@ -120,11 +121,44 @@ def step_latency(steps: DataFrame, by: str = "session_id") -> DataFrame:
 
 
 def incremental_trends(findings: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Daily defect counts kept current as findings arrive; rows older than the watermark are dropped and counted by Spark's own progress metric."""
-    day = findings.withWatermark("ts", late).where(~F.col("verdict").eqNullSafe("unroutable")).groupBy(F.window("ts", "1 day").alias("w"), "asset_class")
+    """Daily defect counts kept current as findings arrive, for update mode: a day's rows and state go when the watermark has passed the day's end, and rows that come later are dropped here (``trend_stream`` keeps them)."""
+    day = findings.where(~F.col("verdict").eqNullSafe("unroutable")).withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "asset_class")
     return day.agg(F.count("*").alias("total"), F.count_if(F.col("verdict") == "defect").alias("defects")).select(C.utc_day(F.col("w.start")).alias("day"), "asset_class", "total", "defects")
 
 
+def trend_stream(findings: DataFrame, out: str, late_out: str, checkpoint: str, late: str = "1 hour"):
+    """Two queries over a stream of findings: daily counts, upserted by (day, class), and the rows that came after their day was closed.
+
+    The second one keeps the highest time of the batches before in its commit log and follows the rule of the first one's
+    watermark: over the same batches, each finding that has a verdict is either counted or in the late table. Every batch is
+    committed once. Metrics of each batch are observed under the name ``findings``."""
+    spark = findings.sparkSession
+    findings = findings.observe("findings", F.count("*").alias("rows"), F.max("ts").alias("highest"))
+    counts, rest = CommitLog(spark, out), CommitLog(spark, late_out)
+
+    def put(batch: DataFrame, number: int) -> None:
+        counts.upsert(written(batch, "batch"), "day", "asset_class", writer="trends", number=number)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        base = rest.version()
+        seen = base.facts.get("highest") if base else None
+        known = written(batch.where(~F.col("verdict").eqNullSafe("unroutable")), "batch")
+        closes = F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")
+        mark = F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {late}")
+        own = known.where(closes <= mark) if seen is not None else known.limit(0)
+        highest = known.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSS").alias("highest")).first()[0]
+        rest.append(own, writer="late", number=number, facts={"highest": max(filter(None, (seen, highest)), default=None)})
+
+    one_mark = "spark.sql.streaming.statefulOperator.allowMultiple"  # off: a batch's late rows are told by the newest watermark
+    before = spark.conf.get(one_mark)
+    spark.conf.set(one_mark, "false")
+    start = lambda df, f, at, mode: df.writeStream.outputMode(mode).foreachBatch(f).option("checkpointLocation", f"{checkpoint}/{at}").trigger(availableNow=True).start()
+    try:
+        return start(incremental_trends(findings, late), put, "counts", "update"), start(findings, keep, "late", "append")
+    finally:
+        spark.conf.set(one_mark, before)
+
+
 def inspected(frames: DataFrame, models: DataFrame, bank: DataFrame, patches_of, floor: float = 0.82) -> DataFrame:
     """Findings of frames: routed, decided, and what was routed scored against its model's bank. Models: name, asset_class, gate, vec, image_threshold."""
     from ..operators.routing import decide, route
@@ -141,10 +175,12 @@ def inspected(frames: DataFrame, models: DataFrame, bank: DataFrame, patches_of,
 
 
 def inspect_stream(frames: DataFrame, read_models, read_bank, patches_of, out: str, checkpoint: str, floor: float = 0.82):
-    """Each micro-batch of frames is routed against the registry as it is then, decided, scored, and appended to ``out`` as findings."""
+    """Each micro-batch of frames is routed against the registry as it is then, decided, scored, and appended to the commit log at
+    ``out`` as findings. A batch that is tried again after a failure is in the log once; ``CommitLog(spark, out).read()`` sees whole batches only."""
+    log = CommitLog(frames.sparkSession, out)
 
     def one(batch: DataFrame, number: int) -> None:
         own = written(batch, "batch")
-        inspected(own, read_models(), read_bank(), patches_of, floor).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        log.append(inspected(own, read_models(), read_bank(), patches_of, floor).withColumn("batch", F.lit(number).cast("long")), writer="inspection", number=number)
 
     return frames.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
