@@ -41,7 +41,7 @@ GROUP = 4096
 
 
 def described(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, n_shingles, set_key (equal for equal sets; null without n-grams), low (hashes of the first fragment) and their number."""
+    """doc_id, text, n_shingles, set_key (equal for equal sets; null without n-grams) and n_low (n-grams in the first fragment)."""
     kind = dict(docs.dtypes)[id_col]
 
     def make():
@@ -52,12 +52,11 @@ def described(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "n_low": [int(np.searchsorted(s, FIRST)) for s in sets],
-                "low": [s[: np.searchsorted(s, FIRST)].tobytes() for s in sets],
             }
 
         return each
 
-    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), f"doc_id {kind}, text string, n_shingles long, set_key binary, n_low long, low binary", make)
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), f"doc_id {kind}, text string, n_shingles long, set_key binary, n_low long", make)
 
 
 def few(ids: DataFrame) -> DataFrame:
@@ -82,14 +81,15 @@ def alone(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-percent * size // 100)
 
 
-def shared_counts(sets: DataFrame) -> DataFrame:
-    """Of rows (rep, low): (rep, shared), how many of these n-grams another set holds too; sets without any are left out.
+def shared_counts(texts: DataFrame, width: int) -> DataFrame:
+    """Of rows (rep, text): (rep, shared), how many n-grams of the first fragment another row holds too; rows without any are left out.
 
     What a batch shows to be shared is summed there; one row of each n-gram and batch goes on."""
 
     def make():
         def each(batch):
-            own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            sets = [shingles(words(t or b""), width) for t in utf8(batch.column(1))]
+            own = [s[: np.searchsorted(s, FIRST)] for s in sets]
             rep = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
             gram, at, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
             who, times = np.unique(rep[n[at] > 1], return_counts=True)
@@ -124,7 +124,7 @@ def shared_counts(sets: DataFrame) -> DataFrame:
             last = rep.drop_null()
             yield pa.RecordBatch.from_pydict({"rep": last, "shared": np.ones(len(last), np.int64)}, schema=fields)
 
-    rows = arrow_map(sets.select("rep", "low"), "gram long, rep long, shared long", make)
+    rows = arrow_map(texts, "gram long, rep long, shared long", make)
     in_order = rows.repartition(F.coalesce("gram", F.xxhash64("rep"))).sortWithinPartitions("gram")
     return small_batches(in_order).mapInArrow(run, "rep long, shared long").groupBy("rep").agg(F.sum("shared").alias("shared"))
 
@@ -206,7 +206,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id
     classes = written(classes.select("set_key", F.col("head.doc").alias("doc"), F.col("head.row").alias("rep"), "n_shingles", "n_low"), "classes")
     numbered = rows.where("set_key is not null").withColumnRenamed("row", "rep")
     copies = written(numbered.select("rep").join(classes.select("rep").hint("merge"), "rep", "left_anti"), "copies")
-    shared = shared_counts(numbered.select("rep", "low").join(few(copies), "rep", "left_anti"))
+    shared = shared_counts(numbered.select("rep", "text").join(few(copies), "rep", "left_anti"), width)
     n = F.col("n_shingles")
     left = classes.join(shared.hint("merge"), "rep", "left").where(F.col("n_low") - F.coalesce("shared", F.lit(0)) <= n - F.ceil(percent * n / 100))
     sets = sets_of(numbered.select("rep", "text").join(few(written(left.select("rep"), "left")), "rep", "left_semi"), width)
