@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
-A candidate is a long run of key characters, or what is left of one, that starts shortly after a sensitive word; of several
-such words before or in one run, the first and the last count, so time is linear in the text. Its novelty is the number of bytes that it adds
-to a zstandard frame whose dictionary holds common identifiers and the text around it without further copies of the
-candidate, divided by its length: words and paths cost little, random keys cost most of their length, repeated or not. Novel
-candidates are reported beside the matches of the fixed patterns, which always stay.
+A candidate is a long run of key characters that starts shortly after a sensitive word, or holds one. Every such word cuts
+the run, and each piece is scored; pieces do not overlap, so time is linear in the text. Its novelty is the number of bytes
+that it adds to a zstandard frame whose dictionary holds common identifiers and the text around it without further copies
+of the candidate, divided by its length: words and paths cost little, random keys cost most of their length, repeated or
+not. A piece that is not novel as a whole is scored part by part, between separators. What fixed patterns match inside a
+novel piece keeps its own span, and the rest of the piece is reported beside it, so all of a key is.
 
 A null text is empty. An empty text has no spans, an empty table no rows. Very long texts are scanned whole. Spans are
 code points, end exclusive, in order of start and then kind; equal starts keep that order. Columns of any name pass
@@ -34,6 +35,7 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "auth", "bearer", "credential", "private key", "access key", "signature")
 SENSITIVE_AT = re.compile("|".join(re.escape(w) for w in SENSITIVE), re.ASCII | re.IGNORECASE)
 SHORTEST = 16
+PART = re.compile(r"[A-Za-z0-9]{%d,}" % SHORTEST)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 IDENTIFIERS = b"authorization bearer certificate client configuration connection credential database description development environment example function identifier implementation information initialize localhost organization parameter placeholder production property public private reference repository request response return service session signature string template timestamp undefined username variable version https http www com org json yaml import class static const default null true false abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx 0000000000000000 -------- ________"
 REACH, AROUND, NOVELTY = 48, 512, 0.6
@@ -63,30 +65,41 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def overlaps(sorted_spans: list[tuple[int, int, int]]):
-    """Test of (start, end) against spans in order of start."""
-    starts, furthest, end = [a for a, _, _ in sorted_spans], [], 0
-    for _, _, b in sorted_spans:
-        furthest.append(end := max(end, b))
-    return lambda start, end: (i := bisect.bisect_left(starts, end)) > 0 and furthest[i - 1] > start
+def outside(start: int, end: int, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What base spans, in order of start, leave of a stretch."""
+    out = []
+    for a, _, b in known:
+        if a > start:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+    return [(x, y) for x, y in [*out, (start, end)] if x < y]
 
 
 def novel_spans(text: str, low: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sensitive words cut runs into pieces, which do not overlap. Of a novel piece all is reported that base spans do not cover; of another one, its novel parts between separators."""
     if not any(w in low for w in SENSITIVE):
         return []
-    out, taken, ends = [], overlaps(known), [m.end() for m in SENSITIVE_AT.finditer(text)]
+    out, ends = [], [m.end() for m in SENSITIVE_AT.finditer(text)]
+    starts, longest = [a for a, _, _ in known], max((b - a for a, _, b in known), default=0)
+
+    def novel(start: int, end: int) -> bool:
+        body = text[start:end]
+        return end - start >= SHORTEST and any(c.isdigit() for c in body) and any(c.isalpha() for c in body) and novelty(body, surroundings(text, start, end)) >= NOVELTY
+
     for run in CANDIDATE.finditer(text):
-        first, last = bisect.bisect_left(ends, run.start() - REACH), bisect.bisect_right(ends, run.end() - SHORTEST) - 1
-        if first > last:
+        first, last = bisect.bisect_left(ends, run.start() - REACH), bisect.bisect_left(ends, run.end())
+        if first == last:
             continue
-        for end in dict.fromkeys((ends[first], ends[last])):
-            start = max(run.start(), end)
-            if taken(start, run.end()):
+        cut = [max(run.start(), ends[first]), *(e for e in ends[first + 1 : last] if e > run.start()), run.end()]
+        for start, end in zip(cut, cut[1:]):
+            near = [x for x in known[bisect.bisect_left(starts, start - longest) : bisect.bisect_left(starts, end)] if x[2] > start]
+            rest = outside(start, end, near)
+            if not rest:
                 continue
-            body = text[start : run.end()]
-            if any(c.isdigit() for c in body) and any(c.isalpha() for c in body) and novelty(body, surroundings(text, start, run.end())) >= NOVELTY:
-                out.append((start, 3, run.end()))
-                break
+            if novel(start, end):
+                out += [(x, 3, y) for x, y in rest]
+            else:
+                out += [(m.start(), 3, m.end()) for x, y in rest for m in PART.finditer(text, x, y) if novel(m.start(), m.end())]
     return out
 
 

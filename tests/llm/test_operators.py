@@ -156,25 +156,60 @@ def test_secrets_in_linear_time():
 
 
 def brute_novel(text):
-    """By the rule, run by run: the first and the last sensitive word that reach it."""
-    base, out = brute_spans(text), []
-    ends = [m.end() for m in re.finditer("|".join(map(re.escape, secrets.SENSITIVE)), text, re.A | re.I)]
+    """By the rule, character by character: a piece starts where a run does or a sensitive word ends, and base spans are taken out."""
+    base = {i for x, _, y in brute_spans(text) for i in range(x, y)}
+    ends = {m.end() for m in re.finditer("|".join(map(re.escape, secrets.SENSITIVE)), text, re.A | re.I)}
+
+    def novel(a, b):
+        body = text[a:b]
+        return len(body) >= 16 and re.search("[0-9]", body) and re.search("[A-Za-z]", body) and secrets.novelty(body, secrets.surroundings(text, a, b)) >= secrets.NOVELTY
+
+    def runs(chars):
+        out = []
+        for i in sorted(chars):
+            if out and out[-1][1] == i:
+                out[-1][1] = i + 1
+            else:
+                out.append([i, i + 1])
+        return out
+
+    out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
-        reach = [e for e in ends if m.start() - secrets.REACH <= e <= m.end() - 16]
-        for e in [reach[0], reach[-1]] if reach else []:
-            a = max(e, m.start())
-            body = text[a : m.end()]
-            clear = all(y <= a or x >= m.end() for x, _, y in base)
-            if clear and re.search("[0-9]", body) and re.search("[A-Za-z]", body) and secrets.novelty(body, secrets.surroundings(text, a, m.end())) >= secrets.NOVELTY:
-                out.append((a, 3, m.end()))
-                break
-    return out
+        starts = [e for e in ends if m.start() <= e < m.end()]
+        if any(m.start() - secrets.REACH <= e < m.start() for e in ends):
+            starts.append(m.start())
+        cut = sorted({*starts, m.end()})
+        for a, b in zip(cut, cut[1:]):
+            rest = runs(set(range(a, b)) - base)
+            if rest and novel(a, b):
+                out += [(x, 3, y) for x, y in rest]
+            else:
+                for x, y in rest:
+                    out += [(x + p.start(), 3, x + p.end()) for p in re.finditer("[A-Za-z0-9]+", text[x:y]) if novel(x + p.start(), x + p.end())]
+    return sorted(out)
+
+
+def test_no_part_of_a_key_is_left():
+    """A key between sensitive words and paths of one run; a key whose middle is a base match."""
+    rng = np.random.default_rng(8)
+    chars = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    draw = lambda n, of=chars: "".join(rng.choice(of, n))
+    words = "configuration production organization parameter placeholder environment repository".split()
+    for _ in range(200):
+        key = draw(22) + "7z"
+        path = lambda: "-".join(rng.choice(words, 3))
+        text = f"see secret-{path()}-token-{key}-production/{path()}-auth-organization-parameter-placeholder1 end"
+        assert key not in secrets.redacted(text) and secrets.redacted(text).startswith("see secret-")
+        left, hexes, right = draw(9) + "4", draw(24, list("0123456789abcdef")), "Z" + draw(29) + "5"
+        left_over = secrets.redacted(f"bearer {left}{hexes}{right} end")
+        assert left_over.replace("[REDACTED]", "") == "bearer  end"
 
 
 def test_novel_spans_equal_the_rule(texts):
     rng = np.random.default_rng(6)
     keys = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), int(rng.integers(12, 50)))) for _ in range(60)]
     made = [f"{w}{' ' * int(rng.integers(0, 60))}{k} text {k} {w}={k}" for k, w in zip(keys, secrets.SENSITIVE * 5)]
+    made += [f"{w}-{k}-auth/{v}_configuration-placeholder-token{v}0123456789abcdef0123456789{k}" for k, v, w in zip(keys, keys[1:], secrets.SENSITIVE * 5)]
     found = 0
     for t in [*made, *(t or "" for _, t in texts)]:
         want = brute_novel(t)
