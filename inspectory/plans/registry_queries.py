@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import routing as R
+from ..operators import vector_index as I
 from ..sources import tables as S
 from ..sources.commits import CommitLog
 from .adapters import FRAMES, frames, sql, table
@@ -89,12 +90,34 @@ def knn1(spark, d):
     return R.recall(queries_of(f), f, 5).withColumn("score", C.half_even("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
+def index_of(spark, f):
+    """An index of all frames, and how many lists a query has to probe."""
+    index = I.indexed(f, S.scratch(spark, "index"))
+    return index, index.probes_for(f, 5)
+
+
 @query("knn2_approximate")
 def knn2(spark, d):
+    f = frames(spark, d).drop("ord")
+    index, probes = index_of(spark, f)
+    return index.search(queries_of(f), f, 5, probes)
+
+
+@query("knn2_sign_codes")
+def knn2_codes(spark, d):
     f = frames(spark, d)
     return R.approximate_recall(queries_of(f), f, 5)
 
 
+@query("knn2_rows_read")
+def knn2_rows_read(spark, d):
+    """What the index costs here: lists, lists probed, and the share of rows in them."""
+    f = frames(spark, d).drop("ord")
+    index, probes = index_of(spark, f)
+    share = index.share_read(queries_of(f), probes)
+    return index.rows().agg(F.count("*").alias("n_rows"), F.count_distinct("list").alias("n_lists"), F.lit(probes).alias("probes"), F.lit(share).alias("share_read"))
+
+
 @query("knn3_exclude_self", sql(FRAMES, f"SELECT query_id, count(*) FILTER (query_id=item_id) AS selves FROM ({NEAREST}) WHERE rank<=5 GROUP BY 1"))
 def knn3(spark, d):
     f = frames(spark, d)
@@ -105,7 +128,8 @@ def knn3(spark, d):
 def knn4(spark, d):
     f = frames(spark, d)
     q = queries_of(f)
-    return R.agreement(R.recall(q, f, 5), R.approximate_recall(q, f, 5))
+    index, probes = index_of(spark, f)
+    return R.agreement(R.recall(q, f, 5), index.search(q, f, 5, probes))
 
 
 @query("flt4_filtered_recall", sql(FRAMES, f"SELECT query_id, item_id, round_even(score,6) AS score FROM ({NEAREST} AND f.asset_class='class_1') WHERE rank<=3"))

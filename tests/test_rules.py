@@ -11,7 +11,7 @@ from inspectory.plans import registry, registry_queries, scoring_queries, sessio
 from inspectory.plans.adapters import frames, map_cells, patches
 
 D = "/root/testdata/sf0.001"
-COVERED = "bnk1_coreset bnk3_reweighted bnk5_gaussian cu6_perceptual_dedupe_d4 knn2_approximate knn4_agreement met3_supervised_ceiling met6_reload_parity rt12_layout sc5_regions sc6_region_filters st2_hold_still st2_hold_still_stream st9_stream_inspection thr1_fold_scores thr4_leave_out_audit v2c_refusal_clusters".split()
+COVERED = "bnk1_coreset bnk3_reweighted bnk5_gaussian cu6_perceptual_dedupe_d4 knn2_approximate knn2_rows_read knn2_sign_codes knn4_agreement met3_supervised_ceiling met6_reload_parity rt12_layout sc5_regions sc6_region_filters st2_hold_still st2_hold_still_stream st9_stream_inspection thr1_fold_scores thr4_leave_out_audit v2c_refusal_clusters".split()
 
 
 def rows_of(spark, name, d=D):
@@ -161,10 +161,12 @@ def test_approximate_recall(spark, sf_dir):
         assert all(r.query_id != r.item_id and r["rank"] <= 5 for r in found) and len({r.query_id for r in found}) * 5 == len(found)
         both = [(exact[r.query_id, r.item_id], r.score) for r in found if (r.query_id, r.item_id) in exact]
         assert len(both) >= 0.9 * len(exact) and all(abs(a - b) < 5e-3 for a, b in both)
+        codes = rows_of(spark, "knn2_sign_codes", d)
+        assert len({(r.query_id, r.item_id) for r in codes} & set(exact)) >= 0.9 * len(exact)
         (a,) = rows_of(spark, "knn4_agreement", d)
         assert a.wanted == len(exact) and abs(a.recall - len(both) / len(exact)) < 1e-12 and a.top1 >= 0.9
     blocks = {(r.query_id, r.item_id) for r in routing.approximate_recall(registry_queries.queries_of(f), f, 5, block=7).collect()}
-    assert blocks == {(r.query_id, r.item_id) for r in found}
+    assert blocks == {(r.query_id, r.item_id) for r in codes}
 
 
 def test_supervised_ceiling(spark):
