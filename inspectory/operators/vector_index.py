@@ -84,13 +84,14 @@ class Quantiser:
 
 
 def sampled(df: DataFrame, vec: str, most: int, seed: int) -> np.ndarray:
-    """At most about ``most`` unit vectors of a table, by hash of their row."""
+    """At most about ``most`` unit vectors of a table, by hash of the vector."""
     own = df.where(C.searchable(vec)).select(F.col(vec).cast("array<double>").alias("v"))
     n = own.count()
     if n > most:
         own = own.where(F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1_000_000)) < int(1e6 * most / n))
     rows = [r.v for r in own.collect()]
-    return unit(np.array(rows)) if rows else np.empty((0, 0))
+    x = np.array(rows) if rows else np.empty((0, 1))
+    return unit(x[np.lexsort(x.T)])  # in one order, so that a table gives one quantiser
 
 
 def fit(items: DataFrame, lists: int | None = None, parts: int | None = None, vec: str = "vec", sample: int = SAMPLE, seed: int = 7) -> Quantiser:
