@@ -93,7 +93,7 @@ def knn1(spark, d):
 def index_of(spark, f):
     """An index of all frames, and how many lists a query has to probe."""
     index = I.indexed(f, S.scratch(spark, "index"))
-    return index, index.probes_for(f, 5)
+    return index, index.probes_for(f, 5, 0.99)
 
 
 @query("knn2_approximate")
