@@ -180,3 +180,21 @@ def purge(models: DataFrame, findings: DataFrame, datasets: DataFrame, keep: F.C
 
 def newest(df: DataFrame, by: str) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ts"), "finding_id"))).where("rn = 1").drop("rn")
+
+
+def registry_status(models: DataFrame, findings: DataFrame, floor: float) -> DataFrame:
+    """Every model with the registry's totals: models, distinct classes in order, findings, and the routing floor."""
+    totals = models.agg(F.count("*").alias("models"), F.sort_array(F.collect_set("asset_class")).alias("asset_classes"))
+    seen = findings.agg(F.count("*").alias("total_findings"))
+    return models.join(F.broadcast(totals)).join(F.broadcast(seen)).withColumn("floor", F.lit(floor))  # one row each
+
+
+#: What a search of models and of findings returns beside its score; vectors are never among them.
+MODEL_FIELDS = ("model_id", "name", "asset_class", "backbone", "training_samples", "image_threshold", "routing_threshold", "metrics", "created_by", "reference_image_id")
+FINDING_FIELDS = ("finding_id", "timestamp", "asset_class", "verdict", "severity", "anomaly_score", "raw_anomaly_score", "routed_model_name", "routing_score", "agent_narrative", "uploaded_image_id", "heatmap_id")
+
+
+def projected(found: DataFrame, rows: DataFrame, fields: tuple[str, ...], key: str, *keep: str) -> DataFrame:
+    """Search results with the stated fields of what they found, and their score. A field that rows lack is null; a result whose row is gone is left out."""
+    known = rows.select(*(F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields))
+    return found.join(known.hint("merge"), key).select(*keep, *fields, "score")

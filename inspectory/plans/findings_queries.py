@@ -141,9 +141,9 @@ def fs2_count(spark, d):
     return O.page_count(findings(spark, d), 100)
 
 
-@query("fs6_registry_status", sql(MODELS, "SELECT name, asset_class, created_by, training_samples, 0.82::DOUBLE AS floor FROM models"))
+@query("fs6_registry_status", sql(FINDINGS, MODELS, "SELECT name, asset_class, created_by, training_samples, 0.82::DOUBLE AS floor, (SELECT count(*) FROM models) AS models, (SELECT string_agg(asset_class, ',' ORDER BY asset_class) FROM (SELECT DISTINCT asset_class FROM models)) AS asset_classes, (SELECT count(*) FROM findings) AS total_findings FROM models"))
 def fs6(spark, d):
-    return models(spark, d).select("name", "asset_class", "created_by", "training_samples", F.lit(0.82).alias("floor"))
+    return O.registry_status(models(spark, d), findings(spark, d), 0.82).select("name", "asset_class", "created_by", "training_samples", "floor", "models", F.array_join("asset_classes", ",").alias("asset_classes"), "total_findings")
 
 
 @query("fs7_model_listing", sql(MODELS, "SELECT row_number() OVER (ORDER BY label) AS place, name, '/image/'||name AS reference_url FROM models"))
@@ -197,16 +197,6 @@ def flt6(spark, d):
     return O.tagged(table(spark, d, "documents").select("doc_id", tags.alias("tags"))).select("doc_id")
 
 
-@query("prj1_model_search_projection", sql(MODELS, "SELECT name, asset_class, created_by, training_samples FROM models"))
-def prj1(spark, d):
-    return models(spark, d).select("name", "asset_class", "created_by", "training_samples")
-
-
-@query("prj2_finding_search_projection", sql(FINDINGS, f"SELECT finding_id, asset_class, verdict, severity FROM findings WHERE ts>={S}"))
-def prj2(spark, d):
-    return recent_findings(spark, d).select("finding_id", "asset_class", "verdict", "severity")
-
-
 @query("prj3_serialise", "SELECT vec_id AS id, len(embedding)::INT AS embedding_dim, strftime(TIMESTAMP '2024-01-01'+to_hours(vec_id::INT),'%Y-%m-%dT%H:%M:%S') AS timestamp FROM embeddings")
 def prj3(spark, d):
     ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("vec_id").cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import findings as O
 from ..operators import routing as R
 from ..operators import vector_index as I
 from ..sources import tables as S
@@ -270,6 +271,37 @@ def jn14(spark, d):
     return f.select("asset_class").join(done, "asset_class", "left_anti").join(skipped, "asset_class", "left_anti")
 
 
+EX = f"ex AS (SELECT f.asset_class, f.frame_id AS reference_image_id FROM frames f JOIN allc c ON f.asset_class=c.asset_class QUALIFY row_number() OVER (PARTITION BY f.asset_class ORDER BY round_even({SIM.format(a='f.vec', b='c.vec')},9) DESC, f.frame_id)=1), size AS (SELECT asset_class, count(*) AS training_samples FROM frames GROUP BY 1)"
+
+
+@query("prj1_model_search_projection", sql(*BUILD, TOPS, EX, "SELECT frame_id, md5(name) AS model_id, name, asset_class, 'patchcore' AS backbone, training_samples, 0.3::DOUBLE AS image_threshold, round_even(t.gate,6) AS routing_threshold, 'n_held='||n_held AS metrics, 'seed' AS created_by, reference_image_id, round_even(raw,4) AS score FROM tops t JOIN size USING (asset_class) JOIN ex USING (asset_class) JOIN (SELECT asset_class, n_held FROM gates) USING (asset_class)"))
+def prj1(spark, d):
+    """The five nearest models of every frame, with all fields of a model but its vector."""
+    f = frames(spark, d)
+    m = registry(spark, d).join(R.exemplars(f).hint("merge"), "asset_class").join(f.groupBy("asset_class").agg(F.count("*").alias("training_samples")).hint("merge"), "asset_class")
+    rows = m.select(F.md5("name").alias("model_id"), "name", "asset_class", F.split("name", "-")[1].alias("backbone"), "training_samples", F.lit(0.3).alias("image_threshold"), C.half_even("gate", 6).alias("routing_threshold"), F.concat(F.lit("n_held="), F.col("n_held").cast("string")).alias("metrics"), F.lit("seed").alias("created_by"), F.col("reference_frame_id").alias("reference_image_id"))
+    found = R.nearest_targets(f, m, 5, target_id="name").withColumn("score", r4("score"))
+    return O.projected(found, rows, O.MODEL_FIELDS, "name", "frame_id")
+
+
+@query("prj2_finding_search_projection", sql(*WITH, f"m AS (SELECT query_id, item_id, score FROM ({NEAREST}) WHERE rank<=10)", f"SELECT query_id, 'finding-'||item_id AS finding_id, strftime(TIMESTAMP '2024-01-01'+to_hours(item_id::INT),'%Y-%m-%dT%H:%M:%S') AS timestamp, CASE WHEN decision='route' THEN asset_class END AS asset_class, {VERD.replace('frame_id', 'item_id')} AS verdict, round_even((item_id%100)/100,4) AS severity, round_even((item_id%50)/50,4) AS anomaly_score, (item_id%50)::DOUBLE AS raw_anomaly_score, CASE WHEN decision='route' THEN name END AS routed_model_name, s AS routing_score, decision||' at '||item_id AS agent_narrative, 'image-'||item_id AS uploaded_image_id, CASE WHEN decision='route' THEN 'heatmap-'||item_id END AS heatmap_id, round_even(score,4) AS score FROM m JOIN decided d ON d.frame_id=m.item_id"))
+def prj2(spark, d):
+    """The ten past findings most like each asked one, with all fields of a finding but its vector."""
+    i = F.col("frame_id")
+    routed = F.col("decision") == "route"
+    ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=i.cast("int"))
+    verdict = F.when(i % 3 == 0, "defect").when(i % 3 == 1, "nominal").otherwise("unroutable")
+    name = lambda kind: F.concat(F.lit(kind), i.cast("string"))
+    rows = decided(spark, d).select(
+        name("finding-").alias("finding_id"), C.iso(ts).alias("timestamp"), F.when(routed, F.col("best_class")).alias("asset_class"), verdict.alias("verdict"), r4(i % 100 / 100).alias("severity"),
+        r4(i % 50 / 50).alias("anomaly_score"), (i % 50).cast("double").alias("raw_anomaly_score"), F.when(routed, F.col("best_name")).alias("routed_model_name"), "routing_score",
+        F.concat("decision", name(" at ")).alias("agent_narrative"), name("image-").alias("uploaded_image_id"), F.when(routed, name("heatmap-")).alias("heatmap_id"),
+    )
+    f = frames(spark, d)
+    found = R.recall(queries_of(f), f, 10).select("query_id", F.concat(F.lit("finding-"), F.col("item_id").cast("string")).alias("finding_id"), r4("score").alias("score"))
+    return O.projected(found, rows, O.FINDING_FIELDS, "finding_id", "query_id")
+
+
 def versions(spark, d):
     m = model_rows(spark, d).select("name", "created_by", "training_samples")
     return m.where("name < 'class_6'"), m.where("name >= 'class_4'").withColumn("training_samples", F.col("training_samples") + 1000)
