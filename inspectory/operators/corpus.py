@@ -71,6 +71,23 @@ def fraction_split(df: DataFrame, by: str = "asset_class", share: float = 0.8, m
     return df.withColumn("split", split).where("split is not null").drop("rn", "n_train")
 
 
+def holdout_errors(rows: DataFrame, names: DataFrame, by: str = "asset_class") -> DataFrame:
+    """(class, error): listed names that a class does not have, or a class of which every row is withheld. Both tables have a class and a name."""
+    listed = names.select(by, "name").distinct()
+    unknown = listed.join(rows.select(by, "name").hint("merge"), [by, "name"], "left_anti").select(by, F.concat(F.lit("not present: "), F.col("name")).alias("error"))
+    left = rows.select(by, "name").join(listed.hint("merge"), [by, "name"], "left_anti").select(by).distinct()
+    emptied = rows.select(by).distinct().join(left.hint("merge"), by, "left_anti").select(by, F.lit("every frame is held out").alias("error"))
+    return unknown.unionAll(emptied)
+
+
+def named_holdout(rows: DataFrame, names: DataFrame, by: str = "asset_class") -> DataFrame:
+    """Rows with their split: listed names are held_out, the rest train_good. A list with an error is refused, because a wrong name would train on what it should withhold."""
+    if errors := holdout_errors(rows, names, by).orderBy(by, "error").limit(5).collect():
+        raise ValueError("; ".join(f"{r[0]}: {r.error}" for r in errors))
+    listed = names.select(by, "name").distinct().withColumn("held", F.lit(True)).hint("merge")
+    return rows.join(listed, [by, "name"], "left").withColumn("split", F.when(F.col("held"), "held_out").otherwise("train_good")).drop("held")
+
+
 def class_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("asset_class").agg(*(F.count_if(F.col("split") == s).alias(s) for s in ("train_good", "test_good", "test_defect", "held_out")))
 

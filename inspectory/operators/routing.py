@@ -313,3 +313,9 @@ def layout(models: DataFrame) -> DataFrame:
         ranked = PCA(k=2, inputCol="x", outputCol="p").fit(x).transform(x).withColumn("key", F.atan2(p[1], p[0]))
     slot = F.row_number().over(Window.orderBy("key", "name")) - 1  # registry rows only
     return ranked.withColumn("slot", slot).withColumn("angle", 2 * np.pi * F.col("slot") / max(n, 1)).select("name", "slot", "angle", "gate")
+
+
+def pending(asked: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Classes (thread_id, asset_class) that the ledger's thread has neither completed nor excluded."""
+    over = ledger.where(F.col("status").isin("completed", "excluded")).select("thread_id", "asset_class").distinct()
+    return asked.select("thread_id", "asset_class").distinct().join(over.hint("merge"), ["thread_id", "asset_class"], "left_anti")

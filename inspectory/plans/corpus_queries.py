@@ -59,7 +59,7 @@ def src6(spark, d):
     paths = table(spark, d, "documents").where("source is not null and n_chars is not null").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), end).alias("path"))
     name = F.split("path", "/")[1]
     held = paths.groupBy(F.split("path", "/")[0]).agg(F.min(name).alias("name"))  # one withheld file of each folder
-    return S.scan_capture_dir(paths, [r.name for r in held.collect()])
+    return S.scan_capture_dir(paths, held.select("name"))
 
 
 @query("src7_annotated_boxes", sql(BOXES, "SELECT frame_id, label, x0, y0, x1, y1 FROM boxes"))
@@ -155,10 +155,23 @@ def named(spark, d):
     return corpus_rows(spark, d).withColumn("split", F.when(r % 7 == 0, "held_out").when(F.col("label") == 1, "test_defect").when(r % 3 == 0, "test_good").otherwise("train_good"))
 
 
-@query("cu9_named_holdout", sql(CORPUS, "SELECT asset_class, count(*) FILTER (defect='de') AS held_out, count(*) FILTER (defect<>'de') AS train FROM corpus GROUP BY 1"))
+def named_rows(spark, d):
+    return corpus_rows(spark, d).withColumn("name", F.concat(F.lit("frame-"), F.col("row_id").cast("string"), F.lit(".png")))
+
+
+@query("cu9_named_holdout", sql(CORPUS, "SELECT row_id, CASE WHEN row_id%7=0 THEN 'held_out' ELSE 'train_good' END AS split FROM corpus"))
 def cu9(spark, d):
-    held = F.col("defect").isin("de")
-    return corpus_rows(spark, d).groupBy("asset_class").agg(F.count_if(held).alias("held_out"), F.count_if(~held).alias("train"))
+    rows = named_rows(spark, d)
+    return O.named_holdout(rows, rows.where("row_id % 7 = 0")).select("row_id", "split")
+
+
+@query("cu9_holdout_errors", sql(CORPUS, "SELECT min(asset_class) AS asset_class, 'every frame is held out' AS error FROM corpus UNION ALL SELECT DISTINCT asset_class, 'not present: frame-0.tif' FROM corpus"))
+def cu9_errors(spark, d):
+    """A list that withholds all of the first class, and names a file that no class has."""
+    rows = named_rows(spark, d)
+    first = rows.join(F.broadcast(rows.agg(F.min("asset_class").alias("asset_class"))), "asset_class")  # one row
+    wrong = rows.select("asset_class").distinct().withColumn("name", F.lit("frame-0.tif"))
+    return O.holdout_errors(rows, first.select("asset_class", "name").unionAll(wrong))
 
 
 @query("cu10_class_counts", sql(CORPUS, NAMED, COUNTS, "SELECT * FROM counts"))

@@ -264,11 +264,19 @@ def jn12(spark, d):
     return frames(spark, d).select("asset_class").distinct().join(model_rows(spark, d), "asset_class", "left_anti")
 
 
-@query("jn14_resume", sql(FRAMES, "SELECT DISTINCT asset_class FROM frames WHERE label>=4 AND label<>7"))
+LEDGER = "ledger AS (SELECT DISTINCT 'thread-'||(label%2) AS thread_id, asset_class, CASE WHEN label=7 THEN 'excluded' ELSE 'completed' END AS status FROM frames WHERE label<4 OR label=7), asked AS (SELECT DISTINCT 'thread-'||t AS thread_id, asset_class FROM frames, (SELECT unnest([0,1]) AS t))"
+
+
+@query("jn14_resume", sql(FRAMES, LEDGER, "SELECT thread_id, asset_class FROM asked WHERE (thread_id, asset_class) NOT IN (SELECT (thread_id, asset_class) FROM ledger)"))
 def jn14(spark, d):
+    """Each of two threads resumes from the fit ledger: what it completed or left out is not asked again."""
     f = frames(spark, d).select("asset_class", "label").distinct()
-    done, skipped = f.where("label < 4").select("asset_class"), f.where("label = 7").select("asset_class")
-    return f.select("asset_class").join(done, "asset_class", "left_anti").join(skipped, "asset_class", "left_anti")
+    ledger = CommitLog(spark, S.scratch(spark, "ledger"))
+    done = f.select(F.concat(F.lit("thread-"), (F.col("label") % 2).cast("string")).alias("thread_id"), "asset_class", "label")
+    ledger.append(done.where("label < 4").select("thread_id", "asset_class", F.lit("completed").alias("status")), writer="fit", number=0)
+    ledger.append(done.where("label = 7").select("thread_id", "asset_class", F.lit("excluded").alias("status")), writer="fit", number=1)
+    asked = f.select(F.explode(F.array(F.lit("thread-0"), F.lit("thread-1"))).alias("thread_id"), "asset_class")
+    return R.pending(asked, ledger.read())
 
 
 EX = f"ex AS (SELECT f.asset_class, f.frame_id AS reference_image_id FROM frames f JOIN allc c ON f.asset_class=c.asset_class QUALIFY row_number() OVER (PARTITION BY f.asset_class ORDER BY round_even({SIM.format(a='f.vec', b='c.vec')},9) DESC, f.frame_id)=1), size AS (SELECT asset_class, count(*) AS training_samples FROM frames GROUP BY 1)"

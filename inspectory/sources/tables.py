@@ -64,10 +64,15 @@ def pair_masks(rows: DataFrame) -> DataFrame:
     return rows.where("not is_mask").join(masks, ["defect", "stem"], "left")
 
 
-def scan_capture_dir(paths: DataFrame, held_out: list[str]) -> DataFrame:
-    """Accepted files with their names and split."""
-    name = F.element_at(F.split("path", "/"), -1)
-    return paths.where(F.lower("path").rlike(IMAGE_SUFFIX)).select("path", name.alias("name"), F.when(name.isin(held_out), "held_out").otherwise("train_good").alias("split"))
+def scan_capture_dir(paths: DataFrame, held_out: DataFrame | list[str]) -> DataFrame:
+    """Accepted files with their names and split. Withheld names are a list or a table with a column ``name``."""
+    if isinstance(held_out, list):
+        names = F.broadcast(paths.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(held_out)], "name string"))
+    else:
+        names = held_out.select("name").distinct().hint("merge")
+    files = paths.where(F.lower("path").rlike(IMAGE_SUFFIX)).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    split = F.when(F.col("held").isNotNull(), "held_out").otherwise("train_good")
+    return files.join(names.withColumn("held", F.lit(True)), "name", "left").select("path", "name", split.alias("split"))
 
 
 def flat_boxes(df: DataFrame, names: dict[int, str]) -> DataFrame:

@@ -139,6 +139,17 @@ def test_stream_equals_batch(spark, sf_dir):
     assert key(q.st2(spark, sf_dir)) == key(q.st2_stream(spark, sf_dir))
 
 
+def test_named_holdout(spark):
+    rows = spark.createDataFrame([("a", "1.png"), ("a", "2.png"), ("b", "1.png"), ("b", "1.png")], "asset_class string, name string")
+    held = lambda *r: spark.createDataFrame(list(r), "asset_class string, name string")
+    got = corpus.named_holdout(rows, held(("a", "1.png"), ("a", "1.png")))
+    assert sorted((r.asset_class, r.name, r.split) for r in got.collect()) == [("a", "1.png", "held_out"), ("a", "2.png", "train_good"), ("b", "1.png", "train_good"), ("b", "1.png", "train_good")]
+    with pytest.raises(ValueError, match="a: not present: 3.png"):
+        corpus.named_holdout(rows, held(("a", "3.png")))
+    with pytest.raises(ValueError, match="b: every frame is held out"):
+        corpus.named_holdout(rows, held(("b", "1.png")))
+
+
 def test_sources(spark, tmp_path):
     for name in ("train/good/1.png", "test/crack/2.png", "ground_truth/crack/2_mask.png", "test/good/notes.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
