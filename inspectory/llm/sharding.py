@@ -83,14 +83,15 @@ class SlotMap:
         return SlotMap(tuple(r.shard for r in saved), saved[0].shards, version, ("loaded",))
 
 
-def with_slot(df: DataFrame, id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    return df.withColumn("virtual_slot", F.pmod(F.xxhash64(id_col), F.lit(slots)).cast("int"))
+def with_slot(df: DataFrame, id_col: str = "doc_id", slots: int = SLOTS, tie: tuple[str, ...] = ()) -> DataFrame:
+    """A slot by hash of the id, and of what tells unlike rows of one id (or of none) apart."""
+    return df.withColumn("virtual_slot", F.pmod(F.xxhash64(id_col, *tie), F.lit(slots)).cast("int"))
 
 
 def shard_by_slots(sized: DataFrame, shards: int, id_col: str = "doc_id", tie: tuple[str, ...] = (), slots: int = SLOTS, map_path: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Add shard, slot (place in its shard, gapless from 0), virtual_slot and map_version to rows that have a ``size``; returns the map too."""
     spark = sized.sparkSession
-    rows = written(with_slot(sized, id_col, slots), "slotted")
+    rows = written(with_slot(sized, id_col, slots, tie), "slotted")
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # at most `slots` rows
     loads, counts = {r.virtual_slot: r.bytes for r in sums}, {r.virtual_slot: r.rows for r in sums}
     path = map_path or f"{scratch_dir(spark)}/slot-map-{uuid.uuid4().hex}"
@@ -108,8 +109,8 @@ def shard_by_slots(sized: DataFrame, shards: int, id_col: str = "doc_id", tie: t
         ends[shard] += counts.get(s, 0)
     owners = spark.createDataFrame(table, "virtual_slot int, shard int, before long")  # a fixed number of rows
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, *tie))
-    out = rows.drop("shard", "before").withColumn("place", place).join(F.broadcast(owners), "virtual_slot")
-    return out.withColumn("slot", (F.col("before") + F.col("place") - 1).cast("long")).withColumn("map_version", F.lit(now.version)).drop("place", "before"), now
+    out = rows.drop("shard", "before").join(F.broadcast(owners), "virtual_slot")
+    return out.withColumn("slot", (F.col("before") + place - 1).cast("long")).withColumn("map_version", F.lit(now.version)).drop("before"), now
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

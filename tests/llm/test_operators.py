@@ -47,6 +47,14 @@ def test_sharding(spark, sf_dir, texts):
     assert len({(r.virtual_slot, r.shard) for r in rows}) == len({r.virtual_slot for r in rows})
 
 
+def test_shards_of_rows_without_ids(spark):
+    """A fifth of the ids is null: sizes are near equal all the same, and a column ``place`` stays."""
+    rows = spark.range(20_000).selectExpr("if(id % 5 = 0, null, id) as doc_id", "100 + id % 7 as size", "hash(id) as text_crc32", "'kept' as place")
+    placed, _ = sharding.shard_by_slots(rows, 8, tie=("text_crc32", "size"))
+    loads = [r.n for r in placed.where("place = 'kept'").groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(loads) == 8 and max(loads) - min(loads) < 0.02 * sum(loads) / 8
+
+
 def test_slot_map_versions(spark, tmp_path):
     loads = {s: 100 + s for s in range(64)}
     one = sharding.SlotMap.even(64, 4)
