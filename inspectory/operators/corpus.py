@@ -123,12 +123,68 @@ def prefixed(df: DataFrame, p: str) -> DataFrame:
 
 
 def pairs_in_frame(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Boxes of two sets in the same frame, as a_* and b_*. A frame's boxes are few."""
+    """All pairs of boxes of two sets in the same frame, as a_* and b_*: for results that hold every such pair. ``near_pairs`` is for the others."""
     return prefixed(a, "a_").join(prefixed(b, "b_"), "frame_id")
 
 
+STEP = 4.0  # each level's cells are this many times as wide as those of the level below
+
+
+def with_level(df: DataFrame, p: str, reach: float) -> DataFrame:
+    """Corners in order, grown by ``reach``, and the lowest level whose cells are as wide as the box: at most four of them hold it."""
+    for lo, hi in (("x0", "x1"), ("y0", "y1")):
+        a, b = F.col(p + lo).cast("double"), F.col(p + hi).cast("double")
+        df = df.withColumn(p + "g" + lo, F.least(a, b) - reach).withColumn(p + "g" + hi, F.greatest(a, b) + reach).where((F.abs(a) < float("inf")) & (F.abs(b) < float("inf")))
+    side = F.greatest(F.col(p + "gx1") - F.col(p + "gx0"), F.col(p + "gy1") - F.col(p + "gy0"), F.lit(1.0))
+    return df.withColumn(p + "level", F.ceil(F.log(STEP, side) + 1e-9).cast("int"))
+
+
+def cell(x, level):
+    return F.floor(C.col(x) / F.pow(F.lit(STEP), C.col(level))).cast("long")
+
+
+def in_cells(df: DataFrame, p: str) -> DataFrame:
+    """A row for each cell that the box touches at the row's ``level``."""
+    for axis in ("x", "y"):
+        df = df.withColumn("c" + axis, F.explode(F.sequence(cell(f"{p}g{axis}0", "level"), cell(f"{p}g{axis}1", "level"))))
+    return df
+
+
+def near_pairs(a: DataFrame, b: DataFrame, reach: float = 0.0) -> DataFrame:
+    """Pairs of boxes of two sets in the same frame that touch, overlap, or are at most ``reach`` apart along both axes, as a_* and b_*, each once.
+
+    A box lies in the cells of a grid whose width suits it (levels by powers of four). Two boxes meet at the level of the
+    larger one, so the smaller is put at the levels that the other set has in its frame, and there only at own-level boxes of
+    the other side; small boxes never meet in a large box's cell. Of the cells that both touch, the one with the upper left
+    corner of what they share gives the pair. A frame of any number of boxes is spread over its cells. Boxes with a null,
+    NaN or infinite corner are in no pair; corners in wrong order are taken in order to find cells.
+    """
+    slack = reach + 1e-6 * (1 + reach) if reach else 0.0  # the caller's test decides; rounding must lose none before it
+    a, b = with_level(prefixed(a, "a_"), "a_", slack), with_level(prefixed(b, "b_"), "b_", 0.0)
+
+    def met(own: DataFrame, p: str, other: DataFrame, q: str, above: bool) -> DataFrame:
+        """Own-level boxes of ``own`` with boxes of ``other`` of a lower level, or of the same one unless ``above``."""
+        levels = own.groupBy("frame_id").agg(F.collect_set(p + "level").alias("levels"))  # one entry a power of four
+        fits = (lambda x: x > F.col(q + "level")) if above else (lambda x: x >= F.col(q + "level"))
+        raised = other.join(levels.hint("merge"), "frame_id").withColumn("level", F.explode(F.filter("levels", fits))).drop("levels")
+        own = in_cells(own.withColumn("level", F.col(p + "level")), p)
+        return own.join(in_cells(raised, q).hint("merge"), ["frame_id", "level", "cx", "cy"])
+
+    pairs = met(a, "a_", b, "b_", False).unionByName(met(b, "b_", a, "a_", True))
+    left, top = F.greatest("a_gx0", "b_gx0"), F.greatest("a_gy0", "b_gy0")
+    touch = (left <= F.least("a_gx1", "b_gx1")) & (top <= F.least("a_gy1", "b_gy1"))
+    out = pairs.where(touch & (F.col("cx") == cell(left, "level")) & (F.col("cy") == cell(top, "level")))
+    return out.select("frame_id", *(p + c for p in ("a_", "b_") for c in ("box_id", "x0", "y0", "x1", "y1")))
+
+
 def encroaching(pairs: DataFrame, metric: str, threshold: float = 0.0) -> DataFrame:
     test = {"intersect": C.intersects("a_", "b_"), "iou": C.iou("a_", "b_") >= threshold, "overlap_smaller": C.overlap_of_smaller("a_", "b_") >= threshold, "gap": C.gap("a_", "b_") <= threshold}
     if metric not in test:
         raise ValueError(f"metric must be one of {sorted(test)}")
     return pairs.where(test[metric])
+
+
+def encroachments(a: DataFrame, b: DataFrame, metric: str, threshold: float = 0.0) -> DataFrame:
+    """Pairs that pass a metric, met by cells. A share of 0 or less is passed by all pairs of a frame, which are then made."""
+    every = metric in ("iou", "overlap_smaller") and threshold <= 0
+    return encroaching(pairs_in_frame(a, b) if every else near_pairs(a, b, max(threshold, 0.0) if metric == "gap" else 0.0), metric, threshold)

@@ -228,68 +228,67 @@ def pair_from(a, b):
 
 @query("jn5_containment", sql(BOXES, f"SELECT a.box_id AS a_box_id, b.box_id AS b_box_id {pair_from('tower', 'broken')} AND {INSIDE}"))
 def jn5(spark, d):
-    return O.pairs_in_frame(by_label(spark, d, "tower"), by_label(spark, d, "broken")).where(C.centre_inside("b_", "a_")).select("a_box_id", "b_box_id")
+    return O.near_pairs(by_label(spark, d, "tower"), by_label(spark, d, "broken")).where(C.centre_inside("b_", "a_")).select("a_box_id", "b_box_id")
 
 
 @query("jn6_intersection", sql(BOXES, f"SELECT a.box_id AS a_box_id, b.box_id AS b_box_id {pair_from('vegetation', 'cable')} AND {MEETS}"))
 def jn6(spark, d):
-    return O.encroaching(O.pairs_in_frame(by_label(spark, d, "vegetation"), by_label(spark, d, "cable")), "intersect").select("a_box_id", "b_box_id")
+    return O.encroachments(by_label(spark, d, "vegetation"), by_label(spark, d, "cable"), "intersect").select("a_box_id", "b_box_id")
 
 
 @query("jn7_encroachment", sql(BOXES, f"SELECT 'iou' AS metric, count(*) AS n {pair_from('vegetation', 'cable')} AND {INTERSECTION}/greatest({AA}+{AB}-{INTERSECTION},1e-6)>=0.1 UNION ALL SELECT 'overlap_smaller', count(*) {pair_from('vegetation', 'cable')} AND {INTERSECTION}/greatest(least({AA},{AB}),1e-6)>=0.2 UNION ALL SELECT 'gap', count(*) {pair_from('vegetation', 'cable')} AND {GAP}<=50"))
 def jn7(spark, d):
-    pairs, out = O.pairs_in_frame(by_label(spark, d, "vegetation"), by_label(spark, d, "cable")), None
+    veg, cable, out = by_label(spark, d, "vegetation"), by_label(spark, d, "cable"), None
     for metric, t in (("iou", 0.1), ("overlap_smaller", 0.2), ("gap", 50.0)):
-        one = O.encroaching(pairs, metric, t).agg(F.lit(metric).alias("metric"), F.count("*").alias("n"))
+        one = O.encroachments(veg, cable, metric, t).agg(F.lit(metric).alias("metric"), F.count("*").alias("n"))
         out = one if out is None else out.unionAll(one)
     return out
 
 
 @query("jn8_best_partner", sql(BOXES, f"SELECT a.box_id AS a_box_id, max({INTERSECTION}) AS area {pair_from('vegetation', 'cable')} AND {MEETS} GROUP BY 1"))
 def jn8(spark, d):
-    pairs = O.encroaching(O.pairs_in_frame(by_label(spark, d, "vegetation"), by_label(spark, d, "cable")), "intersect").withColumn("area", C.overlap("a_", "b_"))
+    pairs = O.encroachments(by_label(spark, d, "vegetation"), by_label(spark, d, "cable"), "intersect").withColumn("area", C.overlap("a_", "b_"))
     best = pairs.groupBy("a_box_id").agg(F.max_by(F.struct("b_box_id", "area"), F.struct("area", "b_box_id")).alias("b"))
     return best.select("a_box_id", "b.area")
 
 
 @query("jn9_clear_gap", sql(BOXES, f"gaps AS (SELECT a.box_id, min(CASE WHEN b.box_id IS NOT NULL THEN {GAP} END) AS g FROM boxes a LEFT JOIN boxes b ON a.frame_id=b.frame_id AND b.label='cable' WHERE a.label='vegetation' GROUP BY 1)", "SELECT box_id AS a_box_id FROM gaps WHERE g IS NULL OR g>=100"))
 def jn9(spark, d):
-    a, b = O.prefixed(by_label(spark, d, "vegetation"), "a_"), O.prefixed(by_label(spark, d, "cable"), "b_")
-    g = a.join(b, "frame_id", "left").groupBy("a_box_id").agg(F.min(F.when(F.col("b_box_id").isNotNull(), C.gap("a_", "b_"))).alias("g"))
-    return g.where("g is null or g >= 100").select("a_box_id")
+    veg = by_label(spark, d, "vegetation")
+    close = O.near_pairs(veg, by_label(spark, d, "cable"), 100.0).where(C.gap("a_", "b_") < 100).select("a_box_id")
+    return O.prefixed(veg, "a_").join(close.hint("merge"), "a_box_id", "left_anti").select("a_box_id")
 
 
 @query("jn10_anchored_pool", sql(BOXES, f"SELECT box_id AS a_box_id FROM boxes a WHERE label='cable' AND greatest(x1-x0,y1-y0)<=200 AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.frame_id=a.frame_id AND b.label='vegetation' AND {MEETS})"))
 def jn10(spark, d):
     a = by_label(spark, d, "cable").where(C.box_side() <= 200)
-    hit = O.encroaching(O.pairs_in_frame(a, by_label(spark, d, "vegetation")), "intersect").select("a_box_id")
-    return O.prefixed(a, "a_").join(hit, "a_box_id", "left_anti").select("a_box_id")
+    hit = O.encroachments(a, by_label(spark, d, "vegetation"), "intersect").select("a_box_id")
+    return O.prefixed(a, "a_").join(hit.hint("merge"), "a_box_id", "left_anti").select("a_box_id")
 
 
 @query("cu15_component_pools", sql(BOXES, f"SELECT CASE label WHEN 'cable' THEN 'good' ELSE 'broken' END AS pool, box_id FROM boxes a WHERE (label='cable' AND greatest(x1-x0,y1-y0)<=160 AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.frame_id=a.frame_id AND b.label='broken' AND {INSIDE})) OR (label='broken' AND greatest(x1-x0,y1-y0)<=200)"))
 def cu15(spark, d):
     good, broken = by_label(spark, d, "cable").where(C.box_side() <= 160), by_label(spark, d, "broken")
-    hit = O.pairs_in_frame(good, broken).where(C.centre_inside("b_", "a_")).select(F.col("a_box_id").alias("box_id"))
+    hit = O.near_pairs(good, broken).where(C.centre_inside("b_", "a_")).select(F.col("a_box_id").alias("box_id"))
     pool = lambda df, n: df.select(F.lit(n).alias("pool"), "box_id")
-    return pool(good.join(hit, "box_id", "left_anti"), "good").unionAll(pool(broken.where(C.box_side() <= 200), "broken"))
+    return pool(good.join(hit.hint("merge"), "box_id", "left_anti"), "good").unionAll(pool(broken.where(C.box_side() <= 200), "broken"))
 
 
 @query("cu16_structure_pools", sql(BOXES, f"SELECT box_id, EXISTS (SELECT 1 FROM boxes b WHERE b.frame_id=a.frame_id AND b.label='broken' AND {INSIDE}) AS is_defect FROM boxes a WHERE label='tower' AND greatest(x1-x0,y1-y0)>=180"))
 def cu16(spark, d):
     tower = by_label(spark, d, "tower").where(C.box_side() >= 180)
-    hit = O.pairs_in_frame(tower, by_label(spark, d, "broken")).where(C.centre_inside("b_", "a_")).select(F.col("a_box_id").alias("box_id")).distinct().withColumn("hit", F.lit(True))
-    return tower.join(hit, "box_id", "left").select("box_id", F.coalesce("hit", F.lit(False)).alias("is_defect"))
+    hit = O.near_pairs(tower, by_label(spark, d, "broken")).where(C.centre_inside("b_", "a_")).select(F.col("a_box_id").alias("box_id")).distinct().withColumn("hit", F.lit(True))
+    return tower.join(hit.hint("merge"), "box_id", "left").select("box_id", F.coalesce("hit", F.lit(False)).alias("is_defect"))
 
 
 VARIANTS = (("intersect", 0.0), ("iou", 0.05), ("overlap_smaller", 0.1), ("gap", 30.0))
 
 
 def variant_pools(spark, d):
-    veg, pairs, out = by_label(spark, d, "vegetation"), None, None
-    pairs = O.pairs_in_frame(veg, by_label(spark, d, "cable"))
+    veg, cable, out = by_label(spark, d, "vegetation"), by_label(spark, d, "cable"), None
     for metric, t in VARIANTS:
-        hit = O.encroaching(pairs, metric, t).select(F.col("a_box_id").alias("box_id")).distinct().withColumn("hit", F.lit(True))
-        one = veg.join(hit, "box_id", "left").select(F.lit(metric).alias("variant"), "box_id", F.when(F.col("hit"), "defect").otherwise("good").alias("pool"))
+        hit = O.encroachments(veg, cable, metric, t).select(F.col("a_box_id").alias("box_id")).distinct().withColumn("hit", F.lit(True))
+        one = veg.join(hit.hint("merge"), "box_id", "left").select(F.lit(metric).alias("variant"), "box_id", F.when(F.col("hit"), "defect").otherwise("good").alias("pool"))
         out = one if out is None else out.unionAll(one)
     return out
 
