@@ -47,26 +47,89 @@ def st2_stream(spark, d):
     return streamed(spark, hold_events(spark, d), O.hold_still_stream, "append")
 
 
-@query("st3_latest_frames", sql(STEPS, "SELECT session_id, max(seq) AS seq, arg_max(value,seq) AS value, count(*)-1 AS dropped FROM steps WHERE kind='frame' GROUP BY 1"))
+def timed_events(spark, d):
+    """Events in thousandths of their time, so that frames follow each other closely enough for holds."""
+    e = table(spark, d, "events").withColumn("ts", F.timestamp_micros(F.floor(F.unix_micros("ts") / 1000)))
+    return e.select(F.col("user_id").alias("session_id"), "ts", (F.unix_micros("ts") / 1000).alias("ms"), (F.col("value") / 5000).alias("score"))
+
+
+def last_mark(events, delay_ms: int = 10_000):
+    """The watermark that a stream over all of the events ends with."""
+    return (events.agg(F.floor(F.max(F.unix_micros("ts")) / 1000).alias("top")).first().top or 0) - delay_ms
+
+
+@query("st2_timed_holds")
+def st2_timed(spark, d):
+    events = timed_events(spark, d)
+    return O.timed_holds(events, last_mark(events))
+
+
+@query("st2_timed_holds_stream")
+def st2_timed_stream(spark, d):
+    return streamed(spark, timed_events(spark, d), O.timed_holds_stream, "append")
+
+
+def relayed(spark, d, batches: int = 3):
+    """Snapshots of the relay after a stream of all steps, in micro-batches that mix early and late ones."""
+    at, own = scratch(spark, "relay"), steps(spark, d).select("session_id", "seq", "kind", "value")
+    own.repartition(batches, "seq").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    O.relay_stream(stream, f"{at}/out", f"{at}/state").awaitTermination()
+    return CommitLog(spark, f"{at}/out").read()
+
+
+ST3 = sql(STEPS, "SELECT session_id, max(seq) AS seq, arg_max(value,seq) AS value, count(*)-1 AS dropped FROM steps WHERE kind='frame' GROUP BY 1")
+
+
+@query("st3_latest_frames", ST3)
 def st3(spark, d):
     return O.latest_frames(steps(spark, d))
 
 
-@query("st4_last_messages", sql(STEPS, "SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS place FROM (SELECT * FROM steps WHERE kind='message' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC)<=64)"))
+@query("st3_latest_frames_stream", ST3)
+def st3_stream(spark, d):
+    return O.relayed_frames(relayed(spark, d))
+
+
+ST4 = sql(STEPS, "SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS place FROM (SELECT * FROM steps WHERE kind='message' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC)<=64)")
+
+
+@query("st4_last_messages", ST4)
 def st4(spark, d):
     return O.last_messages(steps(spark, d))
 
 
-@query("st5_session_stats", sql(STEPS, "SELECT session_id, count(*) FILTER (kind='frame') AS published, greatest(count(*) FILTER (kind='frame')-1,0) AS dropped, count(*) FILTER (kind='presence') AS viewers, coalesce(arg_max(value>50,seq) FILTER (kind='presence'),false) AS online FROM steps GROUP BY 1"))
+@query("st4_last_messages_stream", ST4)
+def st4_stream(spark, d):
+    return O.relayed_messages(relayed(spark, d))
+
+
+ST5 = sql(STEPS, "SELECT session_id, count(*) FILTER (kind='frame') AS published, greatest(count(*) FILTER (kind='frame')-1,0) AS dropped, count(*) FILTER (kind='presence') AS viewers, coalesce(arg_max(value>50,seq) FILTER (kind='presence'),false) AS online FROM steps GROUP BY 1")
+
+
+@query("st5_session_stats", ST5)
 def st5(spark, d):
     return O.session_stats(steps(spark, d))
 
 
-@query("st6_last_status", sql(STEPS, "s AS (SELECT session_id, max(seq) FILTER (kind='phase') AS phase_seq, max(seq) FILTER (kind='frame') AS f, max(seq) FILTER (kind='presence' AND value<=50) AS o FROM steps GROUP BY 1)", "SELECT session_id, phase_seq, CASE WHEN f>coalesce(o,-1) THEN f END AS frame_seq FROM s"))
+@query("st5_session_stats_stream", ST5)
+def st5_stream(spark, d):
+    return O.relayed_stats(relayed(spark, d))
+
+
+ST6 = sql(STEPS, "s AS (SELECT session_id, max(seq) FILTER (kind='phase') AS phase_seq, max(seq) FILTER (kind='frame') AS f, max(seq) FILTER (kind='presence' AND value<=50) AS o FROM steps GROUP BY 1)", "SELECT session_id, phase_seq, CASE WHEN f>coalesce(o,-1) THEN f END AS frame_seq FROM s")
+
+
+@query("st6_last_status", ST6)
 def st6(spark, d):
     return O.last_status(steps(spark, d))
 
 
+@query("st6_last_status_stream", ST6)
+def st6_stream(spark, d):
+    return O.relayed_status(relayed(spark, d))
+
+
 @query("st7_phase", sql(STEPS, "SELECT session_id, arg_max(CASE event_type WHEN 'signup' THEN 'routing' WHEN 'purchase' THEN 'done' ELSE 'failed' END, seq) AS phase FROM steps WHERE event_type IN ('signup','purchase','error') GROUP BY 1"))
 def st7(spark, d):
     return O.current_phase(steps(spark, d), {"signup": "routing", "purchase": "done", "error": "failed"})

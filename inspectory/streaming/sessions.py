@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,6 +80,172 @@ def hold_still_stream(events: DataFrame) -> DataFrame:
     return events.select("session_id", "ms", "score").groupBy("session_id").applyInPandasWithState(run, OUT, "cooling boolean, still double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+TIMED = "session_id long, fired_ms double"
+FRESH = (False, 0.0, None, False)
+
+
+def timed_step(state: tuple[bool, float, float | None, bool], rows: list[tuple[float, float]], expires: float) -> tuple[tuple, list[float]]:
+    """As ``hold_step``, with a timer: a frame held still fires when its 2,000 ms are over, whether or not another frame comes.
+    State: cooling, still ms, last ms, held (the last frame was still). After ``expires`` ms without a frame a session begins anew."""
+    cooling, still, last, held = state
+    fired = []
+    for at, score in rows:
+        due = last + HOLD_MS - still if held else math.inf
+        if due <= at:
+            fired.append(due)
+            cooling, still, held = True, 0.0, False
+        if last is not None and at - last > expires:
+            cooling, still, last, held = FRESH
+        dt = FIRST_MS if last is None else at - last
+        last = at
+        if cooling:
+            cooling, still, held = score <= MOVED, 0.0, False
+        elif score < STILL:
+            still, held = still + dt, True
+            if still >= HOLD_MS:
+                fired.append(at)
+                cooling, still, held = True, 0.0, False
+        else:
+            still, held = 0.0, False
+    return (cooling, still, last, held), fired
+
+
+def timed_end(state: tuple, until: float) -> tuple[tuple, list[float]]:
+    """Fire the timer of a state if it is over before ``until``."""
+    cooling, still, last, held = state
+    if held and math.ceil(due := last + HOLD_MS - still) < until:
+        return (True, 0.0, last, False), [due]
+    return state, []
+
+
+def ordered(ms, score) -> list[tuple[float, float]]:
+    return sorted((a, b) for a, b in zip(ms, score) if a == a and b == b)
+
+
+def checked(expires: float) -> float:
+    if expires < HOLD_MS:
+        raise ValueError(f"a session must not expire within {HOLD_MS:.0f} ms")
+    return float(expires)
+
+
+def timed_holds(events: DataFrame, until: float | None = None, expires: float = 600_000.0) -> DataFrame:
+    """Firing times in batch: (session_id, ms, score) rows up to ``until`` ms and timers over before it; all of them if there is no ``until``.
+    Rows without a time or a score are left out. One session's rows are in one task, as its frames depend on each other."""
+    expires, end = checked(expires), float("inf") if until is None else float(until)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, fired = timed_step(FRESH, ordered(pdf.ms, pdf.score), expires)
+        fired += timed_end(state, end)[1]
+        return pd.DataFrame({"session_id": [pdf.session_id.iloc[0]] * len(fired), "fired_ms": fired})
+
+    return events.where(F.col("ms") <= end).select("session_id", "ms", "score").groupBy("session_id").applyInPandas(run, TIMED)
+
+
+def timed_holds_stream(events: DataFrame, delay: str = "10 seconds", expires: float = 600_000.0) -> DataFrame:
+    """The same over a stream of (session_id, ts, ms, score), in any order within ``delay``: a frame waits in the session's state
+    until the watermark has passed it, so the order of arrival changes nothing. Event-time timers fire holds without a further
+    frame and remove the state of a session that was silent for ``expires`` ms. State: four numbers and the frames that wait."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    expires = checked(expires)
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cooling, still, last, held, ms, scores = state.get if state.exists else (*FRESH, [], [])
+        known = (cooling, still, None if last is None or last != last else last, held)
+        waiting = list(zip(ms, scores))
+        if not state.hasTimedOut:
+            waiting += [x for pdf in parts for x in zip(pdf.ms, pdf.score)]
+        mark = state.getCurrentWatermarkMs()
+        rows = ordered(*zip(*waiting)) if waiting else []
+        open_rows = [x for x in rows if x[0] > mark]
+        known, fired = timed_step(known, rows[: len(rows) - len(open_rows)], expires)
+        # the watermark has passed all frames before the first that waits, so what falls due before it is settled
+        known, more = timed_end(known, mark)
+        cooling, still, last, held = known
+        if not open_rows and (last is None or math.ceil(last + expires) < mark):
+            state.remove()
+        else:
+            marks = [math.ceil(x) for x in (open_rows[0][0] if open_rows else math.inf, last + HOLD_MS - still if held else math.inf, last + expires if last is not None else math.inf) if x < math.inf]
+            state.update((cooling, still, last, held, [x[0] for x in open_rows], [x[1] for x in open_rows]))
+            state.setTimeoutTimestamp(max(min(marks), mark + 1))
+        yield pd.DataFrame([(key[0], at) for at in fired + more], columns=["session_id", "fired_ms"]).astype({"fired_ms": float})
+
+    kept = "cooling boolean, still double, last double, held boolean, ms array<double>, scores array<double>"
+    events = events.where("ms is not null and score is not null").withWatermark("ts", delay)
+    return events.groupBy("session_id").applyInPandasWithState(run, TIMED, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+RELAY = "session_id long, frame_seq long, frame_value double, published long, viewers long, online boolean, phase_seq long, off_seq long, messages array<long>"
+
+
+def relay_step(state: tuple, rows: pd.DataFrame, most: int) -> tuple:
+    """Advance a session's relay state (the fields of RELAY after the first) over rows in any order: newest by seq, counts, and a ring of the last messages."""
+    frame_seq, frame_value, published, viewers, online, online_seq, phase_seq, off_seq, ring = state
+    newest = lambda old, own: own if own is not None and (old is None or own > old) else old
+    highest = lambda df: None if df.empty else int(df.seq.max())
+    value_at = lambda df: None if pd.isna(v := df.value.iloc[df.seq.argmax()]) else float(v)
+    frames, presence = rows[rows.kind == "frame"], rows[rows.kind == "presence"]
+    if (top := highest(frames)) is not None and newest(frame_seq, top) == top:
+        frame_seq, frame_value = top, value_at(frames)
+    if (top := highest(presence)) is not None and newest(online_seq, top) == top:
+        at = value_at(presence)
+        online, online_seq = at is not None and at > 50, top
+    phase_seq = newest(phase_seq, highest(rows[rows.kind == "phase"]))
+    off_seq = newest(off_seq, highest(presence[presence.value <= 50]))
+    ring = sorted([*ring, *(int(x) for x in rows.seq[rows.kind == "message"])])[-most:]
+    return frame_seq, frame_value, published + len(frames), viewers + len(presence), online, online_seq, phase_seq, off_seq, ring
+
+
+def relay_updates(steps: DataFrame, most: int = 64) -> DataFrame:
+    """Stateful stream of a relay, in update mode: for each session of a batch what a late joiner needs (newest frame, counts, whether online,
+    last phase, last time offline, the last messages in order). Batches in any order give the same; a session's state is of fixed size."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get if state.exists else (None, None, 0, 0, False, None, None, None, [])
+        known = tuple(None if x is None or (isinstance(x, float) and x != x) else x for x in known)
+        for pdf in parts:
+            known = relay_step(known, pdf, most)
+        state.update(known)
+        frame_seq, frame_value, published, viewers, online, _, phase_seq, off_seq, ring = known
+        out = pd.DataFrame({"session_id": [key[0]], "frame_seq": [frame_seq], "frame_value": [frame_value], "published": [published], "viewers": [viewers], "online": [online], "phase_seq": [phase_seq], "off_seq": [off_seq], "messages": [ring]})
+        yield out.astype({"frame_seq": "Int64", "phase_seq": "Int64", "off_seq": "Int64", "frame_value": "Float64"})
+
+    kept = "frame_seq long, frame_value double, published long, viewers long, online boolean, online_seq long, phase_seq long, off_seq long, messages array<long>"
+    own = steps.where("seq is not null").select("session_id", "seq", "kind", "value")
+    return own.groupBy("session_id").applyInPandasWithState(run, RELAY, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def relay_stream(steps: DataFrame, out: str, checkpoint: str, most: int = 64):
+    """Keep the newest snapshot of each session in the commit log at ``out``; a batch that is tried again counts once."""
+    log = CommitLog(steps.sparkSession, out)
+
+    def put(batch: DataFrame, number: int) -> None:
+        log.upsert(written(batch, "batch"), "session_id", writer="relay", number=number)
+
+    return relay_updates(steps, most).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def relayed_frames(snapshots: DataFrame) -> DataFrame:
+    """``latest_frames`` of snapshots."""
+    return snapshots.where("frame_seq is not null").select("session_id", F.col("frame_seq").alias("seq"), F.col("frame_value").alias("value"), (F.col("published") - 1).alias("dropped"))
+
+
+def relayed_messages(snapshots: DataFrame) -> DataFrame:
+    """``last_messages`` of snapshots."""
+    return snapshots.select("session_id", F.posexplode("messages").alias("place", "seq")).select("session_id", "seq", (F.col("place") + 1).cast("long").alias("place"))
+
+
+def relayed_stats(snapshots: DataFrame) -> DataFrame:
+    """``session_stats`` of snapshots."""
+    return snapshots.select("session_id", "published", F.greatest(F.col("published") - 1, F.lit(0)).alias("dropped"), "viewers", "online")
+
+
+def relayed_status(snapshots: DataFrame) -> DataFrame:
+    """``last_status`` of snapshots."""
+    return snapshots.select("session_id", "phase_seq", F.when(F.col("frame_seq") > F.coalesce("off_seq", F.lit(-1)), F.col("frame_seq")).alias("frame_seq"))
+
+
 def latest_frames(steps: DataFrame) -> DataFrame:
     """Newest frame of each session and how many it overwrote."""
     return steps.where("kind = 'frame'").groupBy("session_id").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"), (F.count("*") - 1).alias("dropped"))
