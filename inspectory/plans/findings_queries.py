@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import drift as D
 from ..operators import findings as O
 from .adapters import DAYS, FINDINGS, FRAMES, NOW, findings, frames, sql, table
 from .registry import query
@@ -286,3 +287,33 @@ def snk7(spark, d):
 def rt11(spark, d):
     c = lambda n, base, gate: F.struct(F.lit(n).alias("name"), C.half_even(base - F.col("l_tax")).alias("score"), F.lit(gate).alias("gate"))
     return O.explain_refusal(findings(spark, d).withColumn("candidates", F.array(c("a", 0.9, 0.88), c("b", 0.8, 0.75))))
+
+
+SKETCH = """sketch AS (SELECT split_part(asset_class,' ',1) AS model, strftime(ts,'%Y-%m') AS period, floor(severity::DOUBLE/0.05)::BIGINT AS bin, count(*) AS n FROM findings
+ WHERE verdict IS DISTINCT FROM 'unroutable' GROUP BY ALL)"""
+DRIFT = (
+    FINDINGS, SKETCH, "ranked AS (SELECT *, dense_rank() OVER (PARTITION BY model ORDER BY period) AS turn FROM sketch)",
+    "base AS (SELECT model, bin, sum(n) AS m FROM ranked WHERE turn<=6 GROUP BY ALL), later AS (SELECT * FROM ranked WHERE turn>6)",
+    "places AS (SELECT * FROM (SELECT DISTINCT model, period FROM later) JOIN (SELECT DISTINCT model, bin FROM ranked) USING (model))",
+    "filled AS (SELECT model, period, bin, coalesce(n,0) AS n, coalesce(m,0) AS m FROM places LEFT JOIN later USING (model, period, bin) LEFT JOIN base USING (model, bin))",
+    "gaps AS (SELECT *, abs((sum(n) OVER b)::DOUBLE/(sum(n) OVER a)::DOUBLE-(sum(m) OVER b)::DOUBLE/(sum(m) OVER a)::DOUBLE) AS gap FROM filled WINDOW a AS (PARTITION BY model, period), b AS (PARTITION BY model, period ORDER BY bin))",
+    "far AS (SELECT model, period, sum(n)::DOUBLE AS n, sum(m)::DOUBLE AS m, max(gap) AS distance FROM gaps GROUP BY ALL), z AS (SELECT *, distance*sqrt(n*m/(n+m)) AS z FROM far)",
+    "sums AS (SELECT *, sum(z-1.36) OVER (PARTITION BY model ORDER BY period) AS c FROM z), ex AS (SELECT *, c-least(0.0, min(c) OVER (PARTITION BY model ORDER BY period)) AS excess FROM sums)",
+    "drifted AS (SELECT *, max((excess>2.0)::INT) OVER (PARTITION BY model ORDER BY period)=1 AS stale FROM ex)",
+)
+
+
+def drifted(spark, d):
+    """Scores of the findings of a family of models by month."""
+    own = findings(spark, d).where(~F.col("verdict").eqNullSafe("unroutable"))
+    return D.drift(D.score_sketch(own.select(F.split_part("asset_class", F.lit(" "), F.lit(1)).alias("model"), F.date_format("ts", "yyyy-MM").alias("period"), F.col("severity").cast("double").alias("score"))))
+
+
+@query("v2d_drift_by_period", sql(*DRIFT, "SELECT model, period, n::BIGINT AS n, round_even(distance,6) AS distance, round_even(excess,4) AS excess, stale FROM drifted"))
+def v2d_by_period(spark, d):
+    return drifted(spark, d).select("model", "period", "n", C.half_even("distance", 6).alias("distance"), C.half_even("excess", 4).alias("excess"), "stale")
+
+
+@query("v2d_stale_models", sql(*DRIFT, "SELECT model, count(*) AS periods, min(period) FILTER (stale) AS since FROM drifted GROUP BY 1"))
+def v2d_stale(spark, d):
+    return D.stale_models(drifted(spark, d))
