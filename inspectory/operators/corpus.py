@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.tables import written
-from .ranks import numbered
+from .ranks import numbered, with_group_size
 
 
 def interleave(df: DataFrame, by: str = "asset_class", kind: str = "defect") -> DataFrame:
@@ -64,11 +64,10 @@ def perceptual_dedupe(df: DataFrame, distance: int, by: str | None = None) -> Da
 
 def fraction_split(df: DataFrame, by: str = "asset_class", share: float = 0.8, most_train: int = 120, most_test: int = 30) -> DataFrame:
     """train_good: at most 120 and 80 % of a class, one at least; then at most 30 test_good."""
-    w = Window.partitionBy(by)
-    n_train = F.least(F.lit(most_train), F.greatest(F.lit(1), F.floor(share * F.count("*").over(w))))
-    df = df.withColumn("rn", F.row_number().over(w.orderBy("ord", "row_id"))).withColumn("n_train", n_train)
+    n_train = F.least(F.lit(most_train), F.greatest(F.lit(1), F.floor(share * F.col("n_own"))))
+    df = with_group_size(numbered(df, [by], ["ord", "row_id"], "rn"), [by], "n_own").withColumn("n_train", n_train)
     split = F.when(F.col("rn") <= F.col("n_train"), "train_good").when(F.col("rn") <= F.col("n_train") + most_test, "test_good")
-    return df.withColumn("split", split).where("split is not null").drop("rn", "n_train")
+    return df.withColumn("split", split).where("split is not null").drop("rn", "n_train", "n_own")
 
 
 def holdout_errors(rows: DataFrame, names: DataFrame, by: str = "asset_class") -> DataFrame:

@@ -198,3 +198,13 @@ def projected(found: DataFrame, rows: DataFrame, fields: tuple[str, ...], key: s
     """Search results with the stated fields of what they found, and their score. A field that rows lack is null; a result whose row is gone is left out."""
     known = rows.select(*(F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields))
     return found.join(known.hint("merge"), key).select(*keep, *fields, "score")
+
+
+def daily_series(findings: DataFrame) -> DataFrame:
+    """day, place (from 1 in order) and points: class, defects and inspections of each class that has any that day, by class.
+
+    Counts are made before days are gathered, so a day's row holds one point a class. Findings without a time or class have no point."""
+    own = findings.where(F.col("ts").isNotNull() & F.col("asset_class").isNotNull()).groupBy(C.utc_day("ts").alias("day"), "asset_class")
+    own = own.agg(F.count_if(F.col("verdict") == "defect").alias("defects"), F.count("*").alias("n"))
+    days = own.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("asset_class", "defects", "n"))).alias("points"))
+    return days.withColumn("place", F.row_number().over(Window.orderBy("day")))  # one row a day

@@ -13,10 +13,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import columns as C
-from ..sources.tables import written
-from .ranks import exact_quantiles, small
+from ..sources.tables import scratch, written
+from .ranks import exact_quantiles, numbered, small, with_group_size
 
-BLOCK = 4096
+BLOCK, AT_ONCE = 4096, 8
+
+
+class Gathered:
+    """Rows of many plans that each hold a broadcast block. After every ``at_once`` of them their rows are written into one folder
+    and their blocks are dropped, so neither driver nor plan grows with the number of blocks."""
+
+    def __init__(self, like: DataFrame, schema: str, reduce, at_once: int = AT_ONCE) -> None:
+        self.spark, self.schema, self.reduce, self.at_once = like.sparkSession, StructType.fromDDL(schema), reduce, at_once
+        self.path, self.flushed, self.parts, self.sent = scratch(self.spark, "gathered"), 0, [], []
+
+    def broadcast(self, value):
+        """Sends a block; what the earlier ones gave is written first if there are enough of them."""
+        if len(self.parts) >= self.at_once:
+            self.union().write.parquet(f"{self.path}/turn={self.flushed}")
+            for x in self.sent:
+                x.destroy()
+            self.flushed, self.parts, self.sent = self.flushed + 1, [], []
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+
+    def union(self) -> DataFrame:
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.unionAll(part)
+        return self.reduce(out).select(*self.schema.names)
+
+    def rows(self) -> DataFrame:
+        own = self.union() if self.parts else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names).unionAll(own) if self.flushed else own
 
 
 def _blocks(df: DataFrame, id_col: str, vec: str, block: int):
@@ -58,14 +90,14 @@ def _best(df: DataFrame, key: str, other: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_targets(rows: DataFrame, targets: DataFrame, k: int, row_id: str = "frame_id", target_id: str = "name", row_vec: str = "vec", target_vec: str = "vec", block: int = BLOCK, metric: str = "cosine") -> DataFrame:
+def nearest_targets(rows: DataFrame, targets: DataFrame, k: int, row_id: str = "frame_id", target_id: str = "name", row_vec: str = "vec", target_vec: str = "vec", block: int = BLOCK, at_once: int = AT_ONCE) -> DataFrame:
     """The best k targets of every row: (row_id, target_id, score, rank). Targets in blocks, rows in batches, no shuffle but to merge blocks."""
     kinds = dict(rows.dtypes)[row_id], dict(targets.dtypes)[target_id]
     schema = f"{row_id} {kinds[0]}, {target_id} {kinds[1]}, score double"
-    out = None
+    found = Gathered(rows, schema, lambda df: _best(df, row_id, target_id, k), at_once)
     source = rows.where(C.searchable(row_vec)).select(row_id, F.col(row_vec).cast("array<double>").alias("v"))
     for ids, m in _blocks(targets, target_id, target_vec, block):
-        sent = rows.sparkSession.sparkContext.broadcast((np.array(ids, dtype=object), m))
+        sent = found.broadcast((np.array(ids, dtype=object), m))
 
         def run(parts, sent=sent):
             ids, m = sent.value
@@ -76,18 +108,16 @@ def nearest_targets(rows: DataFrame, targets: DataFrame, k: int, row_id: str = "
                     top = np.argsort(-score, axis=1, kind="stable")[:, : k + 8]  # a few more, so ties are settled by id below
                     yield pd.DataFrame({row_id: np.repeat(pdf[row_id].to_numpy(), top.shape[1]), target_id: ids[top.ravel()], "score": np.take_along_axis(score, top, 1).ravel()})
 
-        part = source.mapInPandas(run, schema)
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], schema)
-    return _best(out, row_id, target_id, k)
+        found.add(source.mapInPandas(run, schema))
+    return _best(found.rows(), row_id, target_id, k)
 
 
-def _searched(source: DataFrame, columns: tuple[str, str], blocks, scores, most: int, least: float, kind: str) -> DataFrame:
-    """(query_id, item_id, score): the ``most`` best of every task, for each block of queries."""
-    schema, out = f"query_id {kind}, item_id {kind}, score double", None
+def _searched(source: DataFrame, columns: tuple[str, str], blocks, scores, most: int, least: float, kind: str, k: int, at_once: int = AT_ONCE) -> DataFrame:
+    """(query_id, item_id, score): the ``most`` best of every task, for each block of queries; of blocks that are written early, the best ``k``."""
+    schema = f"query_id {kind}, item_id {kind}, score double"
+    found = Gathered(source, schema, lambda df: _best(df, "query_id", "item_id", k), at_once)
     for ids, own in blocks:
-        sent = source.sparkSession.sparkContext.broadcast((np.array(ids, dtype=object), own))
+        sent = found.broadcast((np.array(ids, dtype=object), own))
 
         def run(parts, sent=sent):
             ids, own = sent.value
@@ -98,12 +128,11 @@ def _searched(source: DataFrame, columns: tuple[str, str], blocks, scores, most:
                     best.add(scores(ids, own, items, pdf[columns[1]]), items)
             yield best.frame(ids, least)
 
-        part = source.mapInPandas(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return source.sparkSession.createDataFrame([], StructType.fromDDL(schema)) if out is None else out
+        found.add(source.mapInPandas(run, schema))
+    return found.rows()
 
 
-def recall(queries: DataFrame, items: DataFrame, k: int, id_col: str = "frame_id", vec: str = "vec", block: int = BLOCK, exclude_self: bool = True) -> DataFrame:
+def recall(queries: DataFrame, items: DataFrame, k: int, id_col: str = "frame_id", vec: str = "vec", block: int = BLOCK, exclude_self: bool = True, at_once: int = AT_ONCE) -> DataFrame:
     """The best k items of every query: (query_id, item_id, score, rank). Queries in blocks against all items."""
     source = items.where(C.searchable(vec)).select(id_col, F.col(vec).cast("array<double>").alias("v"))
 
@@ -114,7 +143,7 @@ def recall(queries: DataFrame, items: DataFrame, k: int, id_col: str = "frame_id
             score[ids[:, None] == own[None, :]] = -1
         return score
 
-    found = _searched(source, (id_col, "v"), _blocks(queries, id_col, vec, block), scores, k + 8, 0.0, dict(items.dtypes)[id_col])
+    found = _searched(source, (id_col, "v"), _blocks(queries, id_col, vec, block), scores, k + 8, 0.0, dict(items.dtypes)[id_col], k, at_once)
     return _best(found, "query_id", "item_id", k)
 
 
@@ -158,7 +187,7 @@ def approximate_recall(queries: DataFrame, items: DataFrame, k: int, id_col: str
         out[ids[:, None] == items[None, :]] = -bits - 1
         return out
 
-    found = _searched(index, ("id", "code"), blocks(), scores, budget, -bits, dict(items.dtypes)[id_col])
+    found = _searched(index, ("id", "code"), blocks(), scores, budget, -bits, dict(items.dtypes)[id_col], budget)
     pairs = written(_best(found, "query_id", "item_id", budget).select("query_id", "item_id"), "candidates")
     v = lambda n: items.select(F.col(id_col).alias(f"{n}_id"), C.as_doubles(vec).alias(f"{n}_v")).hint("merge")
     asked_v = queries.select(F.col(id_col).alias("query_id"), C.as_doubles(vec).alias("query_v")).hint("merge")
@@ -185,7 +214,7 @@ def centroids(frames: DataFrame, key: str = "asset_class") -> DataFrame:
 
 def split_holdout(frames: DataFrame, key: str = "asset_class", share: float = 0.2, least: int = 8) -> DataFrame:
     """Adds n, place and held: the last min(n-1, max(least, int(share n))) by stable order; with fewer than two left to fit, both parts are all rows."""
-    df = frames.withColumn("n", F.count("*").over(Window.partitionBy(key))).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("ord", "frame_id")))
+    df = with_group_size(numbered(frames, [key], ["ord", "frame_id"], "place"), [key], "n")
     hold = F.least(F.col("n") - 1, F.greatest(F.lit(least), F.floor(share * F.col("n"))))
     return df.withColumn("n_fit", F.col("n") - hold).withColumn("few", F.col("n_fit") < 2).withColumn("held", F.col("few") | (F.col("place") > F.col("n_fit"))).withColumn("fit", F.col("few") | (F.col("place") <= F.col("n_fit")))
 
@@ -319,3 +348,10 @@ def pending(asked: DataFrame, ledger: DataFrame) -> DataFrame:
     """Classes (thread_id, asset_class) that the ledger's thread has neither completed nor excluded."""
     over = ledger.where(F.col("status").isin("completed", "excluded")).select("thread_id", "asset_class").distinct()
     return asked.select("thread_id", "asset_class").distinct().join(over.hint("merge"), ["thread_id", "asset_class"], "left_anti")
+
+
+def fleet_report(models: DataFrame, *parts: DataFrame, key: str = "asset_class") -> DataFrame:
+    """Models with the columns of each part, which has a row a class at most; what a class has no row for is null."""
+    for part in parts:
+        models = models.join(part.hint("merge"), key, "left")
+    return models

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.tables import written
-from .ranks import exact_quantiles, small, with_sums_below
+from .corpus import near_pairs
+from .ranks import exact_quantiles, numbered, small, with_group_size, with_sums_below
 
 
 def greedy_cover(x: np.ndarray, size: int) -> list[int]:
@@ -170,8 +171,8 @@ def gaussian_scores(train: DataFrame, test: DataFrame, key: str = "asset_class",
 def fold_scores(patches: DataFrame, folds: int = 2, ratio: float = 0.25, key: str = "asset_class") -> DataFrame:
     """Scores of reference frames by banks that were fitted without them. Classes with fewer than two frames to fit, or fewer than two folds, have none."""
     frame = patches.select(key, "frame_id", "ord").distinct()
-    w = Window.partitionBy(key)
-    frame = frame.withColumn("fold", (F.row_number().over(w.orderBy("ord", "frame_id")) - 1) % max(folds, 1)).withColumn("n", F.count("*").over(w))
+    frame = numbered(frame, [key], ["ord", "frame_id"], "fold").withColumn("fold", (F.col("fold") - 1) % max(folds, 1))
+    frame = with_group_size(frame, [key], "n")
     usable = frame.where(F.col("n") - F.ceil(F.col("n") / max(folds, 1)) >= 2) if folds >= 2 else frame.limit(0)
     p = patches.drop("ord").join(usable.select("frame_id", "fold").hint("merge"), "frame_id")
     out = None
@@ -216,6 +217,27 @@ def best_f1(scored: DataFrame, key: str = "asset_class") -> DataFrame:
     return best.select(key, F.col("b.score").alias("threshold"), C.half_even("b.f1").alias("f1"))
 
 
+def reload_parity(scores: DataFrame, again: DataFrame, key: str = "asset_class", most: float = 1e-5) -> DataFrame:
+    """For each class the greatest change of a frame's raw score, and whether it is below ``most``. A frame with a score on one side only makes it infinite."""
+    other = again.select("frame_id", F.col(key).alias("_key"), F.col("raw_score").alias("again"))
+    both = scores.join(other.hint("merge"), "frame_id", "full").withColumn(key, F.coalesce(key, "_key"))
+    return both.groupBy(key).agg(F.max(F.coalesce(F.abs(F.col("raw_score") - F.col("again")), F.lit(float("inf")))).alias("parity")).withColumn("parity_match", F.col("parity") < most)
+
+
+def region_precision(found: DataFrame, mask: DataFrame) -> DataFrame:
+    """Share of reported boxes that hold a mask cell's centre, and of masked frames in which one does. One row; shares of nothing are null.
+
+    Mask cells (frame_id, px, py) are met as boxes of no width in grid cells, so a frame's cells are not all met with its boxes."""
+    cells = mask.select("frame_id", F.concat_ws(",", "px", "py").alias("box_id"), *(F.col(p).alias(c) for c, p in (("x0", "px"), ("y0", "py"), ("x1", "px"), ("y1", "py"))))
+    pairs = near_pairs(found, cells)
+    inside = F.col("b_x0").between(F.col("a_x0"), F.col("a_x1")) & F.col("b_y0").between(F.col("a_y0"), F.col("a_y1"))
+    hits = written(pairs.where(inside).select("frame_id", F.col("a_box_id").alias("box_id")).distinct(), "hits")
+    one = found.select("frame_id", "box_id").distinct().agg(F.count("*").alias("n_boxes")).join(F.broadcast(hits.agg(F.count("*").alias("boxes_hit"), F.count_distinct("frame_id").alias("frames_hit"))))
+    one = one.join(F.broadcast(mask.agg(F.count_distinct("frame_id").alias("masked_frames"))))  # one row each
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return one.select("n_boxes", "boxes_hit", share("boxes_hit", "n_boxes").alias("box_precision"), "masked_frames", "frames_hit", share("frames_hit", "masked_frames").alias("frame_recall"))
+
+
 # -- normalisation, verdicts, regions
 
 

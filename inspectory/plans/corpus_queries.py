@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import corpus as O
+from ..operators.ranks import numbered
 from ..sources import tables as S
 from .adapters import BOXES, CORPUS, boxes, corpus_rows, sql, table
 from .registry import query
@@ -86,9 +87,7 @@ def cu2(spark, d):
 
 @query("cu3_seeded_shuffle", sql(CORPUS, "SELECT row_id, row_number() OVER (PARTITION BY asset_class ORDER BY ord) AS place FROM corpus WHERE label=0"))
 def cu3(spark, d):
-    from pyspark.sql import Window
-
-    return corpus_rows(spark, d).where("label = 0").select("row_id", F.row_number().over(Window.partitionBy("asset_class").orderBy("ord")).cast("long").alias("place"))
+    return numbered(corpus_rows(spark, d).where("label = 0").select("row_id", "asset_class", "ord"), ["asset_class"], ["ord", "row_id"], "place").select("row_id", F.col("place").cast("long").alias("place"))
 
 
 @query("cu4_prefix_then_cap", sql(CORPUS, "pre AS (SELECT * FROM corpus WHERE label=0 QUALIFY row_number() OVER (PARTITION BY asset_class ORDER BY ord)<=20), ded AS (SELECT * FROM pre QUALIFY row_number() OVER (PARTITION BY asset_class, sha ORDER BY ord)=1)", "SELECT asset_class, row_id FROM ded QUALIFY row_number() OVER (PARTITION BY asset_class ORDER BY ord)<=10"))

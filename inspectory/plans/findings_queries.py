@@ -121,10 +121,11 @@ def prj11(spark, d):
     return tr6(spark, d).select("asset_class", O.direction().alias("direction"), C.half_even(F.abs("acceleration") * 100, 2).alias("points"))
 
 
-@query("prj12_daily_series", sql(FINDINGS, f"SELECT strftime(ts,'%Y-%m') AS month, count(*) FILTER (asset_class='ECONOMY') AS economy, count(*) FILTER (asset_class='PROMO') AS promo FROM findings WHERE ts>={S} AND asset_class IN ('ECONOMY','PROMO') GROUP BY 1"))
+@query("prj12_daily_series", sql(FINDINGS, f"own AS (SELECT strftime(ts,'%Y-%m-%d') AS day, asset_class, count(*) AS n, count(*) FILTER (verdict='defect') AS defects FROM findings WHERE ts>={S} GROUP BY ALL)", "SELECT day, row_number() OVER (ORDER BY day) AS place, string_agg(asset_class||'='||defects||'/'||n, ';' ORDER BY asset_class) AS series FROM own GROUP BY 1"))
 def prj12(spark, d):
-    own = recent_findings(spark, d).groupBy(F.date_format("ts", "yyyy-MM").alias("month")).pivot("asset_class", ["ECONOMY", "PROMO"]).count()
-    return own.where("ECONOMY is not null or PROMO is not null").select("month", F.coalesce("ECONOMY", F.lit(0)).alias("economy"), F.coalesce("PROMO", F.lit(0)).alias("promo"))
+    """Sorted days with the points of all classes; a class without inspections on a day has none there."""
+    point = lambda p: F.concat(p["asset_class"], F.lit("="), p["defects"].cast("string"), F.lit("/"), p["n"].cast("string"))
+    return O.daily_series(recent_findings(spark, d)).select("day", F.col("place").cast("long").alias("place"), F.array_join(F.transform("points", point), ";").alias("series"))
 
 
 @query("fs1_search_findings", sql(FINDINGS, f"SELECT finding_id, severity, verdict, (SELECT count(*) FROM findings WHERE verdict='defect' AND asset_class='PROMO' AND ts>={S}) AS matched FROM findings WHERE verdict='defect' AND asset_class='PROMO' AND ts>={S} ORDER BY ts DESC, finding_id LIMIT 25"))

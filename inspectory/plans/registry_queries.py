@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import findings as O
 from ..operators import routing as R
+from ..operators import scoring
 from ..operators import vector_index as I
 from ..sources import tables as S
 from ..sources.commits import CommitLog
-from .adapters import FRAMES, frames, sql, table
+from .adapters import CELLS, CORPUS, FRAMES, PATCHES, corpus_rows, frames, map_cells, sql, table
 from .findings_queries import MODELS, models as model_rows
 from .registry import query
+from .scoring_queries import BANK, DIST, split_patches
 
 TRAIN = "cls AS (SELECT *, count(*) OVER (PARTITION BY asset_class) AS n, row_number() OVER (PARTITION BY asset_class ORDER BY ord, frame_id) AS place FROM frames), tr AS (SELECT *, n-least(n-1, greatest(8, floor(0.2*n))) AS n_fit FROM cls)"
 SIM = "(1+list_dot_product({a},{b})/((sqrt(list_dot_product({a},{a}))+1e-12)*(sqrt(list_dot_product({b},{b}))+1e-12)))/2"
@@ -367,15 +369,49 @@ def snk8(spark, d):
     return committed(spark, d).superseded("name", "training_samples")
 
 
-@query("fs10_fleet_report", sql(*BUILD, "SELECT name, 64::INT AS dims, round_even(gate,4) AS gate, asset_class IN ('class_1','class_2') AS resumed FROM reg"))
+def ranked_area(name: str, source: str) -> str:
+    return (
+        f"{name}_h AS (SELECT asset_class, score, count(*) FILTER (label) AS pos, count(*) FILTER (NOT label) AS neg FROM {source} GROUP BY ALL), {name}_b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY asset_class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM {name}_h), "
+        f"{name} AS (SELECT asset_class, round_even(CASE WHEN sum(pos)*sum(neg)>0 THEN (sum(pos*(below+neg/2))/(sum(pos)*sum(neg)))::DOUBLE END,4) AS auroc FROM {name}_b GROUP BY 1)"
+    )
+
+
+FLEET = [
+    PATCHES, BANK.replace("tr AS", "bank_tr AS").replace("JOIN tr", "JOIN bank_tr"), DIST, CELLS,
+    "img AS (SELECT frame_id, asset_class, round_even(max(distance),9) AS score, frame_id%3=0 AS label FROM dist GROUP BY ALL)", "px AS (SELECT asset_class, v AS score, (x+y)%3=0 AS label FROM cells)",
+    ranked_area("image_auc", "img"), ranked_area("pixel_auc", "px"), "held AS (SELECT asset_class, count(*) AS bank_rows FROM bank GROUP BY 1), size AS (SELECT asset_class, count(*) AS samples FROM frames GROUP BY 1)",
+]
+
+
+@query("fs10_fleet_report", sql(*BUILD, *FLEET, "SELECT name, asset_class, samples, 64::INT AS dims, bank_rows, bank_rows*64 AS bank_bytes, round_even(gate,4) AS gate, i.auroc AS image_auroc, p.auroc AS pixel_auroc, 0.0::DOUBLE AS parity, TRUE AS parity_match, asset_class IN ('class_1','class_2') AS resumed FROM reg JOIN size USING (asset_class) JOIN held USING (asset_class) JOIN image_auc i USING (asset_class) JOIN pixel_auc p USING (asset_class)"))
 def fs10(spark, d):
-    ledger = frames(spark, d).where("label in (1, 2)").select("asset_class").distinct().withColumn("resumed", F.lit(True))
-    return registry(spark, d).join(ledger.hint("merge"), "asset_class", "left").select("name", F.size("vec").alias("dims"), r4("gate").alias("gate"), F.coalesce("resumed", F.lit(False)).alias("resumed"))
+    """One row a model: size, dimensions, samples, both AUROCs, and the greatest change of a score once the bank is read again."""
+    f = frames(spark, d)
+    ledger = f.where("label in (1, 2)").select("asset_class").distinct().withColumn("resumed", F.lit(True))
+    bank, odd = split_patches(spark, d)
+    again = S.written(bank, "reloaded")
+    scores = S.written(scoring.image_scores(scoring.patch_distances(odd, bank)).select("frame_id", "asset_class", "raw_score"), "fleet-scores")
+    image = scores.select("asset_class", C.half_even("raw_score", 9).alias("score"), (F.col("frame_id") % 3 == 0).alias("label"))
+    pixel = map_cells(spark, d).select("asset_class", F.col("v").alias("score"), ((F.col("x") + F.col("y")) % 3 == 0).alias("label"))
+    area = lambda df, name: scoring.auroc(df).select("asset_class", F.col("auroc").alias(name))
+    parity = scoring.reload_parity(scores, scoring.image_scores(scoring.patch_distances(odd, again)))
+    held = again.groupBy("asset_class").agg(F.count("*").alias("bank_rows"), F.sum(8 * F.size("pvec")).alias("bank_bytes"))
+    samples = f.groupBy("asset_class").agg(F.count("*").alias("samples"))
+    rows = R.fleet_report(registry(spark, d), samples, held, area(image, "image_auroc"), area(pixel, "pixel_auroc"), parity, ledger)
+    return rows.select("name", "asset_class", "samples", F.size("vec").alias("dims"), "bank_rows", "bank_bytes", r4("gate").alias("gate"), "image_auroc", "pixel_auroc", C.half_even("parity", 6).alias("parity"), "parity_match", F.coalesce("resumed", F.lit(False)).alias("resumed"))
+
 
+PROVENANCE = "prov AS (SELECT asset_class, count(*) AS raw_candidates, count(DISTINCT sha) AS after_dedupe, min(row_id) AS first_row, list_sort(list(DISTINCT defect)) AS defect_types FROM corpus GROUP BY 1)"
 
-@query("fs11_provenance_listing", "SELECT source AS asset_class, count(*) AS source_files, min(doc_id) AS first_id FROM documents GROUP BY 1")
+
+@query("fs11_provenance_listing", sql(CORPUS, PROVENANCE, "SELECT asset_class, json_object('asset_class', asset_class, 'raw_candidates', raw_candidates, 'after_dedupe', after_dedupe, 'first_row', first_row, 'defect_types', defect_types)::VARCHAR AS record FROM prov"))
 def fs11(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("source").alias("asset_class")).agg(F.count("*").alias("source_files"), F.min("doc_id").alias("first_id"))
+    """All provenance rows as their table holds them, serialised; null fields are kept."""
+    own = corpus_rows(spark, d).groupBy("asset_class").agg(F.count("*").alias("raw_candidates"), F.countDistinct("sha").alias("after_dedupe"), F.min("row_id").alias("first_row"), F.sort_array(F.collect_set("defect")).alias("defect_types"))
+    log = CommitLog(spark, S.scratch(spark, "provenance"))
+    log.upsert(own, "asset_class")
+    rows = log.read()
+    return rows.select("asset_class", F.to_json(F.struct("asset_class", "raw_candidates", "after_dedupe", "first_row", "defect_types"), {"ignoreNullFields": "false"}).alias("record"))
 
 
 @query("v2a_recall_before_decide", sql(*WITH, f"SELECT d.frame_id, d.decision, m.item_id FROM decided d JOIN (SELECT query_id, item_id FROM ({NEAREST}) WHERE rank<=3) m ON m.query_id=d.frame_id"))

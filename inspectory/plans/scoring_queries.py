@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import bank_tree as B
 from ..operators import scoring as O
-from ..operators.ranks import small
+from ..operators.ranks import numbered, small, with_group_size
 from ..sources.tables import written
 from .adapters import BOXES, CELLS, FINDINGS, FRAMES, PATCHES, boxes, findings, frames, map_cells, patches, sql, table
 from .registry import query
@@ -21,10 +22,8 @@ def scored(spark, d):
 
 def split_patches(spark, d):
     """Patches of training frames (the first four fifths of a class by stable order) and of the rest."""
-    w = Window.partitionBy("asset_class")
-    f = frames(spark, d).select("frame_id", "asset_class", "ord")
-    train = f.withColumn("train", F.row_number().over(w.orderBy("ord")) <= F.floor(0.8 * F.count("*").over(w))).select("frame_id", "train")
-    p = patches(spark, d).join(train.hint("merge"), "frame_id")
+    f = with_group_size(numbered(frames(spark, d).select("frame_id", "asset_class", "ord"), ["asset_class"], ["ord", "frame_id"], "place"), ["asset_class"], "n")
+    p = patches(spark, d).join(f.select("frame_id", (F.col("place") <= F.floor(0.8 * F.col("n"))).alias("train")).hint("merge"), "frame_id")
     return p.where("train").drop("train"), p.where("not train").drop("train")
 
 
@@ -130,18 +129,19 @@ def met3(spark, d):
     return O.auroc(out)
 
 
-HIT = "hit AS (SELECT b.frame_id, b.box_id, bool_or(c.label='broken' AND (c.x0+c.x1)/2 BETWEEN b.x0 AND b.x1 AND (c.y0+c.y1)/2 BETWEEN b.y0 AND b.y1) AS hit FROM boxes b JOIN boxes c USING (frame_id) WHERE b.label='tower' GROUP BY ALL)"
+MASK = "mask AS (SELECT DISTINCT frame_id, cx*16.0+8 AS px, cy*16.0+8 AS py FROM (SELECT frame_id, y0, y1, unnest(range(ceil((x0-8)/16)::BIGINT, floor((x1-8)/16)::BIGINT+1)) AS cx FROM boxes WHERE label='broken'), LATERAL (SELECT unnest(range(ceil((y0-8)/16)::BIGINT, floor((y1-8)/16)::BIGINT+1)) AS cy))"
+HIT = "hit AS (SELECT b.frame_id, b.box_id, count(px) > 0 AS hit FROM boxes b LEFT JOIN mask m ON m.frame_id=b.frame_id AND px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 WHERE b.label='tower' GROUP BY ALL)"
 
 
-@query("met4_region_precision", sql(BOXES, HIT, "SELECT round_even(avg(hit::INT),4) AS box_precision, round_even(count(DISTINCT CASE WHEN hit THEN frame_id END)/(SELECT count(DISTINCT frame_id) FROM boxes WHERE label='broken'),4) AS frame_recall FROM hit"))
+@query("met4_region_precision", sql(BOXES, MASK, HIT, "SELECT count(*) AS n_boxes, count(*) FILTER (hit) AS boxes_hit, round_even(avg(hit::INT),4) AS box_precision, (SELECT count(DISTINCT frame_id) FROM mask) AS masked_frames, count(DISTINCT CASE WHEN hit THEN frame_id END) AS frames_hit, round_even(count(DISTINCT CASE WHEN hit THEN frame_id END)/(SELECT count(DISTINCT frame_id) FROM mask),4) AS frame_recall FROM hit"))
 def met4(spark, d):
-    from ..operators.corpus import prefixed
-
+    """Reported boxes (towers) against mask cells, 16 pixels wide, whose centres lie in broken parts."""
     b = boxes(spark, d)
-    pairs = prefixed(b.where("label = 'tower'"), "a_").join(b.select("frame_id", "label", *(F.col(c).alias("b_" + c) for c in ("x0", "y0", "x1", "y1"))), "frame_id")
-    hit = pairs.groupBy("frame_id", "a_box_id").agg(F.bool_or((F.col("label") == "broken") & C.centre_inside("b_", "a_")).alias("hit"))
-    masked = b.where("label = 'broken'").agg(F.countDistinct("frame_id").alias("masked"))
-    return hit.agg(C.half_even(F.avg(F.col("hit").cast("int"))).alias("box_precision"), F.countDistinct(F.when(F.col("hit"), F.col("frame_id"))).alias("n")).join(F.broadcast(masked)).select("box_precision", C.half_even(F.col("n") / F.col("masked")).alias("frame_recall"))  # one row each
+    side = lambda lo, hi: F.sequence(F.ceil((F.col(lo) - 8) / 16), F.floor((F.col(hi) - 8) / 16))
+    wide = (F.floor((F.col("x1") - 8) / 16) >= F.ceil((F.col("x0") - 8) / 16)) & (F.floor((F.col("y1") - 8) / 16) >= F.ceil((F.col("y0") - 8) / 16))
+    mask = b.where("label = 'broken'").where(wide).withColumn("cx", F.explode(side("x0", "x1"))).withColumn("cy", F.explode(side("y0", "y1")))
+    mask = mask.select("frame_id", (F.col("cx") * 16.0 + 8).alias("px"), (F.col("cy") * 16.0 + 8).alias("py")).distinct()
+    return O.region_precision(b.where("label = 'tower'"), mask).withColumns({c: C.half_even(c) for c in ("box_precision", "frame_recall")})
 
 
 @query("met5_false_alarms", sql(FINDINGS, "SELECT asset_class, count(*) AS good, count(*) FILTER (severity>=0.5) AS flagged FROM findings WHERE verdict='nominal' GROUP BY 1"))
@@ -273,8 +273,13 @@ def sc14(spark, d):
     return O.normalised_descriptions(e).select("event_id", "description", "component", "visible", "rejected")
 
 
-@query("v2b_extended_bank", sql(FRAMES, PATCHES, BANK, DIST, "far AS (SELECT frame_id, asset_class, max(distance) AS s FROM dist GROUP BY ALL)", "SELECT asset_class, count(*) AS added FROM far WHERE s<0.35 GROUP BY 1"))
+@query("v2b_extended_bank", sql(FRAMES, PATCHES, BANK, DIST, "far AS (SELECT frame_id, asset_class, max(distance) AS s FROM dist GROUP BY ALL), good AS (SELECT asset_class, count(*) AS added FROM far WHERE s<0.35 GROUP BY 1), seen AS (SELECT asset_class, count(*) AS n FROM bank GROUP BY 1)", "SELECT asset_class, coalesce(added,0) AS added, (n+8*coalesce(added,0))::BIGINT AS patches_seen FROM seen LEFT JOIN good USING (asset_class)"))
 def v2b(spark, d):
+    """The bank's tree, extended by the patches of frames that score low: frames added, and patches that the tree stands for."""
     bank, odd = banked(spark, d)
-    good = O.image_scores(O.patch_distances(odd, bank)).where("raw_score < 0.35")
-    return good.groupBy("asset_class").agg(F.count("*").alias("added"))
+    tree = B.extended(None, bank, 32, 256)
+    good = written(O.image_scores(O.patch_distances(odd, bank)).where("raw_score < 0.35").select("frame_id", "asset_class"), "confident")
+    tree = B.extended(tree, odd.join(good.select("frame_id").hint("merge"), "frame_id", "left_semi"), 32, 256)
+    seen = tree.groupBy("asset_class").agg(F.sum("weight").alias("patches_seen"))
+    added = good.groupBy("asset_class").agg(F.count("*").alias("added"))
+    return seen.join(added.hint("merge"), "asset_class", "left").select("asset_class", F.coalesce("added", F.lit(0)).alias("added"), "patches_seen")

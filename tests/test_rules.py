@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from inspectory.operators import corpus, routing, scoring
 from inspectory.plans import registry, registry_queries, scoring_queries, session_queries
@@ -346,9 +347,36 @@ def test_ranks_over_ranges(spark):
         assert r.place == 1 + sum((k == r.kind) and (v, i) < (r.v, r.i) for k, v, i in rows)
     sums = {(k, v): sum(1 for a, b, _ in rows if a == k and b == v) for k, v, _ in rows}
     h = spark.createDataFrame([(k, v, n) for (k, v), n in sums.items()], "kind string, v int, n long")
-    got = ranks.with_sums_below(h, "kind", "v", ("n",)).collect()
-    assert len(got) == len(sums) and all(r.below_n == sum(n for (k, v), n in sums.items() if k == r.kind and v < r.v) for r in got)
-    for r in ranks.exact_quantiles(df.where("kind is not null"), "kind", "v", {"low": 0.05, "mid": 0.5, "top": 1.0}).collect():
-        own = [v for k, v, _ in rows if k == r.kind]
-        assert (r.low, r.mid, r.top) == pytest.approx(tuple(np.quantile(own, [0.05, 0.5, 1.0])))
+    for few in (0, ranks.FEW):
+        got = ranks.with_sums_below(h, "kind", "v", ("n",), few).collect()
+        assert len(got) == len(sums) and all(r.below_n == sum(n for (k, v), n in sums.items() if k == r.kind and v < r.v) for r in got)
+        for r in ranks.exact_quantiles(df.where("kind is not null"), "kind", "v", {"low": 0.05, "mid": 0.5, "top": 1.0}, few).collect():
+            own = [v for k, v, _ in rows if k == r.kind]
+            assert (r.low, r.mid, r.top) == pytest.approx(tuple(np.quantile(own, [0.05, 0.5, 1.0])))
+    sized = ranks.with_group_size(df, ["kind"], "n").collect()
+    assert len(sized) == len(rows) and all(r.n == sum(k == r.kind for k, _, _ in rows) for r in sized)
     assert ranks.exact_quantiles(df.limit(0), "kind", "v", {"mid": 0.5}).count() == 0
+
+
+def test_broadcasts_by_bytes(spark):
+    """Wide rows are merge-joined although they are few."""
+    from inspectory.operators import ranks
+
+    df = spark.createDataFrame([("é", [1.0, 2.0], None, 3), (None, None, {"a": 1}, 4)], "s string, v array<double>, m map<string,int>, i int")
+    assert sorted(r[0] for r in df.select(ranks.row_bytes(df)).collect()) == [8 + 13, 2 + 16 + 8 + 2]
+    hinted = lambda d: d._jdf.queryExecution().logical().toString()
+    assert "broadcast" in hinted(ranks.small(df)).lower()
+    wide = spark.range(2).select(F.sequence(F.lit(1), F.lit(3_000_000)).alias("v"))
+    assert "broadcast" not in hinted(ranks.small(wide)).lower()
+
+
+def test_search_in_turns(spark):
+    """Blocks beyond a turn's are written; the rows are the same, ties and both directions included."""
+    f = frames(spark, D).select("frame_id", "vec")
+    f = f.unionAll(f.where("frame_id < 5").select(F.col("frame_id") + 100_000, "vec"))
+    asked = f.where("frame_id % 20 = 0")
+    rows = lambda df: sorted((r[0], r[1], round(r.score, 9), r.rank) for r in df.collect())
+    assert rows(routing.recall(asked, f, 4, block=2, at_once=2)) == rows(routing.recall(asked, f, 4))
+    targets = f.withColumnRenamed("frame_id", "name")
+    assert rows(routing.nearest_targets(asked, targets, 3, block=16, at_once=2)) == rows(routing.nearest_targets(asked, targets, 3))
+    assert routing.recall(asked.limit(0), f, 4).count() == 0
