@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import bank_tree as B
 from ..operators import scoring as O
+from ..operators import tiles as T
 from ..operators.ranks import numbered, small, with_group_size
 from ..sources.tables import written
 from .adapters import BOXES, CELLS, FINDINGS, FRAMES, PATCHES, boxes, findings, frames, map_cells, patches, sql, table
@@ -202,6 +203,12 @@ def sc5(spark, d):
     return found(spark, d)
 
 
+@query("sc5_tiled_regions")
+def sc5_tiled(spark, d):
+    """The regions of sc5 by tiles; the given maps are of 8 by 8 cells, so each is one tile here. tests/test_tiles.py has maps of many."""
+    return T.tiled_regions(norm_cells(spark, d, 0.2))
+
+
 @query("sc6_region_filters")
 def sc6(spark, d):
     return O.kept_regions(found(spark, d), (640, 480))

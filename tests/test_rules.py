@@ -12,7 +12,7 @@ from inspectory.plans import registry, registry_queries, scoring_queries, sessio
 from inspectory.plans.adapters import frames, map_cells, patches
 
 D = "/root/testdata/sf0.001"
-COVERED = "bnk1_coreset bnk3_reweighted bnk5_gaussian cu6_perceptual_dedupe_d4 knn2_approximate knn2_rows_read knn2_sign_codes knn4_agreement met3_supervised_ceiling met6_reload_parity rt12_layout sc5_regions sc6_region_filters st2_hold_still st2_hold_still_stream st2_timed_holds st2_timed_holds_stream st9_stream_inspection thr1_fold_scores thr4_leave_out_audit v2c_refusal_clusters".split()
+COVERED = "bnk1_coreset bnk3_reweighted bnk5_gaussian cu6_perceptual_dedupe_d4 knn2_approximate knn2_rows_read knn2_sign_codes knn4_agreement met3_supervised_ceiling met6_reload_parity rt12_layout sc5_regions sc5_tiled_regions sc6_region_filters st2_hold_still st2_hold_still_stream st2_timed_holds st2_timed_holds_stream st9_stream_inspection thr1_fold_scores thr4_leave_out_audit v2c_refusal_clusters".split()
 
 
 def rows_of(spark, name, d=D):
@@ -225,9 +225,10 @@ def maps(spark):
     return {f: brute_regions(v, 0.5) for f, v in out.items()}
 
 
-def test_regions(spark, maps):
+@pytest.mark.parametrize("name", ["sc5_regions", "sc5_tiled_regions"])
+def test_regions(spark, maps, name):
     got = defaultdict(list)
-    for r in rows_of(spark, "sc5_regions"):
+    for r in rows_of(spark, name):
         got[r.frame_id].append((r.x, r.y, r.w, r.h, r.area, r.peak))
     assert {f: sorted(x) for f, x in got.items()} == {f: sorted(x) for f, x in maps.items() if x} and len(got) > 100
 
