@@ -60,8 +60,11 @@ def carried(dealt: DataFrame, keys: list[str], sums: dict[str, F.Column]) -> Dat
     return dealt.join(small(written(before, "range-sums")), (F.col("part") == F.col("_part")) & same_keys(keys)).drop("_part", *(f"_{k}" for k in keys))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds the row's place in its group, from 1 in this order; the order tells all rows of a group apart."""
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, few: int = FEW) -> DataFrame:
+    """Adds the row's place in its group, from 1 in this order; the order tells all rows of a group apart. Up to ``few`` rows are numbered in one window."""
+    df = written(df, "unnumbered")
+    if df.count() <= few:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     dealt = written(df.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()), "ranges")
     inside = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))
     return carried(dealt, keys, {"_n": F.count("*")}).withColumn(name, inside + F.col("_n")).drop("part", "_n")

@@ -344,7 +344,9 @@ def test_ranks_over_ranges(spark):
     rng = np.random.default_rng(4)
     rows = [(("a", "b", None)[int(rng.integers(3))], int(v), i) for i, v in enumerate(rng.integers(0, 40, 500))]
     df = spark.createDataFrame(rows, "kind string, v int, i int").repartition(4)
-    for r in ranks.numbered(df, ["kind"], ["v", "i"], "place").collect():
+    both = [r for few in (0, ranks.FEW) for r in ranks.numbered(df, ["kind"], ["v", "i"], "place", few).collect()]
+    assert len(both) == 2 * len(rows)
+    for r in both:
         assert r.place == 1 + sum((k == r.kind) and (v, i) < (r.v, r.i) for k, v, i in rows)
     sums = {(k, v): sum(1 for a, b, _ in rows if a == k and b == v) for k, v, _ in rows}
     h = spark.createDataFrame([(k, v, n) for (k, v), n in sums.items()], "kind string, v int, n long")
