@@ -162,3 +162,19 @@ def test_sources(spark, tmp_path):
     tables.append_findings(f, str(tmp_path / "out"))
     tables.append_findings(f, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_split_is_a_folder(spark, tmp_path):
+    """A split of one file, of a folder of part files, and of files in folders of partitions."""
+    rows = spark.range(7)
+    rows.write.parquet(str(tmp_path / "a" / "train.parquet"))
+    rows.where("id < 3").repartition(2).write.parquet(str(tmp_path / "a" / "test.parquet"))
+    part = next((tmp_path / "a" / "test.parquet").glob("part-*.parquet"))
+    for own in ("b/train-0.parquet", "b/test-0.parquet", "c/day=1/train-0.parquet", "c/day=2/train-0.parquet"):
+        (tmp_path / own).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / own).write_bytes(part.read_bytes())
+    n = spark.read.parquet(str(part)).count()
+    assert tables.split_files(spark, str(tmp_path / "a"), "train", "{split}.parquet").count() == 7
+    assert tables.split_files(spark, str(tmp_path / "a"), "test", "{split}.parquet").count() == 3
+    assert tables.split_files(spark, str(tmp_path / "b"), "train").count() == n
+    assert tables.split_files(spark, str(tmp_path / "c"), "train").count() == 2 * n
