@@ -1,5 +1,7 @@
 """Inverted lists: recall against the exact search on given and planted vectors, new rows, hot lists and odd rows."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,32 @@ def test_odd_vectors(spark, tmp_path):
     assert index.search(items.limit(0), items, 2, 2).collect() == []
     with pytest.raises(ValueError, match="no searchable"):
         I.fit(items.where("frame_id in (5, 6)"))
+
+
+def test_tasks_hold_slices(spark):
+    """Whatever an Arrow batch holds, a block of queries meets ITEMS items at once, and PROBED lists of queries are yielded at once."""
+    from inspectory.operators import routing, vector_index
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(3000)], "id long, v array<double>").coalesce(1)
+
+    def scores(ids, own, items, vectors, most=routing.ITEMS):
+        assert len(items) <= most
+        return own @ np.stack(vectors.to_numpy()).T
+
+    asked = [r.v for r in rows.orderBy("id").limit(3).collect()]
+    got = routing._searched(rows, ("id", "v"), [([0, 1, 2], np.array(asked))], scores, 5, -1e9, "bigint", 5).collect()
+    every = np.array([r.v for r in rows.orderBy("id").collect()])
+    for q in range(3):
+        assert {r.item_id for r in got if r.query_id == q} == set(np.argsort(-(np.array(asked[q]) @ every.T))[:5].tolist())
+
+    class Watched(vector_index.Quantiser):
+        def lists(self, x, probes, most=vector_index.PROBED):
+            assert len(x) * probes <= most
+            return super().lists(x, probes)
+
+    own = Watched(rng.normal(size=(64, 4)), rng.normal(size=(2, 256, 2)))
+    index = vector_index.VectorIndex(spark, "unused", I.Quantiser(own.centres, own.words))
+    index.sent = SimpleNamespace(value=own)
+    found = index.probed(rows, 64, id_col="id", vec="v")
+    assert found.count() == 3000 * 64 and found.distinct().count() == 3000 * 64
