@@ -181,19 +181,25 @@ RELAY = "session_id long, frame_seq long, frame_value double, published long, vi
 def relay_step(state: tuple, rows: pd.DataFrame, most: int) -> tuple:
     """Advance a session's relay state (the fields of RELAY after the first) over rows in any order: newest by seq, counts, and a ring of the last messages."""
     frame_seq, frame_value, published, viewers, online, online_seq, phase_seq, off_seq, ring = state
-    newest = lambda old, own: own if own is not None and (old is None or own > old) else old
-    highest = lambda df: None if df.empty else int(df.seq.max())
-    value_at = lambda df: None if pd.isna(v := df.value.iloc[df.seq.argmax()]) else float(v)
-    frames, presence = rows[rows.kind == "frame"], rows[rows.kind == "presence"]
-    if (top := highest(frames)) is not None and newest(frame_seq, top) == top:
-        frame_seq, frame_value = top, value_at(frames)
-    if (top := highest(presence)) is not None and newest(online_seq, top) == top:
-        at = value_at(presence)
-        online, online_seq = at is not None and at > 50, top
-    phase_seq = newest(phase_seq, highest(rows[rows.kind == "phase"]))
-    off_seq = newest(off_seq, highest(presence[presence.value <= 50]))
-    ring = sorted([*ring, *(int(x) for x in rows.seq[rows.kind == "message"])])[-most:]
-    return frame_seq, frame_value, published + len(frames), viewers + len(presence), online, online_seq, phase_seq, off_seq, ring
+    newer = lambda own, old: old is None or own > old
+    ring = list(ring)
+    for seq, kind, value in zip(rows.seq.tolist(), rows.kind.tolist(), rows.value.tolist()):
+        value = None if value is None or value != value else float(value)
+        if kind == "frame":
+            published += 1
+            if newer(seq, frame_seq):
+                frame_seq, frame_value = seq, value
+        elif kind == "presence":
+            viewers += 1
+            if newer(seq, online_seq):
+                online, online_seq = value is not None and value > 50, seq
+            if value is not None and value <= 50 and newer(seq, off_seq):
+                off_seq = seq
+        elif kind == "phase":
+            phase_seq = seq if newer(seq, phase_seq) else phase_seq
+        elif kind == "message":
+            ring.append(seq)
+    return frame_seq, frame_value, published, viewers, online, online_seq, phase_seq, off_seq, sorted(ring)[-most:]
 
 
 def relay_updates(steps: DataFrame, most: int = 64) -> DataFrame:
@@ -208,8 +214,8 @@ def relay_updates(steps: DataFrame, most: int = 64) -> DataFrame:
             known = relay_step(known, pdf, most)
         state.update(known)
         frame_seq, frame_value, published, viewers, online, _, phase_seq, off_seq, ring = known
-        out = pd.DataFrame({"session_id": [key[0]], "frame_seq": [frame_seq], "frame_value": [frame_value], "published": [published], "viewers": [viewers], "online": [online], "phase_seq": [phase_seq], "off_seq": [off_seq], "messages": [ring]})
-        yield out.astype({"frame_seq": "Int64", "phase_seq": "Int64", "off_seq": "Int64", "frame_value": "Float64"})
+        whole, real = (lambda x, kind=kind: pd.array([x], dtype=kind) for kind in ("Int64", "Float64"))
+        yield pd.DataFrame({"session_id": [key[0]], "frame_seq": whole(frame_seq), "frame_value": real(frame_value), "published": [published], "viewers": [viewers], "online": [online], "phase_seq": whole(phase_seq), "off_seq": whole(off_seq), "messages": [ring]})
 
     kept = "frame_seq long, frame_value double, published long, viewers long, online boolean, online_seq long, phase_seq long, off_seq long, messages array<long>"
     own = steps.where("seq is not null").select("session_id", "seq", "kind", "value")

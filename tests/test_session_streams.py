@@ -141,3 +141,19 @@ def test_relay_over_restarts(spark, tmp_path):
         want = batch(steps)
         assert sorted(map(str, relayed(got).select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert max(len(x.messages) for x in got.collect()) == 64
+
+
+def test_relay_step_is_fast():
+    """A session's step looks at each row once: 2,000 steps of 20 rows take well under a second."""
+    import time
+
+    import pandas as pd
+
+    kinds = ("frame", "presence", "phase", "message")
+    rows = pd.DataFrame({"seq": range(20), "kind": [kinds[i % 4] for i in range(20)], "value": [None if i % 7 == 5 else float(i * 7 % 100) for i in range(20)]})
+    fresh = (None, None, 0, 0, False, None, None, None, [])
+    began = time.process_time()
+    for _ in range(2000):
+        got = O.relay_step(fresh, rows, 3)
+    assert time.process_time() - began < 1
+    assert got == (16, 12.0, 5, 5, False, 17, 18, 17, [11, 15, 19])
