@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.tables import written
-from .ranks import numbered, with_group_size
+from .ranks import numbered, small, with_group_size
 
 
 def interleave(df: DataFrame, by: str = "asset_class", kind: str = "defect") -> DataFrame:
@@ -126,6 +126,7 @@ def pairs_in_frame(a: DataFrame, b: DataFrame) -> DataFrame:
     return prefixed(a, "a_").join(prefixed(b, "b_"), "frame_id")
 
 
+FEW = 1024  # pairs of a frame that are looked at without cells
 STEP = 4.0  # each level's cells are this many times as wide as those of the level below
 
 
@@ -152,14 +153,30 @@ def in_cells(df: DataFrame, p: str) -> DataFrame:
 def near_pairs(a: DataFrame, b: DataFrame, reach: float = 0.0) -> DataFrame:
     """Pairs of boxes of two sets in the same frame that touch, overlap, or are at most ``reach`` apart along both axes, as a_* and b_*, each once.
 
-    A box lies in the cells of a grid whose width suits it (levels by powers of four). Two boxes meet at the level of the
+    Frames of at most FEW pairs meet as they are. In the others a box lies in the cells of a grid whose width suits it (levels by powers of four). Two boxes meet at the level of the
     larger one, so the smaller is put at the levels that the other set has in its frame, and there only at own-level boxes of
     the other side; small boxes never meet in a large box's cell. Of the cells that both touch, the one with the upper left
     corner of what they share gives the pair. A frame of any number of boxes is spread over its cells. Boxes with a null,
     NaN or infinite corner are in no pair; corners in wrong order are taken in order to find cells.
     """
+    return met_pairs(written(prefixed(a, "a_"), "boxes-a"), written(prefixed(b, "b_"), "boxes-b"), reach)
+
+
+def met_pairs(a: DataFrame, b: DataFrame, reach: float = 0.0) -> DataFrame:
+    """``near_pairs`` of written sets with prefixes."""
+    size = lambda df, name: df.groupBy("frame_id").agg(F.count("*").alias(name))
+    crowded = size(a, "n_a").join(size(b, "n_b").hint("merge"), "frame_id").where(F.col("n_a").cast("double") * F.col("n_b") > FEW)
+    crowded = written(crowded.select("frame_id"), "crowded")
     slack = reach + 1e-6 * (1 + reach) if reach else 0.0  # the caller's test decides; rounding must lose none before it
-    a, b = with_level(prefixed(a, "a_"), "a_", slack), with_level(prefixed(b, "b_"), "b_", 0.0)
+    a, b = with_level(a, "a_", slack), with_level(b, "b_", 0.0)
+    left, top = F.greatest("a_gx0", "b_gx0"), F.greatest("a_gy0", "b_gy0")
+    touch = (left <= F.least("a_gx1", "b_gx1")) & (top <= F.least("a_gy1", "b_gy1"))
+    plain = lambda df: df.select("frame_id", *(p + c for p in ("a_", "b_") for c in ("box_id", "x0", "y0", "x1", "y1")))
+    if crowded.isEmpty():
+        return plain(a.join(b.hint("merge"), "frame_id").where(touch))
+    few = [df.join(small(crowded), "frame_id", "left_anti") for df in (a, b)]
+    few = plain(few[0].join(few[1].hint("merge"), "frame_id").where(touch))
+    a, b = (df.join(small(crowded), "frame_id", "left_semi") for df in (a, b))
 
     def met(own: DataFrame, p: str, other: DataFrame, q: str, above: bool) -> DataFrame:
         """Own-level boxes of ``own`` with boxes of ``other`` of a lower level, or of the same one unless ``above``."""
@@ -170,20 +187,42 @@ def near_pairs(a: DataFrame, b: DataFrame, reach: float = 0.0) -> DataFrame:
         return own.join(in_cells(raised, q).hint("merge"), ["frame_id", "level", "cx", "cy"])
 
     pairs = met(a, "a_", b, "b_", False).unionByName(met(b, "b_", a, "a_", True))
-    left, top = F.greatest("a_gx0", "b_gx0"), F.greatest("a_gy0", "b_gy0")
-    touch = (left <= F.least("a_gx1", "b_gx1")) & (top <= F.least("a_gy1", "b_gy1"))
-    out = pairs.where(touch & (F.col("cx") == cell(left, "level")) & (F.col("cy") == cell(top, "level")))
-    return out.select("frame_id", *(p + c for p in ("a_", "b_") for c in ("box_id", "x0", "y0", "x1", "y1")))
+    return few.unionByName(plain(pairs.where(touch & (F.col("cx") == cell(left, "level")) & (F.col("cy") == cell(top, "level")))))
 
 
-def encroaching(pairs: DataFrame, metric: str, threshold: float = 0.0) -> DataFrame:
+def encroaches(metric: str, threshold: float = 0.0) -> F.Column:
+    """Whether the boxes a_* and b_* of a pair pass a metric."""
     test = {"intersect": C.intersects("a_", "b_"), "iou": C.iou("a_", "b_") >= threshold, "overlap_smaller": C.overlap_of_smaller("a_", "b_") >= threshold, "gap": C.gap("a_", "b_") <= threshold}
     if metric not in test:
         raise ValueError(f"metric must be one of {sorted(test)}")
-    return pairs.where(test[metric])
+    return test[metric]
+
+
+def encroaching(pairs: DataFrame, metric: str, threshold: float = 0.0) -> DataFrame:
+    return pairs.where(encroaches(metric, threshold))
+
+
+def every_pair(metric: str, threshold: float) -> bool:
+    """A share of 0 or less is passed by all pairs of a frame."""
+    return metric in ("iou", "overlap_smaller") and threshold <= 0
 
 
 def encroachments(a: DataFrame, b: DataFrame, metric: str, threshold: float = 0.0) -> DataFrame:
     """Pairs that pass a metric, met by cells. A share of 0 or less is passed by all pairs of a frame, which are then made."""
-    every = metric in ("iou", "overlap_smaller") and threshold <= 0
-    return encroaching(pairs_in_frame(a, b) if every else near_pairs(a, b, max(threshold, 0.0) if metric == "gap" else 0.0), metric, threshold)
+    return encroaching(pairs_in_frame(a, b) if every_pair(metric, threshold) else near_pairs(a, b, max(threshold, 0.0) if metric == "gap" else 0.0), metric, threshold)
+
+
+def encroached(a: DataFrame, b: DataFrame, variants: tuple[tuple[str, float], ...]) -> DataFrame:
+    """Each box of ``a`` once a variant (metric and threshold): variant, box_id, and hit, whether any box of ``b`` in its frame passes.
+
+    The sets meet once, as far apart as the widest variant reaches, and a pair is tested by all variants. Boxes are told apart by
+    all their columns, as ids need not be unique; equal ones are counted."""
+    a, b = written(prefixed(a, "a_"), "boxes-a"), written(prefixed(b, "b_"), "boxes-b")
+    reach = max([0.0] + [t for metric, t in variants if metric == "gap"])
+    pairs = a.join(b.hint("merge"), "frame_id") if any(every_pair(*v) for v in variants) else met_pairs(a, b, reach)
+    hits = [F.coalesce(encroaches(*v), F.lit(False)).alias(f"hit{i}") for i, v in enumerate(variants)]
+    found = pairs.select(*a.columns, *hits, F.lit(0).alias("own"))
+    none = a.select("*", *(F.lit(False).alias(f"hit{i}") for i in range(len(variants))), F.lit(1).alias("own"))
+    each = none.unionByName(found).groupBy(*a.columns).agg(F.sum("own").alias("n"), *(F.max(f"hit{i}").alias(f"hit{i}") for i in range(len(variants))))
+    by = F.explode(F.array(*(F.struct(F.lit(metric).alias("variant"), F.col(f"hit{i}").alias("hit")) for i, (metric, _) in enumerate(variants))))
+    return each.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(F.col("a_box_id").alias("box_id"), by.alias("v")).select("v.variant", "box_id", "v.hit")

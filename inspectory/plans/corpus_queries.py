@@ -284,12 +284,8 @@ VARIANTS = (("intersect", 0.0), ("iou", 0.05), ("overlap_smaller", 0.1), ("gap",
 
 
 def variant_pools(spark, d):
-    veg, cable, out = by_label(spark, d, "vegetation"), by_label(spark, d, "cable"), None
-    for metric, t in VARIANTS:
-        hit = O.encroachments(veg, cable, metric, t).select(F.col("a_box_id").alias("box_id")).distinct().withColumn("hit", F.lit(True))
-        one = veg.join(hit.hint("merge"), "box_id", "left").select(F.lit(metric).alias("variant"), "box_id", F.when(F.col("hit"), "defect").otherwise("good").alias("pool"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    found = O.encroached(by_label(spark, d, "vegetation"), by_label(spark, d, "cable"), VARIANTS)
+    return found.select("variant", "box_id", F.when(F.col("hit"), "defect").otherwise("good").alias("pool"))
 
 
 def variant_sql():

@@ -58,3 +58,19 @@ def test_crowded_frame(spark):
     large = spark.createDataFrame([(1, n, -5.0, -5.0, 5000.0, 5000.0)], BOX)
     pairs = corpus.encroachments(small.unionByName(large), moved, "intersect")
     assert pairs.count() == 2 * n and pairs.where(f"a_box_id < {n}").where("a_box_id <> b_box_id").isEmpty()
+
+
+def test_encroached_tells_boxes_apart_that_share_an_id(spark):
+    """All variants at once against all pairs; boxes that share an id are judged one by one, and frames without partners or with odd corners stay."""
+    rng = np.random.default_rng(11)
+    a, b = boxes(spark, rng, 300, 4, 0, 2.0, 3.5), boxes(spark, rng, 300, 4, 1000, 2.0, 3.5)
+    a = a.unionAll(boxes(spark, rng, 40, 30, 2000, 2.0, 3.5)).withColumn("box_id", F.col("box_id") % 150)
+    a = a.unionAll(a.where("box_id = 3")).unionAll(spark.createDataFrame([(0, 3, None, 0.0, 5.0, 5.0), (99, 4, 0.0, 0.0, 9.0, 9.0)], BOX))
+    for variants in ((("intersect", 0.0), ("iou", 0.05), ("overlap_smaller", 0.1), ("gap", 30.0)), (("iou", 0.0), ("gap", 5.0))):
+        got = sorted(map(tuple, corpus.encroached(a, b, variants).collect()))
+        marked = a.withColumn("box_id", F.struct(F.monotonically_increasing_id().alias("row"), "box_id")).localCheckpoint()
+        want = []
+        for metric, t in variants:
+            hit = {r.a_box_id.row for r in corpus.encroaching(corpus.pairs_in_frame(marked, b), metric, t).collect() if r.a_x0 is not None}
+            want += [(metric, r.box_id.box_id, r.box_id.row in hit) for r in marked.collect()]
+        assert got == sorted(want) and {r[2] for r in got} == {True, False}
