@@ -110,3 +110,73 @@ def test_tasks_hold_slices(spark):
     index.sent = SimpleNamespace(value=own)
     found = index.probed(rows, 64, id_col="id", vec="v")
     assert found.count() == 3000 * 64 and found.distinct().count() == 3000 * 64
+
+
+def quantised(rng, lists=6, n=400):
+    q = I.Quantiser(rng.normal(size=(lists, 4)), 0.1 * rng.normal(size=(2, 256, 2)))
+    own = np.sort(rng.integers(lists, size=n))
+    return q, own, rng.integers(256, size=(n, 2)).astype(np.uint8)
+
+
+@pytest.mark.parametrize("probes", [1, 3, 6])
+def test_best_rows_are_those_of_all_products(monkeypatch, probes):
+    """Whatever the slices, and with fewer rows than asked, the best rows of the probed lists."""
+    rng = np.random.default_rng(6)
+    q, own, codes = quantised(rng)
+    x = rng.normal(size=(50, 4))
+    member = np.zeros((50, 6), bool)
+    np.put_along_axis(member, q.lists_of(x, probes), True, 1)
+    every = x @ np.array([q.centres[o] + np.concatenate([q.words[0, c[0]], q.words[1, c[1]]]) for o, c in zip(own, codes)]).T
+    every[~member[:, own]] = -np.inf
+    for most, size in ((7, (3, 11)), (90, (256, 2048)), (500, (64, 64))):
+        monkeypatch.setattr(I, "SLICE", size)
+        score, at = q.best(x, own, codes, most, member if probes < 6 else None)
+        want = -np.sort(-every, 1)[:, :most]
+        assert np.allclose(score[:, : want.shape[1]], want) and (score[:, want.shape[1] :] == -np.inf).all()
+        there = score > -np.inf
+        assert np.allclose(np.take_along_axis(every, at, 1)[there], score[there])
+        assert all(len(set(a[t])) == t.sum() for a, t in zip(at, there))
+
+
+def test_nothing_is_written_once_a_query_and_list(spark, planted, tmp_path, monkeypatch):
+    """However many lists are probed, what a search writes is its candidates; and one scan tells how many lists a recall needs."""
+    items = frame(spark, planted[:600])
+    index = I.indexed(items, str(tmp_path / "index"), 40)
+    q, kept, scans = items.where("frame_id % 5 = 0"), [], []
+    written, candidates = I.written, I.VectorIndex.candidates
+    monkeypatch.setattr(I, "written", lambda df, name: kept.append(df.columns) or written(df, name))
+    monkeypatch.setattr(I.VectorIndex, "candidates", lambda *a, **k: scans.append(1) or candidates(*a, **k))
+    assert share(spark, index, q, items, 7, 40) >= 0.9
+    assert kept == [["query_id", "item_id"]]
+    scans.clear()
+    probes = index.probes_for(items, 7, 0.9)
+    assert len(scans) == 1
+    n = items.count() // 200
+    sample = items.where(F.pmod(F.xxhash64(F.lit("probes"), "frame_id"), F.lit(n)) == 0)
+    shares = {p: share(spark, index, sample, items, 7, p) for p in (1, 2, 4, 8, 16, 32, 40)}
+    assert probes == next((p for p, x in shares.items() if x >= 0.9), 40)
+
+
+def test_copies_are_found_by_id(spark, planted, tmp_path, monkeypatch):
+    """More copies of a vector than candidates: the first by id, as in the exact search, in one block and in many."""
+    x = planted[:400].copy()
+    x[50:350] = x[50]
+    items = frame(spark, x)
+    index = I.indexed(items, str(tmp_path / "index"), 8)
+    q = items.where("frame_id in (50, 51, 120, 349)")
+    want = {(i, j) for i in (50, 51, 120, 349) for j in [j for j in range(50, 60) if j != i][:5]}
+    assert found(index.search(q, items, 5, 8)) == found(index.search(q, items, 5, 1)) == want
+    monkeypatch.setattr(I, "CHUNK", 2)
+    assert found(index.search(q, items, 5, 3)) == want
+
+
+def test_best_so_far(monkeypatch):
+    """Kept scores are those of one sort of all, equal ones in order of arrival, also if the first slice has just as many."""
+    rng = np.random.default_rng(8)
+    for first in (2, 5, 9):
+        scores = rng.integers(12, size=(30, 80)) / 4
+        best, items = routing.Running(30, 5), np.arange(80)
+        for lo, hi in [(0, first), *((lo, min(80, lo + 7)) for lo in range(first, 80, 7))]:
+            best.add(scores[:, lo:hi].copy(), items[lo:hi])
+        want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+        assert (best.item == want).all() and (best.score == np.take_along_axis(scores, want, 1)).all()
