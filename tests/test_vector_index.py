@@ -130,7 +130,7 @@ def test_best_rows_are_those_of_all_products(monkeypatch, probes):
     every[~member[:, own]] = -np.inf
     for most, size in ((7, (3, 11)), (90, (256, 2048)), (500, (64, 64))):
         monkeypatch.setattr(I, "SLICE", size)
-        score, at = q.best(x, own, codes, most, member if probes < 6 else None)
+        score, at = q.best(x, own, codes, np.arange(400), most, member if probes < 6 else None)
         want = -np.sort(-every, 1)[:, :most]
         assert np.allclose(score[:, : want.shape[1]], want) and (score[:, want.shape[1] :] == -np.inf).all()
         there = score > -np.inf
@@ -170,7 +170,18 @@ def test_copies_are_found_by_id(spark, planted, tmp_path, monkeypatch):
     assert found(index.search(q, items, 5, 3)) == want
 
 
-def test_best_so_far(monkeypatch):
+def test_equal_scores_of_unlike_codes_are_found_by_id(spark, planted, tmp_path):
+    """To a query of zeros all rows are equal: the first by id, as in the exact search, though they are in all lists."""
+    x = planted[:400].copy()
+    x[7] = x[300] = 0
+    items = frame(spark, x)
+    index = I.indexed(items, str(tmp_path / "index"), 8)
+    q = items.where("frame_id in (7, 300)")
+    got, want = found(index.search(q, items, 5, 8)), found(routing.recall(q, items, 5))
+    assert got == want == {(7, j) for j in (0, 1, 2, 3, 4)} | {(300, j) for j in (0, 1, 2, 3, 4)}
+
+
+def test_best_so_far():
     """Kept scores are those of one sort of all, equal ones in order of arrival, also if the first slice has just as many."""
     rng = np.random.default_rng(8)
     for first in (2, 5, 9):
